@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, mixing, urls
+from . import chat, langid, media, mixing, pieces, quality, repeats, secrets, simhash, urls
 from .common import WORD
 
 
@@ -14,6 +15,15 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.store(_read(spark, sf_dir, "documents")))
+
+
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, _ = secrets.scan_versions(_read(spark, sf_dir, "documents"))
+    return secrets.digest(findings)
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = f"{chat.END}<|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
@@ -24,6 +34,28 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages")).drop("n_candidates")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(_read(spark, sf_dir, "documents"))
+
+
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_read(spark, sf_dir, "documents"), keep_text=False)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_read(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = mixing.place(_read(spark, sf_dir, "documents"))
     return mixing.range_sorted(placed).select("doc_id", "size", "source_size", "target", "taken", "epochs", "position")
@@ -91,5 +123,28 @@ SELECT doc_id, size, source_size, target, epochs * size AS taken, epochs, CASE W
 """
 
 
+def _op2_sql() -> str:
+    def spans(k: int, rule: secrets.Rule) -> str:
+        pattern = rule.pattern.replace("'", "''")
+        return f"""
+  SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, unnest(regexp_extract_all(text, '{pattern}', 0)) AS m, unnest(regexp_extract_all(text, '{pattern}', {rule.group})) AS part,
+         unnest(string_split_regex(text, '{pattern}')) AS gap, unnest(range(1, len(string_split_regex(text, '{pattern}')) + 1)) AS i
+  FROM docs WHERE regexp_matches(text, '{pattern}')"""
+
+    least = " ".join(f"WHEN {k} THEN {r.least}" for k, r in enumerate(secrets.RULES))
+    base = len(secrets.BASE_RULES)
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(spans(k, r) for k, r in enumerate(secrets.RULES))}),
+placed AS (SELECT *, sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER b, 0) AS s FROM found
+           WINDOW w AS (PARTITION BY doc_id, k ORDER BY i), b AS (PARTITION BY doc_id, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+spans AS (SELECT doc_id, k, kind, s::BIGINT AS s, (s + length(m))::BIGINT AS e FROM placed WHERE m IS NOT NULL AND length(part) >= CASE k {least} END),
+per AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+               string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < {base}) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(p.spans, '') AS spans FROM docs d LEFT JOIN per p USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": _OP3_SQL, "op4_url_filters": _op4_sql(), "op10_mixing": _op10_sql()}
+    return {"op2_secret_scans": _op2_sql(), "op3_chat_formatting": _OP3_SQL, "op4_url_filters": _op4_sql(), "op10_mixing": _op10_sql()}

@@ -148,10 +148,14 @@ def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_join(F.transform(spans, lambda z: F.concat_ws(":", F.element_at(kinds, z["k"] + 1), z["s"].cast("string"), z["e"].cast("string"))), ",")
 
 
+def _of_kind(k: int) -> Column:
+    return F.filter("spans", lambda z: z["k"] == k)
+
+
 def digest(findings: DataFrame, path: str = "doc_id") -> DataFrame:
     """Counts of the base kinds, the SHA-256 of their list, and the list of all spans."""
     n = len(BASE_RULES)
-    counts = [F.size(F.filter("spans", lambda z, k=k: z["k"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(BASE_RULES)]
+    counts = [F.size(_of_kind(k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(BASE_RULES)]
     base = F.filter("spans", lambda z: z["k"] < n)
     return findings.select(F.col("path").alias(path), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
@@ -159,8 +163,8 @@ def digest(findings: DataFrame, path: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every secret replaced by ``[SECRET]``; n_chars follows. No document goes.
 
-    Overlapping spans are merged first. Each distinct text is scanned and rewritten
-    once; texts without a finding pass untouched.
+    Overlapping spans are merged first. Each distinct text is scanned once; texts
+    without a finding pass untouched.
     """
     columns = docs.columns
     row = docs.withColumn("__blob", blob_id(whole_text()))
