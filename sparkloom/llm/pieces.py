@@ -260,8 +260,11 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 DIGEST = "doc_id long, n_bytes long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
 
-def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """Per row: sizes, the digest of its ids (little-endian int32) and of the text decoded from them."""
+def digest(docs: DataFrame, path: str = MODEL, with_ids: bool = False) -> DataFrame:
+    """Per row: sizes, the digest of its ids (little-endian int32) and of the text decoded from them.
+
+    ``with_ids`` adds the ids themselves.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(path)
@@ -276,6 +279,10 @@ def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 text_sha.append(hashlib.sha256(own[1:]).hexdigest())
                 same.append(len(own) == len(given) and bool(np.array_equal(own, given)))
             n = np.diff(marked_starts)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n - (n > 0)), pa.array(np.diff(starts)), pa.array(id_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(same, pa.bool_())], [c.split()[0] for c in DIGEST.split(", ")])
+            columns = [part.column("doc_id"), pa.array(n - (n > 0)), pa.array(np.diff(starts)), pa.array(id_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(same, pa.bool_())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids)))
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, DIGEST)
+    schema = DIGEST + ", ids array<int>" * with_ids
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

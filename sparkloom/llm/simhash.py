@@ -262,6 +262,11 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Of each component the document with the smallest doc_id; repeated rows of one doc_id count once."""
-    kept = near_duplicates(docs, max_bits).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    """Of each component the document with the smallest doc_id.
+
+    Repeated rows of one doc_id count once; rows without a doc_id stay, one per text.
+    """
+    gone = near_duplicates(docs, max_bits).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    nameless = F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256))
+    return left.withColumn("__nameless", nameless).dropDuplicates(["doc_id", "__nameless"]).drop("__nameless")
