@@ -41,9 +41,11 @@ from .common import ranges, slices, text_bytes
 
 LEAST = 50
 GRAM = 16
-STEP_BYTES = 3_000_000
+STEP_BYTES = 2_000_000
+#: Texts that are packed for their buckets at once.
+PACK_BYTES = 8_000_000
 #: Text bytes per bucket of anchors, of fragments and of documents.
-ANCHOR_BUCKET, FRAGMENT_BUCKET, DOCUMENT_BUCKET = 64_000_000, 12_000_000, 8_000_000
+ANCHOR_BUCKET, FRAGMENT_BUCKET, DOCUMENT_BUCKET = 32_000_000, 4_000_000, 4_000_000
 #: Bytes of a suffix that are sorted; longer repeats come out in overlapping pieces.
 DEPTH = 96
 ROW = "part int, kind int, blob binary"
@@ -262,7 +264,7 @@ def _answer(batches: Iterable[pa.RecordBatch], n_docs: int) -> Iterator[pa.Recor
 
 
 def _send_texts(batches: Iterable[pa.RecordBatch], n_docs: int) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text", STEP_BYTES):
+    for part in slices(batches, "text", PACK_BYTES):
         raw, starts, ids, tags = _keyed(part)
         size = np.diff(starts)
         rows = [(p, 0, pack(doc=ids[own], tag=tags[own], size=size[own], text=raw[ranges(starts[own], size[own])])) for p, own in _split(_part_of(ids, n_docs), n_docs)]
