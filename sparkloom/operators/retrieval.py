@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import hooks
 from ..functions.scoring import entity_score, mode, relevance, route, search_score, tokens
 from ..functions.text import acronym, first_sentence, strip, truncate_words
 
@@ -98,12 +99,7 @@ def answered(questions: DataFrame, model: Callable[[str, str], str | None] | Non
     fallback = F.concat(F.lit("Context about "), "name", F.lit(":\n\n"), "context")
     if model is None:
         return questions.withColumn("answer", fallback)
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def ask(question: pd.Series, context: pd.Series) -> pd.Series:
-        return pd.Series([model(q, c) for q, c in zip(question, context, strict=True)])
-
+    ask = hooks.on_question(model)
     return questions.withColumn("answer", F.coalesce(ask("question", "context"), fallback))
 
 
@@ -127,15 +123,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3, exclude: list[in
 def embed(rows: DataFrame, text: str, size: int = 64, model: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
     """``embedding`` of a text: by a model hook in Arrow batches, else feature hashing of its words."""
     if model is not None:
-        import pandas as pd
-
-        @F.pandas_udf("array<float>")
-        def run(batches):  # type: ignore[no-untyped-def]
-            for batch in batches:
-                yield pd.Series(model(batch.tolist()))
-
-        run.__annotations__ = {}
-        return rows.withColumn("embedding", run(F.col(text)))
+        return rows.withColumn("embedding", hooks.on_texts(model)(F.col(text)))
     slots = F.transform(F.filter(tokens(F.lower(F.col(text))), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
     return rows.withColumn("embedding", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float")))
 

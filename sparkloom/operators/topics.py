@@ -45,10 +45,13 @@ def keywords(model: PipelineModel, n: int = 10) -> DataFrame:
 
 
 def assign(model: PipelineModel, rows: DataFrame, text: str) -> DataFrame:
-    """Each row's most likely topic (ties: the first) and how likely it is."""
+    """Each row's most likely topic (ties: the first) and how likely it is.
+
+    A text without any word of the vocabulary is equally likely to be of every topic.
+    """
     spread = vector_to_array("topicDistribution")
     done = model.transform(rows.withColumn("clean", clean_text(F.coalesce(F.col(text), F.lit("")))))
-    return done.select(*rows.columns, (F.array_position(spread, F.array_max(spread)) - 1).cast("int").alias("topic_id"), F.round(F.array_max(spread), 4).alias("topic_confidence"))
+    return done.select(*rows.columns, (F.array_position(spread, F.array_max(spread)) - 1).cast("int").alias("topic_id"), F.round(F.when(F.array_max(spread) > 0, F.array_max(spread)).otherwise(F.lit(1.0) / F.size(spread)), 4).alias("topic_confidence"))
 
 
 def topic_pivot(assigned: DataFrame, by: str, topics: int = 8) -> DataFrame:
