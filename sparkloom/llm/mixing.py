@@ -30,7 +30,7 @@ MAX_EPOCHS = 3
 #: Schedules by rank of the source, repeating: weight at u = 0, at u = 1/2, at u = 1.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
 #: Rows that one slice of a source's order holds on average, at most.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 1_000
 _SLICES = 65_536
 
 
