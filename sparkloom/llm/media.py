@@ -275,25 +275,17 @@ class Image:
     payload: int | None
 
 
-@dataclass
-class _Lanes:
-    """Parameters of the restart intervals of scans of one kind."""
-
-    rows: list[tuple]
-
-
 _NEXT_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
-_RESTART = re.compile(rb"\xff[\xd0-\xd7]")
 
 
-def _parse(view: bytes, at: int, block: int) -> tuple[Image, list[tuple], int]:
+def _parse(view: bytes, block: int) -> tuple[Image, list[tuple], int]:
     """An image's frame and its scans; ``block`` is its first block in the coefficient array.
 
     A scan is (kind, components, first, last, low, tables, interval, start, stop).
     """
-    if view[at : at + 2] != b"\xff\xd8":
+    if view[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
-    at += 2
+    at = 2
     quant: dict[int, np.ndarray] = {}
     huffman: dict[int, bytes] = {}
     image, interval, payload, scans = None, 0, None, []
@@ -546,7 +538,8 @@ def read_coefficients(media: list[bytes]) -> tuple[list[Image], np.ndarray]:
     view = b"".join(media)
     images, scans, block, at = [], [], 0, 0
     for blob in media:
-        image, own, block = _parse(view[at : at + len(blob)], 0, block) if len(media) == 1 else _shifted(blob, at, block)
+        image, own, block = _parse(blob, block)
+        own = [(*s[:7], s[7] + at, s[8] + at) for s in own]
         scans += [(len(images), s) for s in own]
         images.append(image)
         at += len(blob)
@@ -568,11 +561,6 @@ def read_coefficients(media: list[bytes]) -> tuple[list[Image], np.ndarray]:
     return images, coef
 
 
-def _shifted(blob: bytes, at: int, block: int) -> tuple[Image, list[tuple], int]:
-    image, scans, block = _parse(blob, 0, block)
-    return image, [(*s[:7], s[7] + at, s[8] + at) for s in scans], block
-
-
 def read_payloads(images: list[Image], coef: np.ndarray) -> list[bytes]:
     """The bytes that ``encode_payloads`` stored."""
     across, down = np.array([i.units_across for i in images]), np.array([i.units_down for i in images])

@@ -157,8 +157,8 @@ def _spread(batches: Iterable[pa.RecordBatch], max_bits: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(fps[rows].view(np.int64)), pa.array(nodes[rows]), pa.array(home)], ["anchor", "fp", "node", "home"])
 
 
-def _forest(fps: np.ndarray, nodes: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Links at one anchor between residents and all that meet them, thinned to a spanning forest; the number found."""
+def _forest(fps: np.ndarray, nodes: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links at one anchor between residents and all that meet them, thinned to a spanning forest."""
     residents = np.flatnonzero(home)
     parent = list(range(len(fps)))
 
@@ -168,7 +168,7 @@ def _forest(fps: np.ndarray, nodes: np.ndarray, home: np.ndarray, max_bits: int)
             i = parent[i]
         return i
 
-    left, right, found = [], [], 0
+    left, right = [], []
     step = max(1, STEP // len(fps))
     for at in range(0, len(residents), step):
         own = residents[at : at + step]
@@ -176,14 +176,13 @@ def _forest(fps: np.ndarray, nodes: np.ndarray, home: np.ndarray, max_bits: int)
         a, b = np.nonzero(near)
         a = own[a]
         new = (a != b) & (~home[b] | (a < b))
-        found += int(new.sum())
         for i, j in zip(a[new].tolist(), b[new].tolist(), strict=True):
             ri, rj = root(i), root(j)
             if ri != rj:
                 parent[max(ri, rj)] = min(ri, rj)
                 left.append(i)
                 right.append(j)
-    return nodes[left], nodes[right], found
+    return nodes[left], nodes[right]
 
 
 def _meet(batches: Iterable[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
@@ -198,7 +197,7 @@ def _meet(batches: Iterable[pa.RecordBatch], max_bits: int) -> Iterator[pa.Recor
         has = np.add.reduceat(home.astype(np.int64), starts) > 0
         a, b = [], []
         for s, e in zip(starts[has & (ends - starts > 1)].tolist(), ends[has & (ends - starts > 1)].tolist(), strict=True):
-            left, right, _ = _forest(fps[s:e], nodes[s:e], home[s:e], max_bits)
+            left, right = _forest(fps[s:e], nodes[s:e], home[s:e], max_bits)
             a.append(left)
             b.append(right)
         none = np.zeros(0, np.int64)
