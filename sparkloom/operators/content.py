@@ -22,6 +22,13 @@ def unified(posts: DataFrame, comments: DataFrame, results: DataFrame) -> DataFr
     return p.select(*columns).unionByName(c.select(*columns))
 
 
+def topic_texts(posts: DataFrame, comments: DataFrame) -> DataFrame:
+    """(id, subreddit, text, clean) for topic models; nulls count as empty, texts that clean to nothing go."""
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
+    both = posts.select("id", "subreddit", text.alias("text")).unionByName(comments.select("id", "subreddit", F.coalesce("body", F.lit("")).alias("text")))
+    return both.withColumn("clean", clean_text(F.col("text"))).where("clean <> ''")
+
+
 def filtered(content: DataFrame, groups: list[str] | None = None, types: list[str] | None = None, start: str | None = None, end: str | None = None, labelled: bool = False) -> DataFrame:
     """All conditions that are given, dates inclusive."""
     if groups:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.scoring import verdict, vote, without_vote
-from ..functions.text import clean_dialogue, pick_template, token_estimate, words
+from ..functions.text import clean_dialogue, pick_template, strip, token_estimate, words
 
 QUOTE = "[\"“](.+?)[\"”]"
 #: Headings that mark a biography.
@@ -175,10 +175,59 @@ def parse_blocks(files: DataFrame, aliases: DataFrame, least: int = 10) -> DataF
     return said.where(F.length("dialogue") > least).select("source", "pos", "character", "dialogue")
 
 
-def parse_quotes(files: DataFrame, least: int = 15) -> DataFrame:
-    """Quoted strings of files that belong to one character: (source, pos, character, dialogue)."""
-    found = files.select("source", "character", F.posexplode(F.regexp_extract_all("content", F.lit("(?s)" + QUOTE), F.lit(1))).alias("pos", "q"))
-    return found.withColumn("dialogue", F.trim(F.regexp_replace("q", r"\s+", " "))).where(F.length("dialogue") > least).select("source", "pos", "character", "dialogue")
+def parse_quotes(files: DataFrame, least: int = 10, least_plain: int = 15) -> DataFrame:
+    """Quoted strings of files that belong to one character: (source, pos, character, dialogue).
+
+    Quotes behind the character's first name come first, then numbered ones that aren't
+    among these; only where there are neither, all quotes count.
+    """
+    tidy = lambda qs, n: F.filter(F.transform(qs, lambda q: strip(F.regexp_replace(q, r"\s+", " "))), lambda q: F.length(q) > n)
+    named = F.concat(F.lit(r"(?s)"), F.split("character", " ")[0], F.lit(r":\s*(?:\(.*?\)\s*)?" + QUOTE))
+    said = tidy(F.regexp_extract_all("content", named, F.lit(1)), least)
+    numbered = tidy(F.regexp_extract_all("content", F.lit(r"(?s)(?:^|\n)\s*\d+\.\s*" + QUOTE), F.lit(1)), least)
+    plain = tidy(F.regexp_extract_all("content", F.lit("(?s)" + QUOTE), F.lit(1)), least_plain)
+    both = files.select("source", "character", said.alias("said"), numbered.alias("numbered"), plain.alias("plain"))
+    told = F.concat("said", F.filter("numbered", lambda q: ~F.array_contains("said", q)))
+    return both.select("source", "character", F.posexplode(F.when(F.size(told) > 0, told).otherwise(F.col("plain"))).alias("pos", "dialogue"))
+
+
+def parse_monologue(files: DataFrame, least: int = 20) -> DataFrame:
+    """Files in which every line is the one character's: (source, pos, character, dialogue)."""
+    lines = files.select("source", "character", F.posexplode(F.split("content", "\n")).alias("pos", "raw")).withColumn("line", strip(F.col("raw")))
+    heading = F.lower("line").rlike("^(character overview|personality|speech style|cultural legacy|iconic moments)")
+    return lines.where((F.length("line") >= least) & ~heading).withColumn("dialogue", clean_dialogue(F.col("line"))).where(F.length("dialogue") > least).select("source", "pos", "character", "dialogue")
+
+
+#: Headings at which a biography is cut.
+SECTION_HEADS = ["Character Overview", "Personality Traits", "Speech Style", "Iconic Moments", "Key Relationships", "Cultural Legacy", "Dialogues and Speech Style", "Character biography", "His Relationship", "Her Relationship"]
+
+
+def parse_profile(files: DataFrame) -> DataFrame:
+    """A profile per biography: traits, speech style and lines by section, else a general description."""
+    sections = F.split("content", r"(?i)\n(?=(?:" + "|".join(SECTION_HEADS) + "))")
+    cut = files.select("source", "character", "content", F.transform(sections, lambda x: F.struct(F.lower(F.substring(x, 1, 50)).alias("head"), x.alias("body"))).alias("parts"))
+    about = lambda x, *words: sum((F.contains(x["head"], F.lit(w)).cast("int") for w in words), F.lit(0)) > 0
+    kind = lambda x: F.when(about(x, "personality"), "traits").when(about(x, "speech style", "dialogues and speech"), "style").when(about(x, "iconic moments"), "lines").when(about(x, "character biography"), "life").otherwise("")
+    trait = r"(?:^|\n)(.+?)\s*[-–—]+\s*(.+?)(?=\n|$)"
+    each = lambda x, g: F.regexp_extract_all(x["body"], F.lit(trait), F.lit(g))
+    pairs = lambda x: F.transform(F.filter(F.arrays_zip(each(x, 1).alias("name"), each(x, 2).alias("what")), lambda t: F.length(strip(t["what"])) > 10), lambda t: F.concat(strip(t["name"]), F.lit(": "), strip(t["what"])))
+    life = lambda x: F.array(F.concat(F.lit("Character biography: "), strip(F.substring(x["body"], 1, 500))))
+    traits = F.flatten(F.transform("parts", lambda x: F.when(kind(x) == "traits", pairs(x)).when(kind(x) == "life", life(x)).otherwise(F.array().cast("array<string>"))))
+    styles = F.filter(F.transform("parts", lambda x: F.when(kind(x) == "style", strip(F.regexp_replace(strip(x["body"]), r"^[^\n]*\n?", "")))), lambda t: t.isNotNull())
+    quoted = F.filter(F.transform(F.flatten(F.transform("parts", lambda x: F.when(kind(x) == "lines", F.regexp_extract_all(x["body"], F.lit(QUOTE), F.lit(1))).otherwise(F.array().cast("array<string>")))), strip), lambda q: F.length(q) > 10)
+    found = cut.select("source", "character", "content", traits.alias("t"), F.coalesce(F.try_element_at(styles, F.lit(-1)), F.lit("")).alias("speech_style"), quoted.alias("iconic_lines"))
+    general = F.array(F.concat(F.lit("General description: "), strip(F.substring("content", 1, 1000))))
+    return found.select("character", F.when((F.size("t") == 0) & (F.col("speech_style") == ""), general).otherwise(F.col("t")).alias("personality_traits"), "speech_style", "iconic_lines", F.substring("content", 1, 5000).alias("raw_description"), "source")
+
+
+def counts_by_prompt(examples: DataFrame, characters: DataFrame, prompt: str = "system") -> DataFrame:
+    """Examples per character, found as the first of ``characters`` (ord, character) that the prompt contains.
+
+    Characters are a constant dimension; prompts are counted before the two are matched.
+    """
+    prompts = examples.groupBy(prompt).agg(F.count(F.lit(1)).alias("n"))
+    found = prompts.join(F.broadcast(characters), F.contains(F.col(prompt), F.col("character"))).groupBy(prompt, "n").agg(F.min_by("character", "ord").alias("character"))
+    return found.groupBy("character").agg(F.sum("n").alias("cnt"))
 
 
 def hinted(files: DataFrame, hints: DataFrame) -> DataFrame:

@@ -239,3 +239,71 @@ def summaries(members: DataFrame) -> DataFrame:
     """The fallback summary of each community: its size and first five members."""
     grouped = members.groupBy("community_id").agg(F.array_sort(F.collect_list("name")).alias("node_names"))
     return grouped.withColumn("summary", F.concat(F.lit("Community of "), F.size("node_names").cast("string"), F.lit(" AI concepts: "), F.array_join(F.slice("node_names", 1, 5), ", "), F.lit(".")))
+
+
+def edges_within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends among ``nodes`` (name), each once."""
+    ends = nodes.select("name").distinct()
+    own = edges.join(ends.select(F.col("name").alias("src")), "src", "left_semi").join(ends.select(F.col("name").alias("dst")), "dst", "left_semi")
+    return own.select("src", "rel", "dst").distinct()
+
+
+def listed(concepts: DataFrame, scores: DataFrame, categories: list[str] | None = None, difficulties: list[str] | None = None) -> DataFrame:
+    """Concepts that meet the filters given, with their score (0 where there is none), best first."""
+    own = concepts
+    if categories:
+        own = own.where(F.col("category").isin(categories))
+    if difficulties:
+        own = own.where(F.col("difficulty").isin(difficulties))
+    return own.join(scores.select("name", "score"), "name", "left").withColumn("score", F.coalesce("score", F.lit(0.0))).orderBy(F.desc("score"), "name")
+
+
+def enriched(names: DataFrame, concepts: DataFrame) -> DataFrame:
+    """The concepts of a path, subgraph or ordering, its own columns kept."""
+    return names.join(concepts, "name")
+
+
+def at_hop(reach: DataFrame, hop: int) -> DataFrame:
+    return reach.where(F.col("depth") == hop)
+
+
+def drawn(nodes: DataFrame, edges: DataFrame, scores: DataFrame, highlight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What a network drawing needs: nodes with size and highlight, edges with both ends present."""
+    from ..functions.text import node_size
+
+    own = nodes.dropDuplicates(["name"]).join(scores.select("name", "score"), "name", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    top = own.agg(F.greatest(F.max("score"), F.lit(1e-12)).alias("top"))
+    sized = own.join(F.broadcast(top)).withColumn("size", node_size(F.col("score"), F.col("top"))).drop("top")
+    return sized.withColumn("highlighted", F.col("name") == F.lit(highlight or "")), edges_within(edges, own)
+
+
+def ingest(nodes: DataFrame, edges: DataFrame, triples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all nodes, all edges, counts) after triples come in: unknown ends become stub nodes first.
+
+    Counts have the triples, the new nodes and the relationships written, repeats included.
+    """
+    new = stubs(triples, nodes)
+    grown = nodes.select("name").unionByName(new)
+    written = triples.agg(F.count(F.lit(1)).alias("triples"), F.count(F.lit(1)).alias("new_relationships"))
+    return grown, edges.unionByName(triples).distinct(), written.join(new.agg(F.count(F.lit(1)).alias("new_concepts")))
+
+
+def unprocessed(chunks: DataFrame, done: DataFrame) -> DataFrame:
+    """Chunks whose id isn't among those done: where a resumed run goes on."""
+    return chunks.join(done.select("chunk_id"), "chunk_id", "left_anti")
+
+
+def with_summaries(communities: DataFrame, cached: DataFrame) -> DataFrame:
+    """Communities (community_id, node_names) with a cached summary of the same members, else the fallback.
+
+    Keyed by a digest of the members: ids are dealt anew at each detection, members aren't.
+    """
+    key = F.sha2(F.array_join(F.array_sort("node_names"), "\u0001"), 256)
+    known = cached.select(key.alias("key"), F.col("summary").alias("cached"))
+    fallback = F.concat(F.lit("Community of "), F.size("node_names").cast("string"), F.lit(" AI concepts: "), F.array_join(F.slice("node_names", 1, 5), ", "), F.lit("."))
+    return communities.select("community_id", "node_names", key.alias("key")).join(known, "key", "left").select("community_id", "node_names", F.coalesce("cached", fallback).alias("summary"))
+
+
+def read(spark, path: str) -> tuple[DataFrame, DataFrame]:  # type: ignore[no-untyped-def]
+    """Nodes and edges as written by ``sinks.write_graph``."""
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")

@@ -106,10 +106,16 @@ _HTML = "html"
 for _p in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"<[^>]+>", r"&[a-z]+;"):
     _HTML = f"regexp_replace({_HTML}, {_s(_p)}, ' ', 'g')"
 _HTML = _strip(rf"regexp_replace({_HTML}, '\s{{3,}}', chr(10) || chr(10), 'g')")
-_DIALOGUE = "('[[File:a.png]] (waves) [[Suits|Law]] [3] ' || text)"
-for _p, _to in ((r"\[\[File:.*?\]\]", ""), (r"\[\[([^|\]]*?\|)?(.+?)\]\]", r"\2"), (r"\[.*?\]", ""), (r"\(.*?\)", "")):
-    _DIALOGUE = f"regexp_replace({_DIALOGUE}, {_s(_p)}, '{_to}', 'g')"
-_DIALOGUE = _strip(rf"regexp_replace({_DIALOGUE}, '\s+', ' ', 'g')")
+
+
+def _cleaned(x: str) -> str:
+    for pattern, to in ((r"\[\[File:.*?\]\]", ""), (r"\[\[([^|\]]*?\|)?(.+?)\]\]", r"\2"), (r"\[.*?\]", ""), (r"\(.*?\)", "")):
+        x = f"regexp_replace({x}, {_s(pattern)}, '{to}', 'g')"
+    return _strip(rf"regexp_replace({x}, '\s+', ' ', 'g')")
+
+
+_DIALOGUE = _cleaned("('[[File:a.png]] (waves) [[Suits|Law]] [3] ' || text)")
+_MONO = _cleaned("line")
 
 
 def _trend(unit: str) -> str:
@@ -197,5 +203,12 @@ SELECT name, CASE WHEN length(t) > 6000 THEN left(t, 6000) || chr(10) || '...[co
         "pagerank": _pagerank(q.PAGERANK_ROUNDS),
         "category_heatmap": f"WITH {NODES}, {EDGES}, p AS (SELECT a.category AS from_cat, b.category AS to_cat, rel, count(*) AS n FROM edges JOIN nodes a ON a.name = src JOIN nodes b ON b.name = dst GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY from_cat, to_cat ORDER BY n DESC, rel) AS rn FROM p), cells AS (SELECT from_cat, to_cat, sum(n)::BIGINT AS cnt, string_agg(rel, ',' ORDER BY rn) FILTER (rn <= 4) AS top_types FROM r GROUP BY 1, 2), cats AS (SELECT DISTINCT category FROM nodes) SELECT x.category AS from_cat, y.category AS to_cat, coalesce(cnt, 0)::BIGINT AS cnt, coalesce(top_types, '') AS top_types FROM cats x CROSS JOIN cats y LEFT JOIN cells ON from_cat = x.category AND to_cat = y.category",
         "category_rollup": f"WITH {NODES}, s AS (SELECT category, name, CASE WHEN name LIKE 'S:%' THEN 0.5 ELSE 0.01 END::DOUBLE AS score FROM nodes) SELECT category, name, count(*) AS cnt, round(sum(score), 6) AS total FROM s GROUP BY ROLLUP (category, name)",
+        "edges_within": f"WITH {NODES}, {EDGES} SELECT DISTINCT src, rel, dst FROM edges WHERE src IN (SELECT name FROM nodes WHERE category IN ('Domain', 'Tool')) AND dst IN (SELECT name FROM nodes WHERE category IN ('Domain', 'Tool'))",
+        "concept_list": "SELECT 'P:' || p_partkey AS name, CASE WHEN p_size / 64.0::DOUBLE > 0.4 THEN p_size / 64.0::DOUBLE ELSE 0.0 END AS score FROM part",
+        "ingest_counts": "SELECT (SELECT count(*) FROM lineitem) AS triples, (SELECT count(*) FROM lineitem) AS new_relationships, (SELECT count(DISTINCT l_linenumber) FROM lineitem) AS new_concepts",
+        "drawn_nodes": f"WITH {NODES} SELECT n.name, 15 + floor(coalesce(greatest(s_acctbal, 0), 0) / (SELECT max(s_acctbal) FROM supplier) * 35)::INTEGER AS size, n.name = {_s(q.SOURCE)} AS highlighted FROM (SELECT DISTINCT name FROM nodes) n LEFT JOIN supplier ON n.name = 'S:' || s_suppkey",
+        "prompt_counts": "SELECT CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS character, count(*)::BIGINT AS cnt FROM conversations WHERE role IN ('assistant', 'user') GROUP BY 1",
+        "topic_texts": f"WITH t AS (SELECT doc_id::VARCHAR AS id, source AS subreddit, string_split(text, chr(10))[1] || ' ' || text AS text FROM documents UNION ALL SELECT conv_id || ':' || turn, role, text FROM conversations) SELECT id, subreddit, sha256({_CLEAN.format(x='text')}) AS clean_sha FROM t WHERE {_CLEAN.format(x='text')} <> ''",
+        "monologues": f"WITH l AS (SELECT doc_id AS source, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents), s AS (SELECT source, pos::INTEGER AS pos, {_strip('raw')} AS line FROM l), c AS (SELECT source, pos, {_MONO} AS said FROM s WHERE length(line) >= 20 AND NOT regexp_matches(lower(line), '^(character overview|personality|speech style|cultural legacy|iconic moments)')) SELECT source, pos, sha256(said) AS line_sha FROM c WHERE length(said) > 20",
         "incident_edges": f"WITH {EDGES} SELECT rel, CASE WHEN src = {_s(q.SOURCE)} THEN 'out' ELSE 'in' END AS direction, count(*) AS n, string_agg(o, ',' ORDER BY o) AS others FROM (SELECT *, CASE WHEN src = {_s(q.SOURCE)} THEN dst ELSE src END AS o FROM edges WHERE src = {_s(q.SOURCE)} OR dst = {_s(q.SOURCE)}) GROUP BY 1, 2",
     }

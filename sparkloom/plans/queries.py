@@ -386,6 +386,41 @@ def incident_edges(spark, d):
     return graph.incident(tables.concept_edges(spark, d), SOURCE).select("rel", "direction", F.size("others").cast("long").alias("n"), F.array_join("others", ",").alias("others"))
 
 
+def edges_within(spark, d):
+    own = tables.concept_nodes(spark, d).where(F.col("category").isin("Domain", "Tool"))
+    return graph.edges_within(tables.concept_edges(spark, d), own)
+
+
+def concept_list(spark, d):
+    scores = table(spark, d, "part").select(F.concat(F.lit("P:"), F.col("p_partkey").cast("string")).alias("name"), (F.col("p_size") / 64.0).alias("score")).where("score > 0.4")
+    return graph.listed(_concepts(spark, d), scores, ["Model"], ["intermediate"]).select("name", "score")
+
+
+def ingest_counts(spark, d):
+    triples = table(spark, d, "lineitem").select(F.concat(F.lit("P:"), F.col("l_partkey").cast("string")).alias("src"), F.lit("USED_IN").alias("rel"), F.concat(F.lit("L:"), F.col("l_linenumber").cast("string")).alias("dst"))
+    return graph.ingest(tables.concept_nodes(spark, d), tables.concept_edges(spark, d), triples)[2]
+
+
+def drawn_nodes(spark, d):
+    scores = table(spark, d, "supplier").select(F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("name"), F.greatest("s_acctbal", F.lit(0.0)).alias("score"))
+    return graph.drawn(tables.concept_nodes(spark, d), tables.concept_edges(spark, d), scores, SOURCE)[0].select("name", "size", "highlighted")
+
+
+def prompt_counts(spark, d):
+    roles = schemas.dimension(spark, ["assistant", "user", "system"], "character")
+    made = dialogue.chat_examples(tables.dialogue(spark, d), _prompts(spark))
+    return dialogue.counts_by_prompt(made, roles)
+
+
+def topic_texts(spark, d):
+    return content.topic_texts(tables.posts(spark, d), tables.comments(spark, d)).select("id", "subreddit", F.sha2("clean", 256).alias("clean_sha"))
+
+
+def monologues(spark, d):
+    files = _docs(spark, d).select(F.col("doc_id").alias("source"), F.lit("Narrator").alias("character"), F.col("text").alias("content"))
+    return dialogue.parse_monologue(files).select("source", "pos", F.sha2("dialogue", 256).alias("line_sha"))
+
+
 def louvain(spark, d):
     return graph.communities(_small(spark, d))
 

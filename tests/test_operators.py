@@ -234,3 +234,29 @@ def test_classifier_hook(spark):
     assert [r["sentiment"]["label"] for r in topics.classify(df, "text").collect()] == [schemas.SENTIMENT_LABELS[0], schemas.SENTIMENT_LABELS[5]]
     got = topics.classify(df, "text", lambda: lambda texts: [("x", 0.123456)] * len(texts)).first()["sentiment"]
     assert (got["label"], got["score"]) == ("x", 0.1235)
+
+
+def test_profiles_and_quotes_by_form(spark):
+    bio = "Intro\nPersonality Traits\nProud - always certain of himself\nx - short\nSpeech Style\nShort and sharp.\nTwo lines.\nIconic Moments\n\"This is the one line\" he said"
+    got = dialogue.parse_profile(spark.createDataFrame([("f", "Logan Roy", bio), ("g", "Noddy", "only text")], "source string, character string, content string"))
+    row = {r["character"]: r for r in got.collect()}
+    assert row["Logan Roy"]["personality_traits"] == ["Proud: always certain of himself"]
+    assert (row["Logan Roy"]["speech_style"], row["Logan Roy"]["iconic_lines"]) == ("Short and sharp.\nTwo lines.", ["This is the one line"])
+    assert row["Noddy"]["personality_traits"] == ["General description: only text"]
+    files = spark.createDataFrame([("f", "Ross Geller", 'Ross: (sighs) "We were on a break!"\n1. "Chandler says something"\n2. "We were on a break!" "unnumbered one here"')], "source string, character string, content string")
+    assert [r["dialogue"] for r in dialogue.parse_quotes(files).orderBy("pos").collect()] == ["We were on a break!", "Chandler says something"]
+
+
+def test_cached_summaries_follow_their_members(spark):
+    now = spark.createDataFrame([(0, ["a", "b", "c"]), (1, ["x", "y", "z"])], "community_id int, node_names array<string>")
+    cached = spark.createDataFrame([(0, ["z", "y", "x"], "about x")], "community_id int, node_names array<string>, summary string")
+    assert dict((r["community_id"], r["summary"]) for r in graph.with_summaries(now, cached).collect()) == {0: "Community of 3 AI concepts: a, b, c.", 1: "about x"}
+
+
+def test_ingest_and_resume(spark, net):
+    nodes = spark.createDataFrame([("A",), ("B",)], "name string")
+    grown, edges, counts = graph.ingest(nodes, net.limit(0), net.unionByName(net.limit(1)))
+    assert grown.count() == 5 and edges.count() == 5
+    assert counts.first().asDict() == {"triples": 6, "new_relationships": 6, "new_concepts": 3}
+    chunks = spark.createDataFrame([("f::0",), ("f::1",)], "chunk_id string")
+    assert [r["chunk_id"] for r in graph.unprocessed(chunks, chunks.limit(1)).collect()] == ["f::1"]
