@@ -6,10 +6,11 @@ unseen one by the longest n-grams of it that are known, falling back from five
 characters to one, each step at a discount. A text's language is the one with the
 highest mean over its words.
 
-The model is learned from a bounded sample of labelled rows: of each language the
-``sample_docs`` rows first in a fixed pseudo-random order, of which the commonest
-``top_words`` words and ``top_grams`` n-grams per length are kept. These bounds and
-``max_langs`` are what limits what the driver holds and broadcasts.
+The model is learned from a bounded sample of labelled rows: of each language those
+whose hashed doc_id falls under a threshold set for ``sample_docs`` rows (all, where
+it has fewer). Of these the commonest ``top_words`` words and ``top_grams`` n-grams per
+length are kept. With ``max_langs`` these bounds limit what the driver holds and
+broadcasts.
 
 Edge cases: a null text or one without a letter is "und" with score 0; a text whose
 words hold nothing known gets the first language at an even score; ties go to the
@@ -71,12 +72,13 @@ def _logs(counts: dict, langs: list[str]) -> dict:
 def train(docs: DataFrame, sample_docs: int = 1500, top_words: int = 20_000, top_grams: int = 20_000, max_langs: int = 256) -> Model:
     """Learn from text and lang of the rows that aren't held out."""
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    langs = sorted(r["lang"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect())
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    langs = sorted(sizes)
     if not langs:
         return Model([])
-    drawn = labelled.where(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("rn") <= sample_docs)
-    ids = drawn.select(F.col("doc_id").alias("__id")).distinct()  # at most max_langs * sample_docs numbers
-    sample = labelled.where(F.col("lang").isin(langs)).join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi")
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, sample_docs / sizes[lang]))])
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    sample = labelled.where(F.col("lang").isin(langs)).where(place < F.try_element_at(share, F.col("lang")))
     counted = sample.select("lang", F.explode(_lower_words(F.col("text"))).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     best = counted.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rn") <= top_words)
     words: dict[str, dict[int, int]] = {}
