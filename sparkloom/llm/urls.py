@@ -89,6 +89,11 @@ def build_index(rules: tuple[Rule, ...], counts: dict[str, int]) -> dict[str, li
     return index
 
 
+def _own_tokens(subject: Column) -> Column:
+    """A URL's distinct tokens, and the empty one."""
+    return F.array_union(F.array(F.lit("")), F.regexp_extract_all(subject, F.lit(TOKEN), F.lit(0)))
+
+
 def _decide(candidates: Column) -> Column:
     """Of candidate structs (site, size, rule, verdict, pattern): the best that fits ``subject``, or null."""
     fitting = F.filter(candidates, lambda r: F.regexp_like(F.col("subject"), r["pattern"]))
@@ -110,24 +115,23 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + NAME_RULES, u
     counts = token_counts(sites, sorted({t for r in rules for t in r.tokens}) or [""])
     index = build_index(rules, counts)
     subject = F.concat("host", "path")
-    own = F.array_union(F.array(F.lit("")), F.regexp_extract_all(subject, F.lit(TOKEN), F.lit(0)))
     if len(rules) <= MAX_INLINE_RULES:
         table = F.create_map(*[c for t, found in sorted(index.items()) for c in (F.lit(t), F.array(*[_struct(r) for r in found]))])
-        fetched = F.flatten(F.filter(F.transform(own, lambda t: F.try_element_at(table, t)), lambda x: x.isNotNull()))
+        fetched = F.flatten(F.filter(F.transform(_own_tokens(subject), lambda t: F.try_element_at(table, t)), lambda x: x.isNotNull()))
         judged = sites.withColumn("subject", subject).withColumn("candidates", fetched)
     else:
-        judged = _fetched_by_join(sites.withColumn("subject", subject), own, index)
+        judged = _fetched_by_join(sites.withColumn("subject", subject), index)
     best = judged.withColumn("best", _decide(F.col("candidates")))
     site = F.col("best.site") == 1
     return best.select(*keep, "host", "path", F.when(site, F.col("best.rule")).alias("rule"), F.coalesce("best.verdict", F.lit(DEFAULT_VERDICT)).alias("verdict"), F.size("candidates").cast("long").alias("n_candidates"))
 
 
-def _fetched_by_join(sites: DataFrame, own: Column, index: dict[str, list[Rule]]) -> DataFrame:
+def _fetched_by_join(sites: DataFrame, index: dict[str, list[Rule]]) -> DataFrame:
     """The same candidates where the rules are a table: joined on the token, once per distinct subject."""
     spark = sites.sparkSession
     rows = [(t, int(r.kind == "site"), len(r.text), r.text, r.verdict, r.pattern) for t, found in index.items() for r in found]
     filed = spark.createDataFrame(rows, "token string, site int, size int, rule string, verdict string, pattern string")
-    tokens = sites.select("subject").distinct().select("subject", F.explode(F.array_union(F.array(F.lit("")), F.regexp_extract_all("subject", F.lit(TOKEN), F.lit(0)))).alias("token"))
+    tokens = sites.select("subject").distinct().select("subject", F.explode(_own_tokens(F.col("subject"))).alias("token"))
     fetched = tokens.join(filed, "token").groupBy("subject").agg(F.collect_list(F.struct("site", "size", "rule", "verdict", "pattern")).alias("candidates"))
     empty = F.array().cast("array<struct<site:int,size:int,rule:string,verdict:string,pattern:string>>")
     return sites.join(fetched, "subject", "left").withColumn("candidates", F.coalesce("candidates", empty))
