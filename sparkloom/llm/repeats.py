@@ -30,6 +30,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -43,9 +44,11 @@ LEAST = 50
 GRAM = 16
 STEP_BYTES = 2_000_000
 #: Texts that are packed for their buckets at once.
-PACK_BYTES = 8_000_000
+PACK_BYTES = 16_000_000
+#: Members of repeats handled at once.
+BLOCK_MEMBERS = 500_000
 #: Text bytes per bucket of anchors, of fragments and of documents.
-ANCHOR_BUCKET, FRAGMENT_BUCKET, DOCUMENT_BUCKET = 32_000_000, 4_000_000, 4_000_000
+ANCHOR_BUCKET, FRAGMENT_BUCKET, DOCUMENT_BUCKET = 24_000_000, 3_000_000, 3_000_000
 #: Bytes of a suffix that are sorted; longer repeats come out in overlapping pieces.
 DEPTH = 96
 ROW = "part int, kind int, blob binary"
@@ -71,7 +74,7 @@ def pack(**columns: np.ndarray) -> bytes:
         head.append(f"{name} {kind} {values.nbytes}")
         body.append(values.tobytes())
     top = ",".join(head).encode()
-    return zstandard.ZstdCompressor(level=3).compress(len(top).to_bytes(4, "little") + top + b"".join(body))
+    return zstandard.ZstdCompressor(level=5).compress(len(top).to_bytes(4, "little") + top + b"".join(body))
 
 
 def unpack(blob: bytes) -> dict[str, np.ndarray]:
@@ -399,7 +402,7 @@ def suffix_array(raw: np.ndarray, at: np.ndarray, end: np.ndarray, depth: int =
     return order, common
 
 
-def maximal_repeats(common: np.ndarray, left: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+def maximal_repeats(common: np.ndarray, left: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(length, first, last) in the suffix array of each interval of the common-prefix tree
     that is at least ``least`` long and whose left neighbours differ.
 
@@ -407,7 +410,7 @@ def maximal_repeats(common: np.ndarray, left: np.ndarray, least: int) -> list[tu
     unknown. The stack holds the open intervals: their common prefix, first suffix and
     the one left neighbour of all so far, or ``_MIXED``.
     """
-    out = []
+    out_length, out_first, out_last = array("q"), array("q"), array("q")
     lengths, firsts, lefts = [0], [0], [_MIXED]
     lcp = np.where(common >= least, common, 0).tolist()
     lcp.append(0)
@@ -420,14 +423,32 @@ def maximal_repeats(common: np.ndarray, left: np.ndarray, least: int) -> list[tu
             length, first, held = lengths.pop(), firsts.pop(), lefts.pop()
             value = held if held == value else _MIXED
             if value == _MIXED:
-                out.append((length, first, i - 1))
+                out_length.append(length)
+                out_first.append(first)
+                out_last.append(i - 1)
         if now > lengths[-1]:
             lengths.append(now)
             firsts.append(first)
             lefts.append(value)
         elif now and lefts[-1] != value:
             lefts[-1] = _MIXED
-    return out
+    return tuple(np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for x in (out_length, out_first, out_last))
+
+
+def _in_blocks(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Intervals a bounded number of members at a time: (number of the first, members, their
+    intervals' places in the block, the intervals' first members' places).
+
+    Intervals nest, so all members together can be many times the suffixes.
+    """
+    many = last - first + 1
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_MEMBERS, side="right")))
+        own = many[at:to]
+        yield at, ranges(first[at:to], own), np.repeat(np.arange(to - at), own), np.cumsum(own) - own
+        at = to
 
 
 _MIXED = -2
@@ -453,54 +474,52 @@ def _shared_windows(raw: np.ndarray, at: np.ndarray, size: np.ndarray, doc: np.n
     return fragment[keep], place[keep]
 
 
-def _bucket_repeats(sent: list[dict[str, np.ndarray]], least: int, collapse: bool) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """(spans to remove, occurrences of maximal repeats: group, length, doc, start) of one bucket."""
-    anchor, start, size, raw = (np.concatenate([s[c] for s in sent]) for c in ("d_anchor", "start", "size", "bytes"))
-    doc = np.concatenate([s["ids"][s["text"]] for s in sent])
-    tag = np.concatenate([s["tags"][s["text"]] for s in sent])
-    start, size = start.astype(np.int64), size.astype(np.int64)
-    at = np.cumsum(size) - size
-    cut = {c: [] for c in ("doc", "tag", "start", "end")}
-
-    def mark(who: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
-        for c, v in (("doc", doc[who]), ("tag", tag[who]), ("start", begin), ("end", begin + length)):
-            cut[c].append(v)
-
-    stay = np.ones(len(anchor), bool)
-    if collapse:
-        stay, repeat = _collapse(raw, anchor, doc, at, size)
-        mark(np.flatnonzero(repeat), start[repeat], size[repeat])
-    # Anchors with fragments of two documents left.
-    who = np.flatnonzero(stay)
-    who = who[np.argsort(anchor[who], kind="stable")]
-    groups = {c: np.zeros(0, np.int64) for c in ("group", "length", "doc", "start")}
-    if len(who):
-        a, d = anchor[who], doc[who]
+class _Bucket:
+    """The fragments of one bucket and, once ``sort`` has run, their enhanced suffix array."""
+
+    def __init__(self, sent: list[dict[str, np.ndarray]]):
+        self.anchor, start, size, self.raw = (np.concatenate([s[c] for s in sent]) for c in ("d_anchor", "start", "size", "bytes"))
+        self.doc = np.concatenate([s["ids"][s["text"]] for s in sent])
+        self.tag = np.concatenate([s["tags"][s["text"]] for s in sent])
+        self.start, self.size = start.astype(np.int64), size.astype(np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        none = np.zeros(0, np.int64)
+        self.source = self.begin = self.length = self.first = self.last = none
+
+    def sort(self, stay: np.ndarray, least: int) -> None:
+        """Suffixes of shared windows among the fragments that ``stay``, and the maximal repeats."""
+        who = np.flatnonzero(stay)
+        who = who[np.argsort(self.anchor[who], kind="stable")]
+        if not len(who):
+            return
+        a, d = self.anchor[who], self.doc[who]
         starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        mixed = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
+        mixed = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)  # anchors left with two documents
         who = who[np.repeat(mixed, np.diff(np.append(starts, len(a))))]
-    if len(who):
-        n = size[who]
-        text = raw[ranges(at[who], n)]
+        if not len(who):
+            return
+        n = self.size[who]
+        text = self.raw[ranges(self.at[who], n)]
         own = np.cumsum(n) - n
-        fragment, place = _shared_windows(text, own, n, doc[who], least)
-        if len(place):
-            order, common = suffix_array(text, place, (own + n)[fragment])
-            fragment, place = fragment[order], place[order]
-            left = np.where(place > own[fragment], text[np.maximum(place - 1, 0)].astype(np.int64), -1)
-            found = np.array(maximal_repeats(common, left, least), np.int64).reshape(-1, 3)
-            length, first, last = found.T
-            many = last - first + 1
-            inside = ranges(first, many)
-            which = np.repeat(np.arange(len(found)), many)
-            source = who[fragment[inside]]
-            begin = start[source] + place[inside] - own[fragment[inside]]
-            groups = {"group": which, "length": length[which], "doc": doc[source], "start": begin}
-            if len(found):
-                least_doc = np.minimum.reduceat(doc[source], np.cumsum(many) - many)
-                later = doc[source] > least_doc[which]
-                mark(source[later], begin[later], length[which][later])
-    return {c: np.concatenate([np.zeros(0, v[0].dtype) if v else np.zeros(0, np.int64), *v]) for c, v in cut.items()}, groups
+        fragment, place = _shared_windows(text, own, n, self.doc[who], least)
+        if not len(place):
+            return
+        order, common = suffix_array(text, place, (own + n)[fragment])
+        fragment, place = fragment[order], place[order]
+        left = np.where(place > own[fragment], text[np.maximum(place - 1, 0)].astype(np.int64), -1)
+        self.length, self.first, self.last = maximal_repeats(common, left, least)
+        self.source = who[fragment]
+        self.begin = self.start[self.source] + place - own[fragment]
+
+    def removed(self) -> tuple[np.ndarray, np.ndarray]:
+        """(suffix, length): the longest repeat at each suffix that an earlier document has, too."""
+        reach = np.zeros(len(self.source), np.int64)
+        for at, inside, which, opens in _in_blocks(self.first, self.last):
+            d = self.doc[self.source[inside]]
+            later = d > np.minimum.reduceat(d, opens)[which]
+            np.maximum.at(reach, inside[later], self.length[at + which[later]])
+        hit = np.flatnonzero(reach)
+        return hit, reach[hit]
 
 
 def _find(batches: Iterable[pa.RecordBatch], n_docs: int, least: int) -> Iterator[pa.RecordBatch]:
@@ -508,8 +527,16 @@ def _find(batches: Iterable[pa.RecordBatch], n_docs: int, least: int) -> Iterato
         rows = [(kind - 1, 1, blob) for kind, blob in blobs if kind]
         sent = [unpack(blob) for kind, blob in blobs if not kind]
         if sent:
-            cut, _ = _bucket_repeats(sent, least, True)
-            rows += [(p, 1, _spans_blob(*(cut[c][x] for c in ("doc", "tag", "start", "end")))) for p, x in _split(_part_of(cut["doc"].astype(np.int64), n_docs), n_docs)]
+            bucket = _Bucket(sent)
+            del sent, blobs
+            stay, repeat = _collapse(bucket.raw, bucket.anchor, bucket.doc, bucket.at, bucket.size)
+            bucket.sort(stay, least)
+            hit, length = bucket.removed()
+            who = np.concatenate([np.flatnonzero(repeat), bucket.source[hit]])
+            begin = np.concatenate([bucket.start[repeat], bucket.begin[hit]])
+            end = begin + np.concatenate([bucket.size[repeat], length])
+            doc, tag = bucket.doc[who], bucket.tag[who]
+            rows += [(p, 1, _spans_blob(doc[x], tag[x], begin[x], end[x])) for p, x in _split(_part_of(doc, n_docs), n_docs)]
         yield _rows(rows)
 
 
@@ -591,9 +618,12 @@ def repeat_groups(docs: DataFrame, least: int = LEAST) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, blobs in _by_part(batches):
             sent = [unpack(blob) for kind, blob in blobs if not kind]
-            if sent:
-                _, found = _bucket_repeats(sent, least, False)
-                n = len(found["group"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(found["group"]), pa.array(found["length"]), pa.array(found["doc"], pa.int64(), mask=found["doc"] == _NULL_ID), pa.array(found["start"])], ["part", "group", "length", "doc_id", "start"])
+            if not sent:
+                continue
+            bucket = _Bucket(sent)
+            bucket.sort(np.ones(len(bucket.anchor), bool), least)
+            for at, inside, which, _ in _in_blocks(bucket.first, bucket.last):
+                doc = bucket.doc[bucket.source[inside]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(inside), part, np.int32)), pa.array(at + which), pa.array(bucket.length[at + which]), pa.array(doc, pa.int64(), mask=doc == _NULL_ID), pa.array(bucket.begin[inside])], ["part", "group", "length", "doc_id", "start"])
 
     return _Plan(docs, least).fragments(False).mapInArrow(run, "part int, group long, length long, doc_id long, start long")

@@ -247,7 +247,7 @@ def test_interval_tree_finds_all_maximal_repeats():
         order, common = repeats.suffix_array(raw, at, np.full(60, 60), depth=64)
         assert order.tolist() == sorted(range(60), key=lambda i: text[i:])
         left = np.where(order > 0, raw[order - 1].astype(np.int64), -1)
-        got = {(text[order[first] : order[first] + n], tuple(sorted(order[first : last + 1].tolist()))) for n, first, last in repeats.maximal_repeats(common, left, 3)}
+        got = {(text[order[first] : order[first] + n], tuple(sorted(order[first : last + 1].tolist()))) for n, first, last in zip(*map(np.ndarray.tolist, repeats.maximal_repeats(common, left, 3)), strict=True)}
         want = set()
         for i in range(60):
             for n in range(3, 60 - i + 1):
