@@ -123,6 +123,22 @@ SELECT doc_id, size, source_size, target, epochs * size AS taken, epochs, CASE W
 """
 
 
+#: Windows as hex strings, cut from pieces of 512 so that no long text is walked once per window.
+_OP6_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(doc_id, 9223372036854775807) AS id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT rid, id, j, substr(h, 1024 * j + 1, 1122) AS piece, least(512, length(h) // 2 - 49 - 512 * j) AS k FROM (SELECT *, unnest(range(0, greatest(0, (length(h) // 2 + 462) // 512))) AS j FROM d)),
+w AS (SELECT rid, id, 512 * j + i AS pos, substr(piece, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, k)) AS i FROM p)),
+m AS (SELECT s, min(id) AS first_id FROM w GROUP BY s HAVING count(*) > 1),
+r AS (SELECT rid, pos, lag(pos) OVER (PARTITION BY rid ORDER BY pos) AS before FROM w JOIN m USING (s) WHERE first_id < id),
+g AS (SELECT rid, pos, sum(CASE WHEN before IS NULL OR pos - before > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY pos) AS run FROM r),
+spans AS (SELECT rid, run, min(pos) AS a, max(pos) + 50 AS b FROM g GROUP BY rid, run),
+gaps AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS c FROM spans),
+kept AS (SELECT d.rid, count(a) AS n_spans, coalesce(sum(b - a), 0)::BIGINT AS n_removed,
+                coalesce(string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a), '') || substr(any_value(h), 2 * coalesce(max(b), 0) + 1) AS rest FROM d LEFT JOIN gaps USING (rid) GROUP BY d.rid)
+SELECT doc_id, length(h) // 2 AS n_bytes, n_removed, n_spans, sha256(unhex(rest)) AS kept_sha256 FROM d JOIN kept USING (rid)
+"""
+
+
 def _op2_sql() -> str:
     def spans(k: int, rule: secrets.Rule) -> str:
         pattern = rule.pattern.replace("'", "''")
@@ -147,4 +163,4 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scans": _op2_sql(), "op3_chat_formatting": _OP3_SQL, "op4_url_filters": _op4_sql(), "op10_mixing": _op10_sql()}
+    return {"op2_secret_scans": _op2_sql(), "op6_suffix_repeats": _OP6_SQL, "op3_chat_formatting": _OP3_SQL, "op4_url_filters": _op4_sql(), "op10_mixing": _op10_sql()}
