@@ -110,10 +110,14 @@ def long_words(text: Column) -> Column:
 def relevance(query: Column, summary: Column) -> Column:
     """Share of the question's long words in the summary, plus 0.2 for each pair of them, in
     question order, that stands in the summary as a phrase."""
-    own = F.array_distinct(long_words(query))
-    pairs = F.zip_with(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))), F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    found = F.size(F.filter(pairs, lambda p: F.contains(F.lower(summary), p)))
-    there = long_words(summary)
+    return word_relevance(F.array_distinct(long_words(query)), F.array_distinct(long_words(summary)), F.lower(summary))
+
+
+def word_relevance(own: Column, there: Column, lowered: Column) -> Column:
+    """The same from the distinct long words of both and the lower-cased summary, worked out once per row before any join."""
+    rest = F.greatest(F.size(own) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(own, 1, rest), F.slice(own, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
+    found = F.size(F.filter(pairs, lambda p: F.contains(lowered, p)))
     return F.when((F.size(own) > 0) & (F.size(there) > 0), F.size(F.array_intersect(own, there)) / F.size(own) + 0.2 * found).otherwise(0.0)
 
 

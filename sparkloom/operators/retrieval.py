@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import hooks
-from ..functions.scoring import entity_score, mode, relevance, route, search_score, tokens
+from ..functions.scoring import entity_score, long_words, mode, route, search_score, tokens, word_relevance
 from ..functions.text import acronym, first_sentence, strip, truncate_words
 
 #: Rows of a query side that may be broadcast; larger sets are matched in blocks of this many.
@@ -71,10 +71,17 @@ def related_names(names: DataFrame, question: str, n: int = 30) -> DataFrame:
     return names.select("name", shared.alias("shared")).where("shared > 0").orderBy(F.desc("shared"), F.desc("name")).limit(n)
 
 
+def relevances(texts: DataFrame, questions: DataFrame) -> DataFrame:
+    """``texts`` (with summary) with each question's qid and score; each side's words are cut once, before they meet."""
+    cut = texts.select("*", F.array_distinct(long_words(F.col("summary"))).alias("__there"), F.lower("summary").alias("__low"))
+    asked = questions.select("qid", F.array_distinct(long_words(F.col("question"))).alias("__own"))
+    return against(cut, asked).withColumn("score", F.round(word_relevance(F.col("__own"), F.col("__there"), F.col("__low")), 6)).drop("__there", "__low", "__own")
+
+
 def ranked_summaries(questions: DataFrame, communities: DataFrame, k: int = 5) -> DataFrame:
     """Each question's k most relevant communities; those at score 0 go, unless all are: then the first k by id."""
     told = communities.where(F.length("summary") > 0)
-    scored = against(told.select("community_id", "summary"), questions.select("qid", "question")).withColumn("score", F.round(relevance(F.col("question"), F.col("summary")), 6))
+    scored = relevances(told.select("community_id", "summary"), questions)
     top = scored.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "community_id"))).where(F.col("rn") <= k)
     best = F.max("score").over(Window.partitionBy("qid"))
     return top.withColumn("best", best).where("score > 0 OR best = 0").select("qid", "community_id", "score", "rn", "summary")
