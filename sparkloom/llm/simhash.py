@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import overlap
 from .common import slices
 
 SHINGLE = 3
@@ -260,12 +261,13 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return marked.join(labels, "fp")
 
 
-def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Of each component the document with the smallest doc_id.
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Of each component of texts with 5-word shingles of Jaccard similarity 0.8 or more the document with the smallest doc_id.
 
     Repeated rows of one doc_id count once; rows without a doc_id stay, one per text.
+    Such texts are often further than ``MAX_BITS`` apart, so the stage searches by ``overlap``.
     """
-    gone = near_duplicates(docs, max_bits).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = overlap.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
     nameless = F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256))
     return left.withColumn("__nameless", nameless).dropDuplicates(["doc_id", "__nameless"]).drop("__nameless")
