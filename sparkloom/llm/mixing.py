@@ -85,13 +85,13 @@ def due(share: Column, schedule: tuple[float, float, float]) -> Column:
     return F.when(area <= half, inverse(area, first, middle)).otherwise(0.5 + inverse(area - half, middle, last))
 
 
-def place(docs: DataFrame, schedules: tuple = SCHEDULES) -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs, taken and position of every row.
+def place(docs: DataFrame, schedules: tuple = SCHEDULES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, epochs, taken and position of every row, and the columns ``keep``.
 
     ``epochs`` is how often the mix takes the document, ``position`` the training
     time in [0, 1] at which it first comes up, null if it never does.
     """
-    sized = cut_lineage(docs.select("doc_id", "source", word_count(whole_text()).alias("size")))
+    sized = cut_lineage(docs.select("doc_id", "source", word_count(whole_text()).alias("size"), *keep))
     targets = cut_lineage(source_targets(sized))
     most = targets.agg(F.max("n_docs")).first()[0] or 0
     n_slices = min(_SLICES, 1 << max(0, int(most // SLICE_ROWS)).bit_length())
@@ -111,7 +111,7 @@ def place(docs: DataFrame, schedules: tuple = SCHEDULES) -> DataFrame:
     return (
         run.withColumn("epochs", chosen.cast("long"))
         .withColumn("position", F.when(F.col("epochs") > 0, F.round(position, 9)))
-        .select("doc_id", "source", "size", "source_size", "target", "rank", "epochs", (F.col("epochs") * F.col("size")).alias("taken"), middle.alias("middle"), "position")
+        .select("doc_id", "source", "size", "source_size", "target", "rank", "epochs", (F.col("epochs") * F.col("size")).alias("taken"), middle.alias("middle"), "position", *keep)
     )
 
 
@@ -127,11 +127,15 @@ def range_sorted(placed: DataFrame) -> DataFrame:
 def curriculum(docs: DataFrame, schedules: tuple = SCHEDULES) -> DataFrame:
     """The mixed corpus: rows of ``docs``, each as often as it is taken, in training order.
 
-    ``docs`` must have unique doc_ids. Its columns come back unchanged.
+    Rows count by themselves: repeated doc_ids and null ones are taken like any other.
+    ``docs``' columns come back unchanged.
     """
-    placed = place(docs, schedules).where("epochs > 0")
+    # The key must be the same in both uses below, so the rows are written with it.
+    keyed = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
+    placed = place(keyed, schedules, keep=("__row",)).where("epochs > 0")
     again = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("epochs") - 1).cast("int"))))
     share = (F.col("middle") + F.col("epoch") * F.col("source_size")) / F.col("target")
     when = F.coalesce(*[F.when(F.col("rank") % len(schedules) == k, due(share, s)) for k, s in enumerate(schedules)])
-    times = again.select(F.col("doc_id").alias("__doc"), F.round(when, 9).alias("__due"), F.col("epoch").alias("__epoch"))
-    return docs.join(times, docs["doc_id"] == times["__doc"]).repartitionByRange("__due", "__doc").sortWithinPartitions("__due", "__doc", "__epoch").drop("__doc", "__due", "__epoch")
+    times = again.select("__row", F.round(when, 9).alias("__due"), F.col("epoch").alias("__epoch"))
+    order = ["__due", "doc_id", "__row"]
+    return keyed.join(times, "__row").repartitionByRange(*order).sortWithinPartitions(*order, "__epoch").select(*docs.columns)
