@@ -49,7 +49,7 @@ PACK_BYTES = 16_000_000
 BLOCK_MEMBERS = 500_000
 #: Text bytes per bucket of anchors, of fragments and of documents.
 ANCHOR_BUCKET, FRAGMENT_BUCKET, DOCUMENT_BUCKET = 24_000_000, 3_000_000, 3_000_000
-#: Bytes of a suffix that are sorted; longer repeats come out in overlapping pieces.
+#: Bytes of a suffix that are sorted; longer repeats come out in overlapping pieces, one from each of their suffixes.
 DEPTH = 96
 ROW = "part int, kind int, blob binary"
 _NULL_ID = np.iinfo(np.int64).max
@@ -402,9 +402,11 @@ def suffix_array(raw: np.ndarray, at: np.ndarray, end: np.ndarray, depth: int =
     return order, common
 
 
-def maximal_repeats(common: np.ndarray, left: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def maximal_repeats(common: np.ndarray, left: np.ndarray, least: int, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(length, first, last) in the suffix array of each interval of the common-prefix tree
-    that is at least ``least`` long and whose left neighbours differ.
+    that is at least ``least`` long and whose left neighbours differ; and of each one that
+    is ``depth`` long, whatever its left: the one further left may be cut there, too, and
+    so not reach as far.
 
     ``left`` has the byte before each suffix in suffix-array order, negative where it is
     unknown. The stack holds the open intervals: their common prefix, first suffix and
@@ -422,7 +424,7 @@ def maximal_repeats(common: np.ndarray, left: np.ndarray, least: int) -> tuple[n
         while now < lengths[-1]:
             length, first, held = lengths.pop(), firsts.pop(), lefts.pop()
             value = held if held == value else _MIXED
-            if value == _MIXED:
+            if value == _MIXED or length >= depth:
                 out_length.append(length)
                 out_first.append(first)
                 out_last.append(i - 1)
