@@ -64,6 +64,12 @@ MORE_RULES = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", needs="eyJ"),
 )
 RULES = BASE_RULES + MORE_RULES
+_PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: What ``redact`` blanks: of a private key all up to its END line; where that is missing, the header lines and base64 lines that follow.
+REDACT_RULES = tuple(
+    Rule("pem", 2, rf"{_PEM}(?:[^-]*+(?:-(?!----)[^-]*+){{0,40}}-----END [A-Z ]*PRIVATE KEY-----|(?:\s*+[A-Z][A-Za-z-]*+:\x20[^\r\n]*+){{0,8}}(?:\s*+[A-Za-z0-9+/]++={{0,2}}(?=\s*(?:[\r\n]|\z))){{0,400}})", needs="PRIVATE KEY-----") if r.kind == "pem" else r
+    for r in RULES
+)
 _SPAN = "struct<s:bigint,k:int,e:bigint>"
 
 
@@ -160,7 +166,7 @@ def digest(findings: DataFrame, path: str = "doc_id") -> DataFrame:
     return findings.select(F.col("path").alias(path), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = REDACT_RULES) -> DataFrame:
     """``docs`` with every secret replaced by ``[SECRET]``; n_chars follows. No document goes.
 
     Overlapping spans are merged first. Each distinct text is scanned once; texts
