@@ -422,7 +422,7 @@ def monologues(spark, d):
 
 
 def louvain(spark, d):
-    return graph.communities(_small(spark, d))
+    return graph.communities(tables.concept_edges(spark, d))
 
 
 def community_summaries(spark, d):
