@@ -19,7 +19,11 @@ LEXICON = [["good", "hope", "better", "help"], ["amazing", "great", "wow", "exci
 
 
 def topic_pipeline(topics: int = 8, max_iter: int = 20, vocabulary: int = 3000, min_df: float = 5.0, seed: int = 42) -> Pipeline:
-    """Tokens of two letters or more without stop words, with their pairs, to counts to topics."""
+    """Tokens of two letters or more without stop words, with their pairs, to counts to topics.
+
+    Every iteration draws as many rows as there are, with replacement (Spark's sampling
+    for this optimizer): about 63 % of them each time, so 20 iterations leave out one row in 5e8.
+    """
     stop = StopWordsRemover.loadDefaultStopWords("english") + schemas.TOPIC_STOPWORDS
     return Pipeline(
         stages=[
@@ -28,7 +32,7 @@ def topic_pipeline(topics: int = 8, max_iter: int = 20, vocabulary: int = 3000,
             NGram(n=2, inputCol="kept", outputCol="pairs"),
             SQLTransformer(statement="SELECT *, concat(kept, pairs) AS terms FROM __THIS__"),
             CountVectorizer(inputCol="terms", outputCol="features", vocabSize=vocabulary, minDF=min_df, maxDF=0.9),
-            LDA(k=topics, optimizer="online", maxIter=max_iter, seed=seed),
+            LDA(k=topics, optimizer="online", maxIter=max_iter, subsamplingRate=1.0, seed=seed),
         ]
     )
 

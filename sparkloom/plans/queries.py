@@ -431,7 +431,7 @@ def community_summaries(spark, d):
 
 def lda_topics(spark, d):
     rows = _docs(spark, d).select("doc_id", "source", "text")
-    model = topics.fit_topics(rows, "text", topics=8, max_iter=5)
+    model = topics.fit_topics(rows, "text", topics=8)
     return topics.assign(model, rows, "text").select("doc_id", "topic_id", "topic_confidence")
 
 
