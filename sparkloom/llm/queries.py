@@ -35,7 +35,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digest(_read(spark, sf_dir, "documents"))
+    return pieces.digest(_read(spark, sf_dir, "documents"), with_ids=True)
 
 
 def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
