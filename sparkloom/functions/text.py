@@ -58,6 +58,26 @@ def url_name(name: Column) -> Column:
     return F.url_encode(F.replace(name, F.lit(" "), F.lit("_")))
 
 
+#: Least length of a fetched extract.
+MIN_EXTRACT = 50
+
+
+def fetch_title(name: Column, overrides: dict[str, str | None]) -> Column:
+    """The title to look a concept up under, null where there is nothing to fetch: names with a slash,
+    names of one or two characters, and those that ``overrides`` maps to None."""
+    known = F.lit(False)
+    title = name
+    for key, value in overrides.items():
+        known = known | (name == key) if value is None else known
+        title = F.when(name == key, value).otherwise(title) if value is not None else title
+    return F.when(fetchable(name) & ~known, title)
+
+
+def usable_extract(text: Column) -> Column:
+    """A fetched extract, null where it is too short to keep."""
+    return F.when(F.length(strip(text)) >= MIN_EXTRACT, text)
+
+
 def fetchable(name: Column) -> Column:
     """Names that an encyclopedia lookup can take."""
     return ~F.contains(name, F.lit("/")) & (F.length(name) > 2)
@@ -143,10 +163,15 @@ def character_of(prompt: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(prompt, rf"(?s)^You are (.*?){end}", 1), F.lit("")) for end in (" from", r"\. ")])
 
 
-def concept_document(name: Column, definition: Column, uses: Column, tools: Column) -> Column:
-    """The text of a concept that goes into the vector index; empty lists leave no line."""
-    some = lambda head, xs: F.when(F.size(xs) > 0, F.concat(F.lit(head), F.array_join(xs, ", ")))
-    return F.concat_ws("\n", name, definition, some("Use cases: ", uses), some("Tools: ", tools))
+def concept_document(name: Column, definition: Column, category: Column, difficulty: Column, uses: Column) -> Column:
+    """The text of a concept that goes into the vector index."""
+    listed = F.coalesce(F.array_join(uses, ", "), F.lit(""))
+    return F.concat_ws("\n", name, F.coalesce(definition, F.lit("")), F.concat(F.lit("Category: "), category), F.concat(F.lit("Difficulty: "), difficulty), F.concat(F.lit("Use cases: "), listed))
+
+
+def from_epoch(seconds: Column) -> Column:
+    """The time that a number of seconds since 1970 stands for."""
+    return F.timestamp_seconds(seconds)
 
 
 def seed_document(name: Column, category: Column, difficulty: Column, definition: Column, uses: Column, tools: Column, refs: Column) -> Column:

@@ -97,6 +97,24 @@ def label_words(content: DataFrame, n: int, least: int = 4) -> DataFrame:
     return first_per_group(counts, ["sentiment_label"], [F.desc("cnt"), F.col("word")], n)
 
 
+#: Days that a listing's time filter goes back; all has no limit.
+TIME_FILTERS = {"day": 1, "week": 7, "month": 30, "year": 365, "all": None}
+
+
+def listing(posts: DataFrame, comments: DataFrame, now: str, time_filter: str = "month", limit: int = 100, n: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(posts, comments) as a listing gives them: the best ``limit`` posts since the filter's start, and the first
+    ``n`` comments of each that aren't deleted.
+
+    ``posts`` has created_utc in seconds, ``comments`` post_id and turn.
+    """
+    from ..functions.text import from_epoch
+
+    days = TIME_FILTERS[time_filter]
+    since = posts if days is None else posts.where(from_epoch(F.col("created_utc")) >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
+    top = top_by_score(since, limit)
+    return top, top_comments(comments.join(top.select(F.col("id").alias("post_id")), "post_id", "left_semi"), n)
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows of each table in one result."""
     out = None

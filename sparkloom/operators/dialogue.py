@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..columns import counted, fresh
 from ..functions.scoring import verdict, vote, without_vote
-from ..functions.text import clean_dialogue, pick_template, strip, token_estimate, words
+from ..functions.text import clean_dialogue, pick_template, stem_key, strip, token_estimate, words
 
 QUOTE = "[\"“](.+?)[\"”]"
 #: Headings that mark a biography.
@@ -113,7 +114,7 @@ def cycle_pick(wanted: DataFrame, n: str, scenarios: DataFrame) -> DataFrame:
     """For each row of ``wanted`` its ``n`` scenarios in turn, from the start again when they run out."""
     total = scenarios.select(F.count(F.lit(1)).over(Window.partitionBy()).alias("total"), F.col("ord"), F.col("value"))
     turns = wanted.where(F.col(n) > 0).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1)))
-    return turns.join(F.broadcast(total), F.expr("turn % total = ord")).drop("total", "ord")
+    return turns.join(counted(total), F.expr("turn % total = ord")).drop("total", "ord")
 
 
 def merge_profiles(profiles: DataFrame) -> DataFrame:
@@ -161,13 +162,13 @@ def parse_script(files: DataFrame, aliases: DataFrame, least: int = 10) -> DataF
     each = lambda g: F.regexp_extract_all("content", F.lit(pattern), F.lit(g))
     found = files.select("source", F.posexplode(F.arrays_zip(each(1).alias("name"), each(2).alias("line"))).alias("pos", "m"))
     named = found.select("source", "pos", F.lower(F.trim("m.name")).alias("alias"), clean_dialogue(F.col("m.line")).alias("dialogue"))
-    return named.where(F.length("dialogue") > least).join(F.broadcast(aliases), "alias").select("source", "pos", "character", "dialogue")
+    return named.where(F.length("dialogue") > least).join(counted(aliases), "alias").select("source", "pos", "character", "dialogue")
 
 
 def parse_blocks(files: DataFrame, aliases: DataFrame, least: int = 10) -> DataFrame:
     """The other script form: a known name alone on a line, then lines up to a blank one or the next name."""
     rows = files.select("source", F.posexplode(F.split("content", "\n")).alias("pos", "raw")).withColumn("line", F.trim("raw"))
-    named = rows.join(F.broadcast(aliases), F.lower("line") == F.col("alias"), "left")
+    named = rows.join(counted(aliases), F.lower("line") == F.col("alias"), "left")
     order = Window.partitionBy("source").orderBy("pos")
     marked = named.withColumn("opens", F.sum(F.when(F.col("character").isNotNull() | (F.col("line") == ""), 1).otherwise(0)).over(order))
     block = marked.groupBy("source", "opens").agg(F.min("pos").alias("pos"), F.max("character").alias("character"), F.array_sort(F.collect_list(F.when(F.col("character").isNull(), F.struct("pos", "line")))).alias("ls"))
@@ -226,16 +227,65 @@ def counts_by_prompt(examples: DataFrame, characters: DataFrame, prompt: str = "
     Characters are a constant dimension; prompts are counted before the two are matched.
     """
     prompts = examples.groupBy(prompt).agg(F.count(F.lit(1)).alias("n"))
-    found = prompts.join(F.broadcast(characters), F.contains(F.col(prompt), F.col("character"))).groupBy(prompt, "n").agg(F.min_by("character", "ord").alias("character"))
+    found = prompts.join(counted(characters), F.contains(F.col(prompt), F.col("character"))).groupBy(prompt, "n").agg(F.min_by("character", "ord").alias("character"))
     return found.groupBy("character").agg(F.sum("n").alias("cnt"))
 
 
 def hinted(files: DataFrame, hints: DataFrame) -> DataFrame:
-    """Each file with the character of the first hint (by ord) that its stem contains or is contained in.
+    """Each file with the character of the hint (ord, hint, character) that equals its stem, else of the first
+    by ord that the stem contains or is contained in.
 
-    ``hints`` (ord, hint, character) is a small dimension, so the join on containment is
-    a broadcast of it.
+    The hints are counted before they are broadcast. Distinct stems are matched, so no
+    contents are moved.
     """
-    either = F.contains(F.lower("stem"), F.col("hint")) | F.contains(F.col("hint"), F.lower("stem"))
-    found = files.join(F.broadcast(hints), either, "left")
-    return found.groupBy(*files.columns).agg(F.min_by("character", "ord").alias("character"))
+    key = F.lower("stem")
+    either = F.contains(F.col("key"), F.col("hint")) | F.contains(F.col("hint"), F.col("key"))
+    same = F.when(F.col("key") == F.col("hint"), 0).otherwise(1)
+    found = files.select(key.alias("key")).distinct().join(counted(hints), either).groupBy("key").agg(F.min_by("character", F.struct(same, F.col("ord"))).alias("hinted"))
+    name = fresh("stem_key", files)
+    return files.withColumn(name, key).join(found.withColumnRenamed("key", name), name, "left").withColumn("character", F.col("hinted")).drop(name, "hinted")
+
+
+def parse_files(files: DataFrame, aliases: DataFrame, hints: DataFrame, monologue: str = "miranda_quotes") -> tuple[DataFrame, DataFrame]:
+    """(dialogue, profiles) of files (source, stem, content): each by the parser that its kind asks for.
+
+    Biographies give a profile and their lines as dialogue; quote files and files without
+    labels belong to the character that a hint names, "Unknown" where none does; scripts
+    are read line by line, and by blocks where that finds nothing.
+    """
+    known = hinted(files.where(F.length("content") > 0).withColumn("stem", stem_key(F.col("stem"))), hints)
+    kinds = known.withColumns({"kind": classify_file(F.col("stem"), F.col("content")), "character": F.coalesce("character", F.lit("Unknown"))})
+    of = lambda kind: kinds.where(F.col("kind") == kind)
+    profiles = parse_profile(of("profile"))
+    iconic = profiles.select("source", F.posexplode("iconic_lines").alias("pos", "dialogue"), "character")
+    one_voice = F.contains(F.lower("stem"), F.lit(monologue))
+    scripts = of("script").where(~one_voice)
+    lines = parse_script(scripts, aliases)
+    blocks = parse_blocks(scripts.join(lines.select("source").distinct(), "source", "left_anti"), aliases)
+    out = None
+    for part in (iconic, parse_quotes(of("quotes")), parse_monologue(of("script").where(one_voice)), lines, blocks):
+        part = part.select("source", "pos", "character", "dialogue")
+        out = part if out is None else out.unionByName(part)
+    return out, profiles
+
+
+def line_counts(dialogue: DataFrame, wanted: DataFrame, low: int = 30) -> DataFrame:
+    """(character, cnt, status) for every wanted character: MISSING without a line, LOW under ``low``, else OK."""
+    counts = dialogue.groupBy("character").agg(F.count(F.lit(1)).alias("n"))
+    both = wanted.select("character").join(counts, "character", "left").select("character", F.coalesce("n", F.lit(0)).cast("long").alias("cnt"))
+    return both.withColumn("status", F.when(F.col("cnt") == 0, "MISSING").when(F.col("cnt") < low, "LOW").otherwise("OK"))
+
+
+def duplicate_report(rows: DataFrame, text: str, most: int = 5) -> DataFrame:
+    """(text_sha, cnt, groups, rn): the commonest texts that repeat, and how many such texts there are."""
+    groups = duplicate_groups(rows, text)
+    total = groups.agg(F.count(F.lit(1)).alias("groups"))
+    top = groups.orderBy(F.desc("cnt"), "text_sha").limit(most)
+    return top.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("cnt"), "text_sha"))).join(F.broadcast(total))  # ``most`` rows, one row
+
+
+def reactions(pitches: DataFrame, model, least: int = 1) -> DataFrame:
+    """(character, value, reply) of a model hook on (system, value); rows without a reply go."""
+    from ..functions import hooks
+
+    return pitches.withColumn("reply", hooks.on_question(model)("system", "value")).where(F.length("reply") >= least)

@@ -7,22 +7,42 @@ to the checkpoint folder so that plans stay short and lost executors cost one ro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..columns import counted, first_rows
+from ..columns import numbered as placed
 from ..session import cut_lineage
 
 
-def build(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(distinct nodes, distinct edges between known nodes, count of skipped edges)."""
-    n = nodes.dropDuplicates(["name"])
-    distinct = edges.dropDuplicates(["src", "rel", "dst"])
+def build(nodes: DataFrame, edges: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(one row per node name, distinct edges between known nodes, count of skipped edges).
+
+    Of several rows with one name the last by ``order`` counts, as an upsert has it; without
+    an order the first by all columns.
+    """
+    n = upserted(nodes, order) if order else first_rows(nodes, ["name"])
+    distinct = edges.select("src", "rel", "dst").distinct()
     kept = distinct.join(n.select(F.col("name").alias("src")), "src", "left_semi").join(n.select(F.col("name").alias("dst")), "dst", "left_semi").select("src", "rel", "dst")
     skipped = distinct.agg(F.count(F.lit(1)).alias("total")).join(kept.agg(F.count(F.lit(1)).alias("kept"))).select((F.col("total") - F.col("kept")).alias("skipped"))
     return n, kept, skipped
 
 
+def upserted(nodes: DataFrame, order: str) -> DataFrame:
+    """One row per name: the last by ``order``; its attributes replace all earlier ones."""
+    from ..sources.sinks import upsert
+
+    return upsert(nodes.limit(0), nodes, ["name"], order)
+
+
+def merged(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after a merge: new attributes win by name, an edge stands once per (src, rel, dst)."""
+    from ..sources.sinks import upsert
+
+    return upsert(nodes, new_nodes, ["name"]), edges.select("src", "rel", "dst").unionByName(new_edges.select("src", "rel", "dst")).distinct()
+
+
 def stubs(triples: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes for the triples' endpoints that aren't known yet (names taken as they are spelled)."""
     ends = triples.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
@@ -47,18 +67,27 @@ def _typed(edges: DataFrame, types: list[str] | None) -> DataFrame:
     return edges.where(F.col("rel").isin(types)) if types else edges
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
+def _ways(edges: DataFrame) -> DataFrame:
+    """Each edge as a step (a, b) in both directions, repeats included."""
+    return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+
+
+def _frontier(found: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    return cut_lineage(found.join(seen.select(*keys), keys, "left_anti"))
 
 
 def depths(edges: DataFrame, start: DataFrame, hops: int, types: list[str] | None = None) -> DataFrame:
-    """(name, depth) of all nodes within ``hops`` undirected steps of ``start`` (name)."""
-    steps = _both_ways(_typed(edges, types))
+    """(name, depth) of all nodes within ``hops`` undirected steps of ``start`` (name).
+
+    The edges are written once; a frontier is counted and, while small, broadcast, so the
+    edges of a hop needn't be dealt.
+    """
+    steps = _ways(cut_lineage(_typed(edges, types).select("src", "dst")) if hops > 1 else _typed(edges, types))
     seen = start.select("name", F.lit(0).alias("depth"))
     frontier = seen
     for depth in range(1, hops + 1):
-        found = frontier.select(F.col("name").alias("a")).join(steps, "a").select(F.col("b").alias("name")).distinct()
-        frontier = cut_lineage(found.join(seen.select("name"), "name", "left_anti").withColumn("depth", F.lit(depth)))
+        found = steps.join(counted(frontier.select(F.col("name").alias("a"))), "a").select(F.col("b").alias("name")).distinct()
+        frontier = _frontier(found.withColumn("depth", F.lit(depth)), seen, ["name"])
         seen = seen.unionByName(frontier)
     return seen
 
@@ -68,7 +97,8 @@ def neighbours(edges: DataFrame, start: DataFrame, hops: int = 2, types: list[st
     reach = depths(edges, start, hops, types)
     expanded = reach.where(F.col("depth") < hops).select("name")
     own = _typed(edges, types)
-    touching = own.join(expanded.select(F.col("name").alias("src")), "src", "left_semi").select("src", "rel", "dst").unionByName(own.join(expanded.select(F.col("name").alias("dst")), "dst", "left_semi").select("src", "rel", "dst")).distinct()
+    ends = counted(expanded)
+    touching = own.join(ends.select(F.col("name").alias("src")), "src", "left_semi").select("src", "rel", "dst").unionByName(own.join(ends.select(F.col("name").alias("dst")), "dst", "left_semi").select("src", "rel", "dst")).distinct()
     return reach.orderBy("depth", "name").limit(most), touching
 
 
@@ -78,20 +108,68 @@ def retrieve(edges: DataFrame, start: DataFrame, mode: str = "standard", hops: i
     return neighbours(edges, start, 4 if mode == "prerequisite" else hops, MODE_TYPES.get(mode))
 
 
+def similar(edges: DataFrame, start: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Neighbours by one step of a similarity type."""
+    return neighbours(edges, start, 1, schemas.SIMILARITY_TYPES)
+
+
+def use_cases(edges: DataFrame, start: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Neighbours by up to two steps of a usage type."""
+    return neighbours(edges, start, 2, schemas.USAGE_TYPES)
+
+
+def direct(edges: DataFrame, start: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Neighbours by one step of any type."""
+    return neighbours(edges, start, 1)
+
+
+def subgraphs(edges: DataFrame, starts: DataFrame, hops: int = 2, most: int = 25) -> tuple[DataFrame, DataFrame]:
+    """The neighbourhoods of many starts at once: (key, name, depth) of up to ``most`` nodes each, (key, src, rel, dst).
+
+    ``starts`` has (key, name, types); a null ``types`` allows every type. All walk in the
+    same rounds, so their number costs rows, not jobs.
+    """
+    own = cut_lineage(edges.select("src", "rel", "dst"))
+    allowed = F.col("types").isNull() | F.array_contains("types", F.col("rel"))
+    seen = starts.select("key", "name", F.lit(0).alias("depth"))
+    frontier, reached = starts.select("key", "name", "types"), []
+    for depth in range(1, hops + 1):
+        ends = counted(frontier)
+        out = own.join(ends, F.col("src") == F.col("name")).where(allowed).select("key", "types", "src", "rel", "dst", F.col("dst").alias("found"))
+        back = own.join(ends, F.col("dst") == F.col("name")).where(allowed).select("key", "types", "src", "rel", "dst", F.col("src").alias("found"))
+        step = cut_lineage(out.unionByName(back))
+        reached.append(step.select("key", "src", "rel", "dst"))
+        new = step.select("key", F.col("found").alias("name"), "types").dropDuplicates(["key", "name"])
+        frontier = _frontier(new, seen, ["key", "name"])
+        seen = seen.unionByName(frontier.select("key", "name", F.lit(depth).alias("depth")))
+    touching = reached[0]
+    for step in reached[1:]:
+        touching = touching.unionByName(step)
+    first = Window.partitionBy("key").orderBy("depth", "name")
+    return seen.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= most).drop("rn"), touching.distinct()
+
+
 def compare(edges: DataFrame, a: DataFrame, b: DataFrame, hops: int = 2, types: tuple[str, ...] = ("REQUIRES", "IS_A")) -> DataFrame:
     """(side, name): neighbours that two nodes share or that only one has."""
-    one, two = (depths(edges, s, hops, list(types)).where("depth > 0").select("name") for s in (a, b))
+    own = cut_lineage(_typed(edges, list(types)))
+    one, two = (depths(own, s, hops).where("depth > 0").select("name") for s in (a, b))
     marked = one.withColumn("in_a", F.lit(1)).join(two.withColumn("in_b", F.lit(1)), "name", "full")
     return marked.select(F.when(F.col("in_a").isNull(), "only_b").when(F.col("in_b").isNull(), "only_a").otherwise("shared").alias("side"), "name")
 
 
+def shown(compared: DataFrame, most: int = 8) -> DataFrame:
+    """(side, names): the first names of each side of a comparison, as a list to show."""
+    first = compared.withColumn("rn", F.row_number().over(Window.partitionBy("side").orderBy("name"))).where(F.col("rn") <= most)
+    return first.groupBy("side").agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+
 def closure(edges: DataFrame, start: DataFrame, types: list[str] | None = None, rounds: int = 100) -> DataFrame:
     """Everything reachable along outgoing edges, the start not included unless a cycle returns to it."""
-    steps = _typed(edges, types if types is not None else schemas.PREREQUISITE_TYPES).select("src", "dst").distinct()
+    steps = cut_lineage(_typed(edges, types if types is not None else schemas.PREREQUISITE_TYPES).select("src", "dst"))
     seen = None
     frontier = start.select("name")
     for _ in range(rounds):
-        found = frontier.select(F.col("name").alias("src")).join(steps, "src").select(F.col("dst").alias("name")).distinct()
+        found = steps.join(counted(frontier.select(F.col("name").alias("src"))), "src").select(F.col("dst").alias("name")).distinct()
         frontier = cut_lineage(found if seen is None else found.join(seen, "name", "left_anti"))
         if frontier.isEmpty():
             break
@@ -99,26 +177,39 @@ def closure(edges: DataFrame, start: DataFrame, types: list[str] | None = None,
     return seen if seen is not None else start.select("name").limit(0)
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, types: list[str] | None = None, rounds: int = 50) -> list[str]:
-    """Names from source to target over undirected edges, each node reached from its first parent by
-    name; over all types where the prerequisite types don't connect them; else just the two names."""
+def paths(edges: DataFrame, source: str, target: str, types: list[str] | None = None, rounds: int = 50) -> DataFrame:
+    """(place, name) from source to target over undirected edges, each node reached from its first parent by
+    name; over all types where the prerequisite types don't connect them; else just the two names.
+
+    A frontier row carries the way it came; nodes seen before carry their names only.
+    """
+    spark = edges.sparkSession
+    every = cut_lineage(edges.select("src", "rel", "dst"))
+    way = None
     for chosen in (types if types is not None else schemas.PREREQUISITE_TYPES, None):
-        steps = _both_ways(_typed(edges, chosen))
-        spark = edges.sparkSession
-        seen = spark.createDataFrame([(source, None, 0)], "name string, parent string, depth int")
-        frontier = seen
-        for depth in range(1, rounds + 1):
-            found = frontier.select(F.col("name").alias("a")).join(steps, "a").groupBy(F.col("b").alias("name")).agg(F.min("a").alias("parent"))
-            frontier = cut_lineage(found.join(seen.select("name"), "name", "left_anti").withColumn("depth", F.lit(depth)))
+        steps = _ways(_typed(every, chosen))
+        frontier = spark.createDataFrame([(source, [source])], "name string, way array<string>")
+        seen = frontier.select("name")
+        for _ in range(rounds):
+            found = steps.join(counted(frontier.withColumnRenamed("name", "a")), "a").groupBy(F.col("b").alias("name")).agg(F.min_by("way", "a").alias("way"))
+            frontier = _frontier(found.select("name", F.concat("way", F.array("name")).alias("way")), seen, ["name"])
+            there = frontier.where(F.col("name") == target)
+            if not there.isEmpty():
+                way = there.select("way")
+                break
             if frontier.isEmpty():
                 break
-            seen = seen.unionByName(frontier)
-            if not frontier.where(F.col("name") == target).isEmpty():
-                path = [target]
-                while path[-1] != source:  # one lookup per step of the path
-                    path.append(seen.where(F.col("name") == path[-1]).first()["parent"])
-                return path[::-1]
-    return [source, target]
+            seen = seen.unionByName(frontier.select("name"))
+        if way is not None:
+            break
+    if way is None:
+        way = spark.createDataFrame([([source, target],)], "way array<string>")
+    return way.select(F.posexplode("way").alias("place", "name"))
+
+
+def shortest_path(edges: DataFrame, source: str, target: str, types: list[str] | None = None, rounds: int = 50) -> list[str]:
+    """The names of ``paths`` in order."""
+    return [r["name"] for r in paths(edges, source, target, types, rounds).orderBy("place").collect()]  # one row per step
 
 
 def curriculum(edges: DataFrame, target: DataFrame, known: list[str] | None = None, types: list[str] | None = None, rounds: int = 100) -> DataFrame:
@@ -148,28 +239,39 @@ def curriculum(edges: DataFrame, target: DataFrame, known: list[str] | None = No
     return shown.select(F.when(F.col("is_target"), F.col("last")).otherwise(F.col("level")).alias("level"), "name")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
-    """(name, score), the highest score 1. Parallel edges add weight; nodes without a way out share theirs.
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 200, damping: float = 0.85, tolerance: float = 1e-9) -> DataFrame:
+    """(name, score), the highest score 1. Parallel edges add weight; nodes without a way out share theirs evenly.
 
-    Runs ``rounds`` rounds, fewer when the summed change falls below ``tolerance``.
+    What such nodes share raises all scores by one factor, as the even start does, and the
+    scaling to the highest takes it out again. So the scores are the sum of what an even start
+    sends on in each round, damped: x = 1 + d P'1 + (d P')^2 1 + ... A round joins what was
+    sent last with the links, which are dealt by source once; it ends when a round sends less
+    than ``tolerance`` per node in the mean, after ``rounds`` rounds at most.
     """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = nodes.select("name").distinct()
-    n = names.count()
-    if n == 0:
-        return names.withColumn("score", F.lit(0.0))
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    links = cut_lineage(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")).join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("part")))
-    ends = cut_lineage(names.join(out.select(F.col("src").alias("name")).withColumn("has_out", F.lit(True)), "name", "left").select("name", F.col("has_out").isNull().alias("dangling")))
-    rank = ends.select("name", "dangling", F.lit(1.0 / n).alias("r"))
+    share = F.col("w") / F.sum("w").over(Window.partitionBy("src"))
+    weighted = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")).repartition(parts, "src").select("src", "dst", share.alias("part"))
+    links = cut_lineage(weighted.join(names.select(F.col("name").alias("dst")), "dst", "left_semi").repartition(parts, "src"))
+    sent = cut_lineage(names.withColumn("r", F.lit(1.0)))
+    n, held = sent.count(), [sent]
     for _ in range(rounds):
-        loose = rank.where("dangling").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("loose"))
-        sent = rank.join(links, F.col("name") == F.col("src")).groupBy(F.col("dst").alias("name")).agg(F.sum(F.col("r") * F.col("part")).alias("got"))
-        after = ends.join(sent, "name", "left").join(F.broadcast(loose)).select("name", "dangling", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("r"))
-        before, rank = rank, cut_lineage(after)
-        if tolerance is not None and (rank.join(before.select("name", F.col("r").alias("b")), "name").agg(F.sum(F.abs(F.col("r") - F.col("b")))).first()[0] or 0) < tolerance * n:
+        sent = cut_lineage(sent.join(links, F.col("name") == F.col("src")).groupBy(F.col("dst").alias("name")).agg((damping * F.sum(F.col("r") * F.col("part"))).alias("r")))
+        held.append(sent)
+        if (sent.agg(F.sum("r")).first()[0] or 0) <= tolerance * n:
             break
+        if len(held) > 16:
+            held = [cut_lineage(_summed(held))]
+    rank = _summed(held)
     top = rank.agg(F.max("r").alias("top"))
-    return rank.join(F.broadcast(top)).select("name", (F.col("r") / F.col("top")).alias("score"))
+    return rank.join(F.broadcast(top)).select("name", (F.col("r") / F.col("top")).alias("score"))  # top is one row
+
+
+def _summed(parts: list[DataFrame]) -> DataFrame:
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return both.groupBy("name").agg(F.sum("r").alias("r"))
 
 
 def heatmap(nodes: DataFrame, edges: DataFrame, top_types: int = 4) -> DataFrame:
@@ -180,7 +282,7 @@ def heatmap(nodes: DataFrame, edges: DataFrame, top_types: int = 4) -> DataFrame
     ranked = counts.withColumn("rn", F.row_number().over(Window.partitionBy("from_cat", "to_cat").orderBy(F.desc("n"), "rel")))
     cells = ranked.groupBy("from_cat", "to_cat").agg(F.sum("n").alias("cnt"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= top_types, F.struct("rn", "rel")))), lambda x: x["rel"]), ",").alias("top_types"))
     present = kind.select("category").distinct()
-    grid = present.select(F.col("category").alias("from_cat")).join(F.broadcast(present.select(F.col("category").alias("to_cat"))))  # categories are a constant dimension
+    grid = present.select(F.col("category").alias("from_cat")).join(counted(present.select(F.col("category").alias("to_cat"))))
     return grid.join(cells, ["from_cat", "to_cat"], "left").select("from_cat", "to_cat", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"), F.coalesce("top_types", F.lit("")).alias("top_types"))
 
 
@@ -200,45 +302,105 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.agg(F.count(F.lit(1)).alias("nodes")).join(edges.agg(F.count(F.lit(1)).alias("edges")))
 
 
-def communities(edges: DataFrame, rounds: int = 10, least: int = 3, resolution: float = 1.0) -> DataFrame:
-    """(community_id, name): greedy modularity moves in parallel, ids by size.
+def communities(edges: DataFrame, rounds: int = 6, levels: int = 3, least: int = 3, resolution: float = 1.0) -> DataFrame:
+    """(community_id, size, name): greedy modularity moves in parallel, level by level, ids by size.
+
+    A level moves nodes between communities until nothing moves or modularity stops growing;
+    then each community becomes one node of the next level's graph, until a level brings nothing.
+    """
+    links = cut_lineage(_weighted(edges))
+    total = links.agg(F.sum("w")).first()[0] or 0
+    members = cut_lineage(links.select(F.col("a").alias("name")).distinct().select("name", F.col("name").alias("c")))
+    best = modularity_of(links, None, total, resolution)
+    for _ in range(levels):
+        label = _moved(links, total, rounds, resolution)
+        grown = cut_lineage(members.join(label.select(F.col("name").alias("c"), F.col("c").alias("to")), "c").select("name", F.col("to").alias("c")))
+        links_up = cut_lineage(_lifted(links, label))
+        now = modularity_of(links_up, None, total, resolution)
+        if now <= best + 1e-9:
+            break
+        best, members, links = now, grown, links_up
+    return numbered(members.select("name", F.col("c").alias("community")), least)
+
+
+def _weighted(edges: DataFrame) -> DataFrame:
+    """(a, b, w) both ways; self-loops don't count."""
+    return _ways(edges.where("src <> dst")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
+
+
+def _lifted(links: DataFrame, label: DataFrame) -> DataFrame:
+    """The links between communities; those within one become its self-loop."""
+    far = label.select(F.col("name").alias("b"), F.col("c").alias("to"))
+    return links.join(label.select(F.col("name").alias("a"), "c"), "a").join(far, "b").groupBy(F.col("c").alias("a"), F.col("to").alias("b")).agg(F.sum("w").alias("w"))
+
 
-    Each round a node looks at its neighbours' communities and takes the one with the
-    highest gain in modularity (ties: the smallest label). On even rounds moves go to
-    smaller labels, on odd rounds to larger ones, so two nodes never just swap.
+def modularity_of(links: DataFrame, label: DataFrame | None, total: float, resolution: float = 1.0) -> float:
+    """Modularity of a labelling of ``links`` (a, b, w) both ways; without labels each node is its own community."""
+    if not total:
+        return 0.0
+    own = links if label is None else _lifted(links, label)
+    sizes = own.groupBy("a").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0)).alias("inside"))
+    return sizes.agg(F.sum(F.col("inside") / total - resolution * (F.col("k") / total) ** 2)).first()[0] or 0.0
+
+
+def _moved(links: DataFrame, total: float, rounds: int, resolution: float) -> DataFrame:
+    """(name, c) after one level of moves.
+
+    Each round half the nodes, chosen by a hash of name and round, look at their neighbours'
+    communities and take the one with the highest gain in modularity (ties: the largest
+    label), so few moves that spoil each other are made at once. It ends when two rounds in
+    a row move nothing.
     """
-    links = cut_lineage(_both_ways_weighted(edges))
-    degree = cut_lineage(links.groupBy("a").agg(F.sum("w").alias("k")))
-    total = degree.agg(F.sum("k")).first()[0] or 1
-    label = degree.select(F.col("a").alias("name"), F.col("a").alias("c"), "k")
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    other = cut_lineage(links.where("a <> b").repartition(parts, "b"))
+    label = cut_lineage(links.groupBy("a").agg(F.sum("w").alias("k")).select(F.col("a").alias("name"), F.col("a").alias("c"), "k"))
+    idle = 0
     for step in range(rounds):
         size = label.groupBy("c").agg(F.sum("k").alias("tot"))
-        near = links.join(label.select(F.col("name").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("kin"))
+        near = other.join(label.select(F.col("name").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("kin"))
         own = label.select(F.col("name").alias("a"), F.col("c").alias("own"), "k")
-        options = near.join(own, "a").join(size, "c").unionByName(own.join(size.withColumnRenamed("c", "own"), "own").select(F.col("own").alias("c"), "a", F.lit(0).cast("long").alias("kin"), "own", "k", "tot"))
-        gain = F.sum("kin").over(Window.partitionBy("a", "c")) - resolution * F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0)) / total
-        best = options.withColumn("gain", gain).groupBy("a", "own", "k").agg(F.max(F.struct("gain", F.when(F.col("c") == F.col("own"), 1).otherwise(0).alias("stay"), "c")).alias("b"))
-        allowed = (F.col("b.c") < F.col("own")) if step % 2 == 0 else (F.col("b.c") > F.col("own"))
-        label = cut_lineage(best.select(F.col("a").alias("name"), F.when(allowed, F.col("b.c")).otherwise(F.col("own")).alias("c"), "k"))
-    return numbered(label.select("name", F.col("c").alias("community")), least)
-
-
-def _both_ways_weighted(edges: DataFrame) -> DataFrame:
-    both = edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.where("src <> dst").select(F.col("dst").alias("a"), F.col("src").alias("b")))
-    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
+        options = near.unionByName(own.select("a", F.col("own").alias("c"), F.lit(0).cast("long").alias("kin"))).groupBy("a", "c").agg(F.sum("kin").alias("kin")).join(own, "a").join(size, "c")
+        gain = F.col("kin") - resolution * F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0)) / total
+        allowed = (F.col("c") == F.col("own")) | (F.pmod(F.xxhash64("a", F.lit(step)), F.lit(2)) == 0)
+        rank = F.struct(F.round(gain, 9), F.when(F.col("c") == F.col("own"), 1).otherwise(0), F.col("c"))
+        best = options.where(allowed).groupBy("a", "own", "k").agg(F.max_by("c", rank).alias("to"))
+        moved = cut_lineage(best.select(F.col("a").alias("name"), F.col("to").alias("c"), "k", (F.col("to") != F.col("own")).alias("went")))
+        idle = idle + 1 if moved.where("went").isEmpty() else 0
+        label = moved.drop("went")
+        if idle == 2:
+            break
+    return label.select("name", "c")
 
 
 def numbered(labels: DataFrame, least: int = 3) -> DataFrame:
     """Communities of ``least`` members or more, numbered by size (ties: first member)."""
     sizes = labels.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("name").alias("first")).where(F.col("size") >= least)
-    ids = sizes.withColumn("community_id", F.row_number().over(Window.orderBy(F.desc("size"), "first")) - 1)
+    ids = placed(sizes, [F.desc("size"), F.col("first")], "community_id").select("community", "size", F.col("community_id").cast("int").alias("community_id"))
     return labels.join(ids, "community").select("community_id", "size", "name")
 
 
+def top_members(members: DataFrame, scores: DataFrame, n: int = 10) -> DataFrame:
+    """Each community's ``n`` members with the highest score (ties: by name), with their place."""
+    ranked = members.join(scores.select("name", "score"), "name", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return ranked.withColumn("rn", F.row_number().over(Window.partitionBy("community_id").orderBy(F.desc("score"), "name"))).where(F.col("rn") <= n).select("community_id", "name", "score", "rn")
+
+
+def summary_prompts(members: DataFrame, scores: DataFrame, concepts: DataFrame, n: int = 10) -> DataFrame:
+    """(community_id, node_names, details): all members by name, and the best-ranked ones with their definitions."""
+    line = F.concat(F.lit("- "), "name", F.coalesce(F.concat(F.lit(": "), "definition"), F.lit("")))
+    told = top_members(members, scores, n).join(concepts.select("name", "definition"), "name", "left").groupBy("community_id").agg(F.array_sort(F.collect_list(F.struct("rn", line.alias("line")))).alias("ls"))
+    names = members.groupBy("community_id").agg(F.array_sort(F.collect_list("name")).alias("node_names"))
+    return names.join(told, "community_id").select("community_id", "node_names", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("details"))
+
+
 def summaries(members: DataFrame) -> DataFrame:
     """The fallback summary of each community: its size and first five members."""
     grouped = members.groupBy("community_id").agg(F.array_sort(F.collect_list("name")).alias("node_names"))
-    return grouped.withColumn("summary", F.concat(F.lit("Community of "), F.size("node_names").cast("string"), F.lit(" AI concepts: "), F.array_join(F.slice("node_names", 1, 5), ", "), F.lit(".")))
+    return grouped.withColumn("summary", _fallback())
+
+
+def _fallback() -> Column:
+    return F.concat(F.lit("Community of "), F.size("node_names").cast("string"), F.lit(" AI concepts: "), F.array_join(F.slice("node_names", 1, 5), ", "), F.lit("."))
 
 
 def edges_within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -271,7 +433,7 @@ def drawn(nodes: DataFrame, edges: DataFrame, scores: DataFrame, highlight: str
     """What a network drawing needs: nodes with size and highlight, edges with both ends present."""
     from ..functions.text import node_size
 
-    own = nodes.dropDuplicates(["name"]).join(scores.select("name", "score"), "name", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    own = first_rows(nodes, ["name"]).join(scores.select("name", "score"), "name", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     top = own.agg(F.greatest(F.max("score"), F.lit(1e-12)).alias("top"))
     sized = own.join(F.broadcast(top)).withColumn("size", node_size(F.col("score"), F.col("top"))).drop("top")
     return sized.withColumn("highlighted", F.col("name") == F.lit(highlight or "")), edges_within(edges, own)
@@ -288,6 +450,12 @@ def ingest(nodes: DataFrame, edges: DataFrame, triples: DataFrame) -> tuple[Data
     return grown, edges.unionByName(triples).distinct(), written.join(new.agg(F.count(F.lit(1)).alias("new_concepts")))
 
 
+def chunk_counts(chunks: DataFrame, done: DataFrame) -> DataFrame:
+    """How many chunks a resumed run takes and how many it skips."""
+    marked = chunks.select("chunk_id").join(done.select("chunk_id").distinct().withColumn("done", F.lit(1)), "chunk_id", "left")
+    return marked.agg(F.count_if(F.col("done").isNull()).alias("chunks_processed"), F.count("done").alias("chunks_skipped"))
+
+
 def unprocessed(chunks: DataFrame, done: DataFrame) -> DataFrame:
     """Chunks whose id isn't among those done: where a resumed run goes on."""
     return chunks.join(done.select("chunk_id"), "chunk_id", "left_anti")
@@ -300,8 +468,7 @@ def with_summaries(communities: DataFrame, cached: DataFrame) -> DataFrame:
     """
     key = F.sha2(F.array_join(F.array_sort("node_names"), "\u0001"), 256)
     known = cached.select(key.alias("key"), F.col("summary").alias("cached"))
-    fallback = F.concat(F.lit("Community of "), F.size("node_names").cast("string"), F.lit(" AI concepts: "), F.array_join(F.slice("node_names", 1, 5), ", "), F.lit("."))
-    return communities.select("community_id", "node_names", key.alias("key")).join(known, "key", "left").select("community_id", "node_names", F.coalesce("cached", fallback).alias("summary"))
+    return communities.select("community_id", "node_names", key.alias("key")).join(known, "key", "left").select("community_id", "node_names", F.coalesce("cached", _fallback()).alias("summary"))
 
 
 def read(spark, path: str) -> tuple[DataFrame, DataFrame]:  # type: ignore[no-untyped-def]

@@ -58,6 +58,11 @@ def assign(model: PipelineModel, rows: DataFrame, text: str) -> DataFrame:
     return done.select(*rows.columns, (F.array_position(spread, F.array_max(spread)) - 1).cast("int").alias("topic_id"), F.round(F.when(F.array_max(spread) > 0, F.array_max(spread)).otherwise(F.lit(1.0) / F.size(spread)), 4).alias("topic_confidence"))
 
 
+def labelled(assigned: DataFrame, model: PipelineModel, n: int = 10) -> DataFrame:
+    """Rows with the keywords of their topic; a topic is one row of a table as long as the model has topics."""
+    return assigned.join(F.broadcast(keywords(model, n)), "topic_id", "left").select(*assigned.columns, "topic_keywords")
+
+
 def topic_pivot(assigned: DataFrame, by: str, topics: int = 8) -> DataFrame:
     return assigned.groupBy(by).pivot("topic_id", list(range(topics))).agg(F.count(F.lit(1))).na.fill(0)
 

@@ -7,24 +7,63 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..columns import counted
 from ..functions import hooks
+from ..functions.scoring import MODE_TYPES
 from ..operators import content, dialogue, graph, retrieval
+from ..session import cut_lineage
 from ..sources import sinks
 
 Model = Callable[[str, str], str | None]
 
 
-def local_answers(questions: DataFrame, concepts: DataFrame, edges: DataFrame, model: Model | None = None) -> DataFrame:
-    """(qid, question, name, confidence, mode, context, answer): entity, mode, context and answer of each question.
+def local_answers(questions: DataFrame, concepts: DataFrame, edges: DataFrame, model: Model | None = None, index: DataFrame | None = None) -> DataFrame:
+    """(qid, question, name, confidence, mode, context, answer): entity, mode, neighbourhood, similar
+    texts, context and answer of each question.
 
-    ``concepts`` has ord besides its own columns. A question without an entity keeps nulls.
+    ``concepts`` has ord besides its own columns, ``index`` is a vector index as ``retrieval.indexed``
+    makes it. A question without an entity keeps nulls.
     """
-    found = retrieval.entities(questions, concepts.select("ord", "name")).withColumn("mode", retrieval.mode(F.col("question")))
-    contexts = retrieval.context_texts(concepts.drop("ord"), edges)
-    both = found.join(contexts, "name", "left").select("qid", "question", "name", "confidence", "mode", "context")
+    names = concepts.select("ord", "name")
+    found = retrieval.entities(questions, names)
+    if model is not None:
+        found = retrieval.asked_entities(cut_lineage(found), names, model)
+    found = cut_lineage(found.withColumn("mode", retrieval.mode(F.col("question"))))
+    contexts = hybrid_contexts(found, concepts, edges, index).withColumnRenamed("key", "qid")
+    both = found.join(contexts, "qid", "left").select("qid", "question", "name", "confidence", "mode", "context")
     return retrieval.answered(both, model)
 
 
+def hybrid_contexts(found: DataFrame, concepts: DataFrame, edges: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(key, context) of questions with their entity (qid, question, name, mode): the entity's
+    neighbourhood by the mode's relationship types, and the index's nearest texts."""
+    types = F.lit(None).cast("array<string>")
+    for name, kinds in MODE_TYPES.items():
+        if kinds:
+            types = F.when(F.col("mode") == name, F.array(*[F.lit(t) for t in kinds])).otherwise(types)
+    starts = found.where("name IS NOT NULL").select(F.col("qid").alias("key"), "name", types.alias("types"))
+    nodes, touching = graph.subgraphs(edges, starts)
+    hits = retrieval.vector_hits(found.where("name IS NOT NULL"), index) if index is not None else None
+    return retrieval.assembled(starts.select("key", "name"), nodes, touching, concepts.drop("ord"), hits)
+
+
+def summarised(edges: DataFrame, nodes: DataFrame, concepts: DataFrame, model: Model | None = None, cached: DataFrame | None = None) -> DataFrame:
+    """(community_id, node_names, summary): communities, each with its cached summary, else the model's, else the fallback.
+
+    The model sees the members' names and the ten best-ranked ones with their definitions.
+    """
+    members = cut_lineage(graph.communities(edges).select("community_id", "name"))
+    prompts = graph.summary_prompts(members, graph.pagerank(nodes, edges), concepts)
+    known = cached if cached is not None else prompts.select("node_names", F.lit(None).cast("string").alias("summary")).limit(0)
+    if model is not None:
+        done = known.where("summary <> ''")
+        key = F.array_join(F.array_sort("node_names"), "\u0001")
+        fresh = prompts.withColumn("key", key).join(done.select(key.alias("key")), "key", "left_anti")
+        made = fresh.select("node_names", hooks.on_question(model)(F.array_join("node_names", ", "), F.col("details")).alias("summary"))
+        known = done.select("node_names", "summary").unionByName(made)
+    return graph.with_summaries(prompts.select("community_id", "node_names"), known)
+
+
 def global_answers(questions: DataFrame, communities: DataFrame, model: Model | None = None, k: int = 5) -> DataFrame:
     """(qid, answer): map over the most relevant communities, keep what says something, reduce in order."""
     ranked = retrieval.ranked_summaries(questions, communities, k)
@@ -36,11 +75,11 @@ def global_answers(questions: DataFrame, communities: DataFrame, model: Model |
     return retrieval.fallback_answers(ranked).withColumnRenamed("answer", "fallback").join(reduced.select("qid", "answer"), "qid", "left").select("qid", F.coalesce("answer", "fallback").alias("answer"))
 
 
-def answers(questions: DataFrame, concepts: DataFrame, edges: DataFrame, communities: DataFrame, model: Model | None = None) -> DataFrame:
+def answers(questions: DataFrame, concepts: DataFrame, edges: DataFrame, communities: DataFrame, model: Model | None = None, index: DataFrame | None = None) -> DataFrame:
     """Each question down its own route, global or local."""
-    routed = retrieval.routed(questions).select("qid", "question", "route")
+    routed = cut_lineage(retrieval.routed(questions, model).select("qid", "question", "route"))
     wide = global_answers(routed.where("route = 'global'"), communities, model).withColumn("route", F.lit("global"))
-    narrow = local_answers(routed.where("route = 'local'"), concepts, edges, model).select("qid", "answer").withColumn("route", F.lit("local"))
+    narrow = local_answers(routed.where("route = 'local'"), concepts, edges, model, index).select("qid", "answer").withColumn("route", F.lit("local"))
     return wide.select("qid", "route", "answer").unionByName(narrow.select("qid", "route", "answer"))
 
 
@@ -55,6 +94,25 @@ def ingest(docs: DataFrame, file: str, nodes: DataFrame, edges: DataFrame, model
     return (fresh, *graph.ingest(nodes, edges, graph.extracted(replies)))
 
 
+def resumed_ingest(docs: DataFrame, file: str, nodes: DataFrame, edges: DataFrame, model: Model, ledger: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, counts) of a run that goes on where ``ledger``, a table of chunk ids, says the last one ended.
+
+    The triples are written before the chunks count as done, so a run that fails takes
+    them again; the graph holds an edge once.
+    """
+    spark = docs.sparkSession
+    chunks = dialogue.chunks(docs, file)
+    done = cut_lineage(sinks.done_ids(spark, ledger))
+    counts = graph.chunk_counts(chunks, done)
+    fresh = graph.unprocessed(chunks, done)
+    replies = fresh.select(hooks.on_question(model)(F.lit("triples"), F.substring("text", 1, 4000)).alias("reply"))
+    triples = cut_lineage(graph.extracted(replies))
+    grown, linked, written = graph.ingest(nodes, edges, triples)
+    counts = cut_lineage(counts.join(F.broadcast(written)))  # one row each
+    sinks.mark_done(fresh, ledger)
+    return grown, linked, counts
+
+
 def debate(pitches: DataFrame, characters: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
     """(messages, votes) of each pitch (pitch_id, pitch): openings in the characters' order, then votes.
 
@@ -62,7 +120,7 @@ def debate(pitches: DataFrame, characters: DataFrame, model: Model) -> tuple[Dat
     pitch; a vote sees all openings of its pitch. Votes don't see each other.
     """
     ask = hooks.on_question(model)
-    seats = pitches.join(F.broadcast(characters))
+    seats = pitches.join(counted(characters))
     openings = seats.withColumn("reply", ask("system", "pitch")).select("pitch_id", "pitch", "ord", "character", "system", "reply")
     heard = openings.groupBy("pitch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat("character", F.lit(": "), "reply").alias("line")))), lambda x: x["line"]), "\n").alias("heard"))
     voting = openings.drop("reply").join(heard, "pitch_id").withColumn("reply", ask("system", F.concat("pitch", F.lit("\n"), "heard")))

@@ -34,9 +34,8 @@ NODES = """nodes AS (SELECT 'R:' || r_name AS name, 'Domain' AS category FROM re
 _BASE_EDGES = """SELECT 'N:' || n_name AS src, 'PART_OF' AS rel, 'R:' || r_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT 'S:' || s_suppkey, 'PART_OF', 'N:' || n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT DISTINCT 'B:' || p_brand, 'USED_IN', 'T:' || p_type FROM part"""
-SMALL = f"edges AS ({_BASE_EDGES})"
 EDGES = f"""edges AS ({_BASE_EDGES} UNION ALL SELECT 'P:' || p_partkey, 'IS_A', 'T:' || p_type FROM part UNION ALL SELECT 'P:' || p_partkey, 'VARIANT_OF', 'B:' || p_brand FROM part
-  UNION ALL SELECT 'P:' || l_partkey, 'REQUIRES', 'S:' || min(l_suppkey) FROM lineitem GROUP BY l_partkey)"""
+  UNION ALL SELECT 'P:' || l_partkey, 'REQUIRES', 'S:' || l_suppkey FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem))"""
 TWO_TYPES = "rel IN ('REQUIRES', 'IS_A')"
 PREREQ = "rel IN ('REQUIRES', 'IS_A', 'PART_OF')"
 
@@ -61,11 +60,11 @@ def _relevance(summary: str) -> str:
 
 
 def _pagerank(rounds: int, d: float = 0.85) -> str:
-    steps = ["r0 AS (SELECT name, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS r FROM nodes)"]
+    steps = ["r0 AS MATERIALIZED (SELECT name, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS r FROM nodes)"]
     for i in range(rounds):
-        steps.append(f"l{i} AS (SELECT coalesce(sum(r), 0) AS loose FROM r{i} WHERE name NOT IN (SELECT src FROM outs))")
-        steps.append(f"r{i + 1} AS (SELECT n.name, (1 - {d}) / (SELECT count(*) FROM nodes) + {d} * (coalesce(g.got, 0) + (SELECT loose FROM l{i}) / (SELECT count(*) FROM nodes)) AS r FROM nodes n LEFT JOIN (SELECT dst, sum(r * w / o) AS got FROM r{i} JOIN links ON src = name JOIN outs USING (src) GROUP BY dst) g ON g.dst = n.name)")
-    return f"WITH {NODES}, {EDGES}, outs AS (SELECT src, count(*) AS o FROM edges GROUP BY src), links AS (SELECT src, dst, count(*) AS w FROM edges GROUP BY ALL), {', '.join(steps)} SELECT name, round(r / (SELECT max(r) FROM r{rounds}), 6) AS score FROM r{rounds}"
+        steps.append(f"l{i} AS MATERIALIZED (SELECT coalesce(sum(r), 0) AS loose FROM r{i} WHERE name NOT IN (SELECT src FROM outs))")
+        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT n.name, (1 - {d}) / (SELECT count(*) FROM nodes) + {d} * (coalesce(g.got, 0) + (SELECT loose FROM l{i}) / (SELECT count(*) FROM nodes)) AS r FROM nodes n LEFT JOIN (SELECT dst, sum(r * w / o) AS got FROM r{i} JOIN links ON src = name JOIN outs USING (src) GROUP BY dst) g ON g.dst = n.name)")
+    return f"WITH {NODES.replace('nodes AS', 'nodes AS MATERIALIZED', 1)}, {EDGES.replace('edges AS', 'edges AS MATERIALIZED', 1)}, outs AS MATERIALIZED (SELECT src, count(*) AS o FROM edges GROUP BY src), links AS MATERIALIZED (SELECT src, dst, count(*) AS w FROM edges GROUP BY ALL), {', '.join(steps)} SELECT name, round(r / (SELECT max(r) FROM r{rounds}), 6) AS score FROM r{rounds}"
 
 
 def _template(key: str, context: str) -> str:
@@ -147,7 +146,7 @@ def oracle_sql() -> dict[str, str]:
         "label_value_counts": f"WITH {CONTENT} SELECT sentiment_label, count(*) AS cnt FROM content WHERE sentiment_label IS NOT NULL AND subreddit = 'src1' GROUP BY 1",
         "row_counts": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS cnt FROM {t}" for t in ("documents", "conversations", "labels", "events")),
         "token_freq_topk": f"WITH {CONTENT}, w AS (SELECT sentiment_label, unnest(regexp_split_to_array({_CLEAN.format(x='text')}, '\\s+')) AS word FROM content WHERE sentiment_label IS NOT NULL), c AS (SELECT sentiment_label, word, count(*) AS cnt FROM w WHERE length(word) >= 4 GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY sentiment_label ORDER BY cnt DESC, word)::INTEGER AS rn FROM c QUALIFY rn <= 80",
-        "topk_per_group": "SELECT conv_id || ':' || turn AS id, conv_id::VARCHAR AS post_id, text AS body FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn <= 3 AND text NOT IN ('[deleted]', '[removed]', '')",
+        "topk_per_group": "SELECT conv_id || ':' || turn AS id, conv_id::VARCHAR AS post_id, text AS body FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn <= 5 AND text NOT IN ('[deleted]', '[removed]', '')",
         "new_rows_anti": "SELECT doc_id::VARCHAR AS id, source AS subreddit FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "upsert_latest": f"WITH {CONTENT} SELECT content_id, sentiment_label, CASE WHEN sentiment_label = {_s(L[2])} THEN 0.125 ELSE sentiment_score END::DOUBLE AS sentiment_score FROM results",
         "dup_groups": "SELECT sha256(text) AS text_sha, count(*) AS cnt FROM documents GROUP BY text HAVING count(*) > 1",
@@ -194,13 +193,13 @@ SELECT name, CASE WHEN length(t) > 6000 THEN left(t, 6000) || chr(10) || '...[co
         "graph_stats": f"WITH {NODES}, {EDGES} SELECT (SELECT count(*) FROM (SELECT DISTINCT name FROM nodes)) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT * FROM edges)) AS edges",
         "graph_stubs": "SELECT DISTINCT 'L:' || l_linenumber AS name FROM lineitem",
         "neighbors_khop": f"WITH RECURSIVE {EDGES}, {_reach(q.SOURCE, 2)} SELECT name, depth FROM reach ORDER BY depth, name LIMIT 25",
-        "neighbors_edges": f"WITH RECURSIVE {SMALL}, {_reach(q.SOURCE, 2)} SELECT DISTINCT src, rel, dst FROM edges WHERE src IN (SELECT name FROM reach WHERE depth < 2) OR dst IN (SELECT name FROM reach WHERE depth < 2)",
+        "neighbors_edges": f"WITH RECURSIVE {EDGES}, {_reach(q.SOURCE, 2)} SELECT DISTINCT src, rel, dst FROM edges WHERE src IN (SELECT name FROM reach WHERE depth < 2) OR dst IN (SELECT name FROM reach WHERE depth < 2)",
         "neighbors_filtered": f"WITH RECURSIVE {EDGES}, {_reach(q.SOURCE, 4, PREREQ)} SELECT name, depth FROM reach ORDER BY depth, name LIMIT 25",
         "closure": f"WITH RECURSIVE {EDGES}, c(name) AS (SELECT dst FROM edges WHERE src = 'P:1' AND {PREREQ} UNION SELECT dst FROM c JOIN edges ON src = name WHERE {PREREQ}) SELECT name FROM c",
-        "path_length": f"WITH RECURSIVE {SMALL}, {_reach(q.SOURCE, 8, PREREQ, 'pre')}, {_reach(q.SOURCE, 8, 'TRUE', 'every_')} SELECT coalesce((SELECT depth FROM pre WHERE name = {_s(q.TARGET)}), (SELECT depth FROM every_ WHERE name = {_s(q.TARGET)}), 1)::BIGINT AS steps",
+        "path_length": f"WITH RECURSIVE {EDGES}, {_reach(q.SOURCE, 8, PREREQ, 'pre')}, {_reach(q.SOURCE, 8, 'TRUE', 'every_')} SELECT coalesce((SELECT depth FROM pre WHERE name = {_s(q.TARGET)}), (SELECT depth FROM every_ WHERE name = {_s(q.TARGET)}), 1)::BIGINT AS steps",
         "curriculum_levels": f"WITH RECURSIVE {EDGES}, c(name) AS (SELECT 'P:1' UNION SELECT dst FROM c JOIN edges ON src = name WHERE {PREREQ}), n AS (SELECT DISTINCT src, dst FROM edges WHERE {PREREQ} AND src IN (SELECT name FROM c)), d(name, level) AS (SELECT name, 0 FROM c UNION SELECT n.src, d.level + 1 FROM d JOIN n ON n.dst = d.name), m AS (SELECT name, max(level) AS level FROM d GROUP BY 1) SELECT CASE WHEN name = 'P:1' THEN (SELECT max(level) + 1 FROM m) ELSE level END::INTEGER AS level, name FROM m",
         "compare": f"WITH RECURSIVE {EDGES}, {_reach('P:1', 2, TWO_TYPES, 'ra')}, {_reach('P:2', 2, TWO_TYPES, 'rb')} SELECT CASE WHEN a.name IS NULL THEN 'only_b' WHEN b.name IS NULL THEN 'only_a' ELSE 'shared' END AS side, coalesce(a.name, b.name) AS name FROM (SELECT name FROM ra WHERE depth > 0) a FULL JOIN (SELECT name FROM rb WHERE depth > 0) b ON a.name = b.name",
-        "pagerank": _pagerank(q.PAGERANK_ROUNDS),
+        "pagerank": _pagerank(120),
         "category_heatmap": f"WITH {NODES}, {EDGES}, p AS (SELECT a.category AS from_cat, b.category AS to_cat, rel, count(*) AS n FROM edges JOIN nodes a ON a.name = src JOIN nodes b ON b.name = dst GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY from_cat, to_cat ORDER BY n DESC, rel) AS rn FROM p), cells AS (SELECT from_cat, to_cat, sum(n)::BIGINT AS cnt, string_agg(rel, ',' ORDER BY rn) FILTER (rn <= 4) AS top_types FROM r GROUP BY 1, 2), cats AS (SELECT DISTINCT category FROM nodes) SELECT x.category AS from_cat, y.category AS to_cat, coalesce(cnt, 0)::BIGINT AS cnt, coalesce(top_types, '') AS top_types FROM cats x CROSS JOIN cats y LEFT JOIN cells ON from_cat = x.category AND to_cat = y.category",
         "category_rollup": f"WITH {NODES}, s AS (SELECT category, name, CASE WHEN name LIKE 'S:%' THEN 0.5 ELSE 0.01 END::DOUBLE AS score FROM nodes) SELECT category, name, count(*) AS cnt, round(sum(score), 6) AS total FROM s GROUP BY ROLLUP (category, name)",
         "edges_within": f"WITH {NODES}, {EDGES} SELECT DISTINCT src, rel, dst FROM edges WHERE src IN (SELECT name FROM nodes WHERE category IN ('Domain', 'Tool')) AND dst IN (SELECT name FROM nodes WHERE category IN ('Domain', 'Tool'))",

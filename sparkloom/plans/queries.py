@@ -124,7 +124,7 @@ def token_freq_topk(spark, d):
 
 
 def topk_per_group(spark, d):
-    return content.top_comments(tables.comments(spark, d), 3).select("id", "post_id", "body")
+    return content.top_comments(tables.comments(spark, d), 5).select("id", "post_id", "body")
 
 
 def new_rows_anti(spark, d):
@@ -322,10 +322,6 @@ def context_text(spark, d):
 # Graph
 
 
-def _small(spark, d):
-    return tables.concept_edges(spark, d, parts=False)
-
-
 def graph_stats(spark, d):
     nodes, edges, _ = graph.build(tables.concept_nodes(spark, d), tables.concept_edges(spark, d))
     return graph.stats(nodes, edges)
@@ -341,7 +337,7 @@ def neighbors_khop(spark, d):
 
 
 def neighbors_edges(spark, d):
-    return graph.neighbours(_small(spark, d), _node(spark, SOURCE), 2)[1]
+    return graph.neighbours(tables.concept_edges(spark, d), _node(spark, SOURCE), 2)[1]
 
 
 def neighbors_filtered(spark, d):
@@ -353,8 +349,7 @@ def closure(spark, d):
 
 
 def path_length(spark, d):
-    path = graph.shortest_path(_small(spark, d), SOURCE, TARGET)
-    return spark.createDataFrame([(len(path) - 1,)], "steps long")
+    return graph.paths(tables.concept_edges(spark, d), SOURCE, TARGET).agg((F.count(F.lit(1)) - 1).alias("steps"))
 
 
 def curriculum_levels(spark, d):
@@ -366,13 +361,11 @@ def compare(spark, d):
 
 
 def pagerank(spark, d):
-    scored = graph.pagerank(tables.concept_nodes(spark, d), tables.concept_edges(spark, d), rounds=PAGERANK_ROUNDS)
+    """To convergence: until a round moves a score by less than 1e-9 in the mean."""
+    scored = graph.pagerank(tables.concept_nodes(spark, d), tables.concept_edges(spark, d))
     return scored.select("name", F.round("score", 6).alias("score"))
 
 
-PAGERANK_ROUNDS = 6
-
-
 def category_heatmap(spark, d):
     return graph.heatmap(tables.concept_nodes(spark, d), tables.concept_edges(spark, d))
 

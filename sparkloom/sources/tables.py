@@ -65,21 +65,21 @@ def concept_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def concept_edges(spark: SparkSession, sf_dir: str, parts: bool = True) -> DataFrame:
-    """(src, rel, dst); with ``parts`` each part has its type, brand and first supplier."""
+def concept_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, rel, dst): nations in regions, suppliers in nations, brands by type, and of each part its
+    type, its brand and every supplier that it was ever ordered from."""
     read = lambda t: table(spark, sf_dir, t)
     key = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
-    nation = read("nation")
+    nation, part = read("nation"), read("part")
     edge = lambda df, src, rel, dst: df.select(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"))
     frames = [
         edge(nation.join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")), key("N", "n_name"), "PART_OF", key("R", "r_name")),
         edge(read("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")), key("S", "s_suppkey"), "PART_OF", key("N", "n_name")),
-        edge(read("part").select("p_brand", "p_type").distinct(), key("B", "p_brand"), "USED_IN", key("T", "p_type")),
+        edge(part.select("p_brand", "p_type").distinct(), key("B", "p_brand"), "USED_IN", key("T", "p_type")),
+        edge(part, key("P", "p_partkey"), "IS_A", key("T", "p_type")),
+        edge(part, key("P", "p_partkey"), "VARIANT_OF", key("B", "p_brand")),
+        edge(read("lineitem").select("l_partkey", "l_suppkey").distinct(), key("P", "l_partkey"), "REQUIRES", key("S", "l_suppkey")),
     ]
-    if parts:
-        part = read("part")
-        first = read("lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("s"))
-        frames += [edge(part, key("P", "p_partkey"), "IS_A", key("T", "p_type")), edge(part, key("P", "p_partkey"), "VARIANT_OF", key("B", "p_brand")), edge(first, key("P", "l_partkey"), "REQUIRES", key("S", "s"))]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
