@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from . import chat, langid, media, mixing, pieces, quality, repeats, secrets, simhash, urls
 from .common import WORD
 
@@ -20,8 +22,9 @@ def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = secrets.scan_versions(_read(spark, sf_dir, "documents"))
-    return secrets.digest(findings)
+    """Through a ledger of its own in the shared folder, which starts empty."""
+    ledger = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    return secrets.digest(secrets.scan_into(_read(spark, sf_dir, "documents"), ledger))
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
