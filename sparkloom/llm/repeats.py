@@ -23,8 +23,12 @@ documents. An anchor's fragments with different text meet in one bucket.
 
 Edge cases: a null text is empty; texts under 50 bytes lose nothing; a document's
 repeats within itself stay, as do those of rows with an equal doc_id; repeated rows
-give repeated rows; a null doc_id counts as the largest; an empty table gives an empty result; other
-columns are ignored.
+give repeated rows; a null doc_id counts as the largest, so rows without one take
+nothing from each other; a very long text is handled whole, in one task; an empty
+table gives an empty result; other columns, whatever their names, are ignored.
+
+A row is known by its doc_id and a 63-bit hash of its text, one without a doc_id by two
+hashes of its text, 127 bits in all. Rows with equal id and text are treated alike.
 """
 
 from __future__ import annotations
@@ -203,12 +207,16 @@ def _span_hash(total: np.ndarray, powers: np.ndarray, start: np.ndarray, length:
 
 def _keyed(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     raw, starts = text_bytes(part.column("text"))
-    ids = part.column("doc_id").fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
-    return raw, starts, ids, part.column("tag").to_numpy(zero_copy_only=False).astype(np.uint16)
+    return raw, starts, *(part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
+
+
+def _rank(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """What rows are compared by: the doc_id, the largest number where there is none (odd tags)."""
+    return np.where(tags & 1, _NULL_ID, ids)
 
 
-def _part_of(ids: np.ndarray, n: int) -> np.ndarray:
-    return (_mix(ids.view(np.uint64).copy()) % _U(n)).astype(np.int64)
+def _part_of(ids: np.ndarray, tags: np.ndarray, n: int) -> np.ndarray:
+    return (_mix(ids.view(np.uint64) ^ _mix(tags.view(np.uint64).copy())) % _U(n)).astype(np.int64)
 
 
 def _send_anchors(batches: Iterable[pa.RecordBatch], n_anchor: int, n_docs: int, least: int) -> Iterator[pa.RecordBatch]:
@@ -224,14 +232,15 @@ def _send_anchors(batches: Iterable[pa.RecordBatch], n_anchor: int, n_docs: int,
         fresh[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
         anchor, text = anchor[fresh], text[fresh]
         starts_of = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        doc = ids[text]
-        many = np.minimum.reduceat(doc, starts_of) != np.maximum.reduceat(doc, starts_of)
+        doc, tag = ids[text], tags[text]
+        rank = _rank(doc, tag)
+        many = np.minimum.reduceat(rank, starts_of) != np.maximum.reduceat(rank, starts_of)
         size = np.diff(np.append(starts_of, len(anchor)))
         known = np.repeat(many, size)
         rows = []
         # Answered: straight to the documents' buckets, by way of any anchor bucket.
-        for p, own in _split(_part_of(doc[known], n_docs), n_docs):
-            rows.append((int(p) % n_anchor, 1 + int(p), _shared_blob(doc[known][own], tags[text[known][own]], anchor[known][own])))
+        for p, own in _split(_part_of(doc[known], tag[known], n_docs), n_docs):
+            rows.append((int(p) % n_anchor, 1 + int(p), _shared_blob(doc[known][own], tag[known][own], anchor[known][own])))
         # One entry stands for an anchor that needs no answer; it only tells others.
         send = ~known
         send[starts_of[many]] = True
@@ -258,11 +267,11 @@ def _answer(batches: Iterable[pa.RecordBatch], n_docs: int) -> Iterator[pa.Recor
             tag = np.concatenate([s["tags"][s["text"]] for s in sent])
             waits = np.concatenate([s["open"] for s in sent])
             order = np.argsort(anchor, kind="stable")
-            a, d = anchor[order], doc[order]
+            a, d = anchor[order], _rank(doc, tag)[order]
             starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
             shared = (np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)) | np.logical_not(np.logical_and.reduceat(waits[order], starts))
             back = order[np.repeat(shared, np.diff(np.append(starts, len(a)))) & waits[order]]
-            rows += [(p, 1, _shared_blob(doc[back][own], tag[back][own], anchor[back][own])) for p, own in _split(_part_of(doc[back], n_docs), n_docs)]
+            rows += [(p, 1, _shared_blob(doc[back][own], tag[back][own], anchor[back][own])) for p, own in _split(_part_of(doc[back], tag[back], n_docs), n_docs)]
         yield _rows(rows)
 
 
@@ -270,7 +279,7 @@ def _send_texts(batches: Iterable[pa.RecordBatch], n_docs: int) -> Iterator[pa.R
     for part in slices(batches, "text", PACK_BYTES):
         raw, starts, ids, tags = _keyed(part)
         size = np.diff(starts)
-        rows = [(p, 0, pack(doc=ids[own], tag=tags[own], size=size[own], text=raw[ranges(starts[own], size[own])])) for p, own in _split(_part_of(ids, n_docs), n_docs)]
+        rows = [(p, 0, pack(doc=ids[own], tag=tags[own], size=size[own], text=raw[ranges(starts[own], size[own])])) for p, own in _split(_part_of(ids, tags, n_docs), n_docs)]
         yield _rows(rows)
 
 
@@ -278,7 +287,7 @@ def _texts_of(blobs: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, n
     """(bytes, starts, ids, tags) of a bucket's documents, in order of id and tag."""
     got = [unpack(blob) for kind, blob in blobs if kind == 0]
     if not got:
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     doc, tag, size, raw = (np.concatenate([g[c] for g in got]) for c in ("doc", "tag", "size", "text"))
     order = np.lexsort((tag, doc))
     at = np.cumsum(size) - size
@@ -286,14 +295,14 @@ def _texts_of(blobs: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _number_keys(ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers for (id, tag) pairs: of the sorted first list (equal pairs share one), and of the second."""
-    fresh = np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]) if len(ids) else np.zeros(0, bool)
-    own = np.cumsum(fresh) - 1
-    keys_id, keys_tag = ids[fresh], tags[fresh]
-    dense = np.searchsorted(np.unique(keys_id), keys_id).astype(np.int64) << 16 | keys_tag
-    unique = np.unique(keys_id)
-    asked = np.searchsorted(unique, doc).astype(np.int64) << 16 | tag
-    return own, np.searchsorted(dense, asked)
+    """Numbers for (id, tag) pairs: of the sorted first list (equal pairs share one), and of the second, all of them in the first."""
+    n = len(ids)
+    both_ids, both_tags = np.concatenate([ids, doc]), np.concatenate([tags, tag])
+    order = np.lexsort((both_tags, both_ids))
+    i, t = both_ids[order], both_tags[order]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(np.concatenate([[0], (i[1:] != i[:-1]) | (t[1:] != t[:-1])])) if len(order) else 0
+    return number[:n], number[n:]
 
 
 def _same_text(raw: np.ndarray, start: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -359,11 +368,11 @@ def _cut_fragments(batches: Iterable[pa.RecordBatch], n_fragment: int, n_docs: i
         rows = []
         stay = np.ones(len(a), bool)
         if collapse:
-            stay, repeat = _collapse(raw, a, ids[text], start, length)
+            stay, repeat = _collapse(raw, a, _rank(ids, tags)[text], start, length)
             if repeat.any():
                 t = text[repeat]
                 s = start[repeat] - starts[t]
-                blob_of = _part_of(ids[t], n_docs)
+                blob_of = _part_of(ids[t], tags[t], n_docs)
                 rows += [(p % n_fragment, 1 + p, _spans_blob(ids[t][x], tags[t][x], s[x], (s + length[repeat])[x])) for p, x in _split(blob_of, n_docs)]
         a, text, start, length = a[stay], text[stay], start[stay], length[stay]
         order = np.argsort(a, kind="stable")
@@ -483,6 +492,7 @@ class _Bucket:
         self.anchor, start, size, self.raw = (np.concatenate([s[c] for s in sent]) for c in ("d_anchor", "start", "size", "bytes"))
         self.doc = np.concatenate([s["ids"][s["text"]] for s in sent])
         self.tag = np.concatenate([s["tags"][s["text"]] for s in sent])
+        self.rank = _rank(self.doc, self.tag)
         self.start, self.size = start.astype(np.int64), size.astype(np.int64)
         self.at = np.cumsum(self.size) - self.size
         none = np.zeros(0, np.int64)
@@ -494,7 +504,7 @@ class _Bucket:
         who = who[np.argsort(self.anchor[who], kind="stable")]
         if not len(who):
             return
-        a, d = self.anchor[who], self.doc[who]
+        a, d = self.anchor[who], self.rank[who]
         starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         mixed = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)  # anchors left with two documents
         who = who[np.repeat(mixed, np.diff(np.append(starts, len(a))))]
@@ -503,7 +513,7 @@ class _Bucket:
         n = self.size[who]
         text = self.raw[ranges(self.at[who], n)]
         own = np.cumsum(n) - n
-        fragment, place = _shared_windows(text, own, n, self.doc[who], least)
+        fragment, place = _shared_windows(text, own, n, self.rank[who], least)
         if not len(place):
             return
         order, common = suffix_array(text, place, (own + n)[fragment])
@@ -517,7 +527,7 @@ class _Bucket:
         """(suffix, length): the longest repeat at each suffix that an earlier document has, too."""
         reach = np.zeros(len(self.source), np.int64)
         for at, inside, which, opens in _in_blocks(self.first, self.last):
-            d = self.doc[self.source[inside]]
+            d = self.rank[self.source[inside]]
             later = d > np.minimum.reduceat(d, opens)[which]
             np.maximum.at(reach, inside[later], self.length[at + which[later]])
         hit = np.flatnonzero(reach)
@@ -531,14 +541,14 @@ def _find(batches: Iterable[pa.RecordBatch], n_docs: int, least: int) -> Iterato
         if sent:
             bucket = _Bucket(sent)
             del sent, blobs
-            stay, repeat = _collapse(bucket.raw, bucket.anchor, bucket.doc, bucket.at, bucket.size)
+            stay, repeat = _collapse(bucket.raw, bucket.anchor, bucket.rank, bucket.at, bucket.size)
             bucket.sort(stay, least)
             hit, length = bucket.removed()
             who = np.concatenate([np.flatnonzero(repeat), bucket.source[hit]])
             begin = np.concatenate([bucket.start[repeat], bucket.begin[hit]])
             end = begin + np.concatenate([bucket.size[repeat], length])
             doc, tag = bucket.doc[who], bucket.tag[who]
-            rows += [(p, 1, _spans_blob(doc[x], tag[x], begin[x], end[x])) for p, x in _split(_part_of(doc, n_docs), n_docs)]
+            rows += [(p, 1, _spans_blob(doc[x], tag[x], begin[x], end[x])) for p, x in _split(_part_of(doc, tag, n_docs), n_docs)]
         yield _rows(rows)
 
 
@@ -568,7 +578,7 @@ def _strip(batches: Iterable[pa.RecordBatch], keep_text: bool) -> Iterator[pa.Re
         n_spans = np.diff(np.concatenate([[0], np.cumsum(opens)])[starts])
         cuts = starts - np.concatenate([[0], np.cumsum(n_removed)])
         texts = [kept[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(ids))]
-        columns = [pa.array(ids, pa.int64(), mask=ids == _NULL_ID), pa.array(np.diff(starts)), pa.array(n_removed), pa.array(n_spans)]
+        columns = [pa.array(ids, pa.int64(), mask=(tags & 1).astype(bool)), pa.array(np.diff(starts)), pa.array(n_removed), pa.array(n_spans)]
         last = pa.array(texts, pa.binary()) if keep_text else pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
         yield pa.RecordBatch.from_arrays([*columns, last], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept" if keep_text else "kept_sha256"])
 
@@ -581,7 +591,9 @@ class _Plan:
     """The steps over one table, with as many buckets as its texts need."""
 
     def __init__(self, docs: DataFrame, least: int):
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int"))
+        text, known = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+        tag = F.xxhash64(text).bitwiseAND(F.lit(-2)) + F.when(known.isNull(), 1).otherwise(0)
+        self.docs = docs.select(F.coalesce(known, F.xxhash64(F.lit("row"), text)).alias("doc_id"), tag.alias("tag"), text.alias("text"))
         size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.n_anchor, self.n_fragment, self.n_docs = (int(size // b) + 1 for b in (ANCHOR_BUCKET, FRAGMENT_BUCKET, DOCUMENT_BUCKET))
         self.least = least
@@ -625,7 +637,7 @@ def repeat_groups(docs: DataFrame, least: int = LEAST) -> DataFrame:
             bucket = _Bucket(sent)
             bucket.sort(np.ones(len(bucket.anchor), bool), least)
             for at, inside, which, _ in _in_blocks(bucket.first, bucket.last):
-                doc = bucket.doc[bucket.source[inside]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(inside), part, np.int32)), pa.array(at + which), pa.array(bucket.length[at + which]), pa.array(doc, pa.int64(), mask=doc == _NULL_ID), pa.array(bucket.begin[inside])], ["part", "group", "length", "doc_id", "start"])
+                doc, none = bucket.doc[bucket.source[inside]], (bucket.tag[bucket.source[inside]] & 1).astype(bool)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(inside), part, np.int32)), pa.array(at + which), pa.array(bucket.length[at + which]), pa.array(doc, pa.int64(), mask=none), pa.array(bucket.begin[inside])], ["part", "group", "length", "doc_id", "start"])
 
     return _Plan(docs, least).fragments(False).mapInArrow(run, "part int, group long, length long, doc_id long, start long")
