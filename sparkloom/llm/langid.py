@@ -10,18 +10,18 @@ The model is learned from a bounded sample of labelled rows: of each language th
 whose hashed doc_id falls under a threshold set for ``sample_docs`` rows (all, where
 it has fewer). Of these the commonest ``top_words`` words and ``top_grams`` n-grams per
 length are kept. With ``max_langs`` these bounds limit what the driver holds and
-broadcasts.
+broadcasts; more languages than that are an error, none is left out in silence.
 
 Edge cases: a null text or one without a letter is "und" with score 0; a text whose
 words hold nothing known gets the first language at an even score; ties go to the
 first language by code point; with nothing to learn from all texts are "und";
-repeated rows are judged alike; other columns are ignored.
+repeated rows are judged alike; a very long text is judged whole; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import slices
 from .words import Cache, cut_words, number
 
@@ -72,30 +73,31 @@ def _logs(counts: dict, langs: list[str]) -> dict:
 def train(docs: DataFrame, sample_docs: int = 1500, top_words: int = 20_000, top_grams: int = 20_000, max_langs: int = 256) -> Model:
     """Learn from text and lang of the rows that aren't held out."""
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
+    if len(sizes) > max_langs:
+        raise ValueError(f"more than {max_langs} languages: raise max_langs (the model holds top_words words and {LONGEST} x top_grams n-grams of each)")
     langs = sorted(sizes)
     if not langs:
         return Model([])
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, sample_docs / sizes[lang]))])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(F.col("lang").isin(langs)).where(place < F.try_element_at(share, F.col("lang")))
+    sample = labelled.where(place < F.try_element_at(share, F.col("lang")))
     counted = sample.select("lang", F.explode(_lower_words(F.col("text"))).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    best = counted.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rn") <= top_words)
+    best = cut_lineage(counted.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rn") <= top_words).select("lang", "word", "n"))
+    number = {lang: k for k, lang in enumerate(langs)}
     words: dict[str, dict[int, int]] = {}
-    for r in best.select("lang", "word", "n").collect():  # at most max_langs * top_words rows
-        words.setdefault(r["word"], {})[langs.index(r["lang"])] = r["n"]
-    grams: dict[int, dict[str, tuple[float, ...]]] = {}
-    for size in range(1, LONGEST + 1):
-        counts: dict[str, Counter] = {}
-        for word, by in words.items():
-            marked = f" {word} "
-            for i in range(len(marked) - size + 1):
-                c = counts.setdefault(marked[i : i + size], Counter())
-                for k, n in by.items():
-                    c[k] += n
-        kept = sorted(counts, key=lambda g: (-sum(counts[g].values()), g))[:top_grams]
-        grams[size] = _logs({g: counts[g] for g in kept}, langs)
-    return Model(langs, {w.encode(): s for w, s in _logs(words, langs).items()}, grams)
+    for r in best.collect():  # at most max_langs * top_words rows
+        words.setdefault(r["word"], {})[number[r["lang"]]] = r["n"]
+    marked = best.select("lang", "n", F.concat(F.lit(" "), "word", F.lit(" ")).alias("marked"))
+    sized = marked.select("lang", "n", "marked", F.explode(F.array(*[F.lit(k) for k in range(1, LONGEST + 1)])).alias("size")).where(F.length("marked") >= F.col("size"))
+    cut = sized.select("lang", "n", "size", F.explode(F.transform(F.sequence(F.lit(1), F.length("marked") - F.col("size") + 1), lambda i: F.substring("marked", i, F.col("size")))).alias("gram"))
+    by_lang = cut.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
+    gathered = by_lang.groupBy("size", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    kept = gathered.withColumn("rn", F.row_number().over(Window.partitionBy("size").orderBy(F.desc("total"), "gram"))).where(F.col("rn") <= top_grams)
+    counts: dict[int, dict[str, dict[int, int]]] = {k: {} for k in range(1, LONGEST + 1)}
+    for r in kept.orderBy("size", "rn").select("size", "gram", "by").collect():  # at most LONGEST * top_grams rows
+        counts[r["size"]][r["gram"]] = {number[x["lang"]]: x["n"] for x in r["by"]}
+    return Model(langs, {w.encode(): s for w, s in _logs(words, langs).items()}, {k: _logs(c, langs) for k, c in counts.items()})
 
 
 def score_word(model: Model, word: bytes) -> tuple[float, ...] | None:
