@@ -8,8 +8,9 @@ decides. Rules without any whole token are filed under the empty token, which
 every URL has.
 
 Edge cases: a null URL or one without ``://`` has empty host and path, fits no
-rule and gets the default verdict; repeated rows are judged alike; other columns
-of the table are ignored.
+rule and gets the default verdict; a very long URL is judged whole; repeated rows are
+judged alike; other columns of the table, whatever their names, are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..columns import counted
+
 #: Rule sets up to this size go into the plan as a literal map from token to rules;
 #: larger ones are joined as a table.
 MAX_INLINE_RULES = 512
@@ -29,7 +32,8 @@ TOKEN = "[A-Za-z0-9]+"
 
 @dataclass(frozen=True)
 class Rule:
-    """``host`` with its subdomains and a path prefix, or (kind "name") a host with a label ``host``."""
+    """``host`` with its subdomains and a path prefix; kind "name": a host with a label ``host``; kind "glob":
+    host and path, each from start to end, where ``*`` stands for anything (in the host: within a label)."""
 
     verdict: str
     host: str
@@ -44,14 +48,21 @@ class Rule:
     def pattern(self) -> str:
         if self.kind == "name":
             return rf"^([^/]*\.)?{re.escape(self.host)}(\.[^/]*)?(/|$)"
+        if self.kind == "glob":
+            parts = lambda glob, any_: any_.join(map(re.escape, glob.split("*")))
+            return rf"(?s)^{parts(self.host, '[^./]*')}{parts(self.path, '.*')}$"
         return rf"^([^/]*\.)?{re.escape(self.host)}" + (re.escape(self.path) if self.path else "(/|$)")
 
     @property
     def tokens(self) -> list[str]:
-        """Tokens that stand whole in every URL that fits: the last of a path prefix may go on."""
-        found = re.findall(TOKEN, self.host)
-        in_path = list(re.finditer(TOKEN, self.path))
-        return found + [m[0] for m in in_path if m.end() < len(self.path)]
+        """Tokens that stand whole in every URL that fits: one at the end of a path prefix or beside a ``*`` may go on."""
+        found = []
+        for part, open_end in ((self.host, False), (self.path, self.kind == "site")):
+            for m in re.finditer(TOKEN, part):
+                beside = part[max(m.start() - 1, 0) : m.start()] + part[m.end() : m.end() + 1]
+                if not (open_end and m.end() == len(part)) and "*" not in beside:
+                    found.append(m[0])
+        return found
 
 
 #: The rules of the site list.
@@ -101,7 +112,7 @@ def _decide(candidates: Column) -> Column:
 
 
 def _struct(rule: Rule) -> Column:
-    return F.struct(F.lit(int(rule.kind == "site")).alias("site"), F.lit(len(rule.text)).alias("size"), F.lit(rule.text).alias("rule"), F.lit(rule.verdict).alias("verdict"), F.lit(rule.pattern).alias("pattern"))
+    return F.struct(F.lit(int(rule.kind != "name")).alias("site"), F.lit(len(rule.text)).alias("size"), F.lit(rule.text).alias("rule"), F.lit(rule.verdict).alias("verdict"), F.lit(rule.pattern).alias("pattern"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + NAME_RULES, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -129,9 +140,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + NAME_RULES, u
 def _fetched_by_join(sites: DataFrame, index: dict[str, list[Rule]]) -> DataFrame:
     """The same candidates where the rules are a table: joined on the token, once per distinct subject."""
     spark = sites.sparkSession
-    rows = [(t, int(r.kind == "site"), len(r.text), r.text, r.verdict, r.pattern) for t, found in index.items() for r in found]
+    rows = [(t, int(r.kind != "name"), len(r.text), r.text, r.verdict, r.pattern) for t, found in index.items() for r in found]
     filed = spark.createDataFrame(rows, "token string, site int, size int, rule string, verdict string, pattern string")
     tokens = sites.select("subject").distinct().select("subject", F.explode(_own_tokens(F.col("subject"))).alias("token"))
-    fetched = tokens.join(filed, "token").groupBy("subject").agg(F.collect_list(F.struct("site", "size", "rule", "verdict", "pattern")).alias("candidates"))
+    fetched = tokens.join(counted(filed), "token").groupBy("subject").agg(F.collect_list(F.struct("site", "size", "rule", "verdict", "pattern")).alias("candidates"))
     empty = F.array().cast("array<struct<site:int,size:int,rule:string,verdict:string,pattern:string>>")
     return sites.join(fetched, "subject", "left").withColumn("candidates", F.coalesce("candidates", empty))
