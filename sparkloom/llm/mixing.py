@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..columns import fresh
 from ..session import cut_lineage
 from .common import WORD, whole_text
 
@@ -128,14 +129,16 @@ def curriculum(docs: DataFrame, schedules: tuple = SCHEDULES) -> DataFrame:
     """The mixed corpus: rows of ``docs``, each as often as it is taken, in training order.
 
     Rows count by themselves: repeated doc_ids and null ones are taken like any other.
-    ``docs``' columns come back unchanged.
+    ``docs``' columns, whatever their names, come back unchanged; rows without a word are
+    never taken; no rows give none.
     """
+    row, at, nth = fresh("row", docs), fresh("due", docs), fresh("nth", docs)
     # The key must be the same in both uses below, so the rows are written with it.
-    keyed = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
-    placed = place(keyed, schedules, keep=("__row",)).where("epochs > 0")
+    keyed = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    placed = place(keyed.select("doc_id", "source", "text", F.col(row).alias("row")), schedules, keep=("row",)).where("epochs > 0")
     again = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("epochs") - 1).cast("int"))))
     share = (F.col("middle") + F.col("epoch") * F.col("source_size")) / F.col("target")
     when = F.coalesce(*[F.when(F.col("rank") % len(schedules) == k, due(share, s)) for k, s in enumerate(schedules)])
-    times = again.select("__row", F.round(when, 9).alias("__due"), F.col("epoch").alias("__epoch"))
-    order = ["__due", "doc_id", "__row"]
-    return keyed.join(times, "__row").repartitionByRange(*order).sortWithinPartitions(*order, "__epoch").select(*docs.columns)
+    times = again.select(F.col("row").alias(row), F.round(when, 9).alias(at), F.col("epoch").alias(nth))
+    order = [at, "doc_id", row]
+    return keyed.join(times, row).repartitionByRange(*order).sortWithinPartitions(*order, nth).select(*docs.columns)

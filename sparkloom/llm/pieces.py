@@ -20,8 +20,9 @@ Both give the ids that the library gives. Characters without a piece fall back t
 bytes. Decoding gathers the pieces' bytes and drops the mark in front.
 
 Edge cases: a null text is empty and has no pieces; a text's own U+2581 is a space
-after decoding, as in the library; repeated rows are encoded alike; an empty table
-gives an empty result; other columns are ignored.
+after decoding, as in the library; a very long text is encoded whole, a very long word
+in time proportional to its length; repeated rows are encoded alike; an empty table
+gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ class Pieces:
         key = (before, piece)
         found = self._pairs.get(key)
         if found is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > 500_000:
                 self._pairs.clear()
             found = self._pairs[key] = self.merged(before + piece) == [before, piece]
         return found

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..columns import first_rows, fresh
 from ..session import cut_lineage
 from . import overlap
 from .common import slices
@@ -264,10 +265,13 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each component of texts with 5-word shingles of Jaccard similarity 0.8 or more the document with the smallest doc_id.
 
-    Repeated rows of one doc_id count once; rows without a doc_id stay, one per text.
+    Repeated rows of one doc_id count once, the first by all columns; rows without a doc_id
+    stay, one per text. A null or empty text is as good as another; extra columns, whatever
+    their names, come back unchanged; a very long text is handled whole; no rows give none.
     Such texts are often further than ``MAX_BITS`` apart, so the stage searches by ``overlap``.
     """
-    gone = overlap.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone, text = fresh("gone", docs), fresh("text_sha", docs)
+    out = overlap.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    left = docs.join(out, docs["doc_id"] == out[gone], "left_anti")
     nameless = F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256))
-    return left.withColumn("__nameless", nameless).dropDuplicates(["doc_id", "__nameless"]).drop("__nameless")
+    return first_rows(left.withColumn(text, nameless), ["doc_id", text]).drop(text)

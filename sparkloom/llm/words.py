@@ -37,10 +37,13 @@ def cut_words(raw: np.ndarray, starts: np.ndarray, gaps: np.ndarray = _SPACE) ->
 
 
 class Cache:
-    """Values per word, computed in batches and kept up to ``limit`` words; what comes later is computed anew."""
+    """Values per word, computed in batches and kept up to ``limit`` bytes; what comes later is computed anew."""
 
-    def __init__(self, compute, limit: int = 250_000):
-        self.compute, self.limit, self.known = compute, limit, {}
+    #: What an entry takes besides its word and value.
+    OVERHEAD = 200
+
+    def __init__(self, compute, limit: int = 80_000_000):
+        self.compute, self.left, self.known = compute, limit, {}
 
     def of(self, words: list[bytes]) -> list:
         get = self.known.get
@@ -49,6 +52,7 @@ class Cache:
         if missing:
             for i, value in zip(missing, self.compute([words[i] for i in missing]), strict=True):
                 found[i] = value
-                if len(self.known) < self.limit:
+                if self.left > 0:
+                    self.left -= self.OVERHEAD + len(words[i]) + 8 * len(value)
                     self.known[words[i]] = value
         return found
