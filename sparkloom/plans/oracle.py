@@ -126,6 +126,38 @@ _QUOTES, _LINES, _WIKI = _COUNT("[\"“].{15,}?[\"”]"), _COUNT(r"(?m)^[A-Z][A-
 _SIGNALS = " + ".join(f"contains(lower(left(text, 3000)), {_s(s)})::INTEGER" for s in _dialogue.PROFILE_SIGNALS)
 
 
+def _starts_sql(what: str, more: str = "") -> str:
+    """For every start its neighbourhood (n_<key>), and ``what`` of them."""
+    parts = [f"WITH RECURSIVE {NODES}, {EDGES}"]
+    for key, name, mode in q.STARTS:
+        types = scoring.MODE_TYPES[mode]
+        where = "rel IN (" + ", ".join(map(_s, types)) + ")" if types else "TRUE"
+        parts.append(_reach(name, 2, where, f"r{key}"))
+        parts.append(f"n{key} AS (SELECT {key} AS key, name, depth FROM r{key} ORDER BY depth, name LIMIT 25)")
+        parts.append(f"e{key} AS (SELECT DISTINCT {key} AS key, rel, CASE WHEN src = {_s(name)} THEN '→' ELSE '←' END AS arrow, CASE WHEN src = {_s(name)} THEN dst ELSE src END AS name FROM edges WHERE {where} AND (src = {_s(name)} OR dst = {_s(name)}))")
+    every = lambda t: " UNION ALL ".join(f"SELECT * FROM {t}{k}" for k, _, _ in q.STARTS)
+    return ", ".join(parts) + f", around AS ({every('n')}), ends AS ({every('e')}){', ' + more if more else ''} {what}"
+
+
+_CARDS = "cards AS (SELECT n.name, n.category, coalesce(s_name, p_name, split_part(n.name, ':', 2)) || '. A ' || n.category AS definition FROM nodes n LEFT JOIN supplier ON n.name = 'S:' || s_suppkey LEFT JOIN part ON n.name = 'P:' || p_partkey)"
+
+
+def _context_sql() -> str:
+    priority = " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(schemas.RELATIONSHIP_PRIORITY))
+    starts = ", ".join(f"({k}, {_s(n)})" for k, n, _ in q.STARTS)
+    more = f"""{_CARDS}, starts(key, name) AS (VALUES {starts}),
+told AS (SELECT a.key, a.name, a.depth, c.category, string_split(c.definition, '. ')[1] || '.' AS preview FROM around a JOIN cards c USING (name)),
+rels AS (SELECT e.key, '[DIRECT RELATIONSHIPS]' || chr(10) || string_agg('  - ' || rel || ' ' || arrow || ' ' || e.name || coalesce(': ' || preview, ''), chr(10) ORDER BY coalesce(CASE rel {priority} END, 99), e.name, arrow, rel) || chr(10) AS s FROM ends e LEFT JOIN told t ON t.key = e.key AND t.name = e.name GROUP BY e.key),
+far AS (SELECT * FROM told WHERE depth >= 2 QUALIFY row_number() OVER (PARTITION BY key, depth ORDER BY name) <= 8),
+hop AS (SELECT key, depth, '[RELATED CONCEPTS - HOP ' || depth || ']' || chr(10) || string_agg('  - ' || name || ' (' || category || '): ' || preview, chr(10) ORDER BY name) || chr(10) AS s FROM far GROUP BY key, depth),
+hops AS (SELECT key, string_agg(s, chr(10) ORDER BY depth) AS s FROM hop GROUP BY key),
+whole AS (SELECT st.key, concat_ws(chr(10), '[CONCEPT: ' || st.name || ']' || chr(10) || 'Definition: ' || definition || chr(10) || 'Category: ' || category || ' | Difficulty: intermediate' || chr(10) || 'Example uses: ' || category || chr(10), rels.s, hops.s) AS t FROM starts st JOIN cards USING (name) LEFT JOIN rels ON rels.key = st.key LEFT JOIN hops ON hops.key = st.key)"""
+    return _starts_sql("SELECT key, CASE WHEN length(t) > 6000 THEN left(t, 6000) || chr(10) || '...[context truncated]' ELSE t END AS context FROM whole", more)
+
+
+_MEMBERS = "members AS (SELECT s_nationkey AS community_id, 'S:' || s_suppkey AS name, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, 'S:' || s_suppkey)::INTEGER AS rn FROM supplier)"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query name; what only iterations or models can do has none."""
     priority = " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(schemas.RELATIONSHIP_PRIORITY))
@@ -210,4 +242,20 @@ SELECT name, CASE WHEN length(t) > 6000 THEN left(t, 6000) || chr(10) || '...[co
         "topic_texts": f"WITH t AS (SELECT doc_id::VARCHAR AS id, source AS subreddit, string_split(text, chr(10))[1] || ' ' || text AS text FROM documents UNION ALL SELECT conv_id || ':' || turn, role, text FROM conversations) SELECT id, subreddit, sha256({_CLEAN.format(x='text')}) AS clean_sha FROM t WHERE {_CLEAN.format(x='text')} <> ''",
         "monologues": f"WITH l AS (SELECT doc_id AS source, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents), s AS (SELECT source, pos::INTEGER AS pos, {_strip('raw')} AS line FROM l), c AS (SELECT source, pos, {_MONO} AS said FROM s WHERE length(line) >= 20 AND NOT regexp_matches(lower(line), '^(character overview|personality|speech style|cultural legacy|iconic moments)')) SELECT source, pos, sha256(said) AS line_sha FROM c WHERE length(said) > 20",
         "incident_edges": f"WITH {EDGES} SELECT rel, CASE WHEN src = {_s(q.SOURCE)} THEN 'out' ELSE 'in' END AS direction, count(*) AS n, string_agg(o, ',' ORDER BY o) AS others FROM (SELECT *, CASE WHEN src = {_s(q.SOURCE)} THEN dst ELSE src END AS o FROM edges WHERE src = {_s(q.SOURCE)} OR dst = {_s(q.SOURCE)}) GROUP BY 1, 2",
+        "subgraph_nodes": _starts_sql("SELECT * FROM around"),
+        "assembled_context": _context_sql(),
+        "direct_nodes": f"WITH RECURSIVE {EDGES}, {_reach(q.SOURCE, 1)} SELECT name, depth FROM reach ORDER BY depth, name LIMIT 25",
+        "use_case_nodes": f"WITH {EDGES}, s AS (SELECT 'B:' || min(p_brand) AS name FROM part), one AS (SELECT dst AS name FROM edges, s WHERE rel IN ('USED_IN', 'BUILT_WITH') AND src = name UNION SELECT src FROM edges, s WHERE rel IN ('USED_IN', 'BUILT_WITH') AND dst = name), two AS (SELECT dst AS name FROM edges WHERE rel IN ('USED_IN', 'BUILT_WITH') AND src IN (FROM one) UNION SELECT src FROM edges WHERE rel IN ('USED_IN', 'BUILT_WITH') AND dst IN (FROM one)), every AS (SELECT name, 0 AS depth FROM s UNION ALL SELECT name, 1 FROM one UNION ALL SELECT name, 2 FROM two) SELECT name, min(depth)::INTEGER AS depth FROM every GROUP BY name ORDER BY 2, 1 LIMIT 25",
+        "canonical_node": f"WITH {NODES} SELECT name, category FROM nodes WHERE lower(name) = 's:1' ORDER BY name LIMIT 1",
+        "comparison_lists": f"WITH RECURSIVE {EDGES}, {_reach('P:1', 2, TWO_TYPES, 'ra')}, {_reach('P:2', 2, TWO_TYPES, 'rb')}, c AS (SELECT CASE WHEN a.name IS NULL THEN 'only_b' WHEN b.name IS NULL THEN 'only_a' ELSE 'shared' END AS side, coalesce(a.name, b.name) AS name FROM (SELECT name FROM ra WHERE depth > 0) a FULL JOIN (SELECT name FROM rb WHERE depth > 0) b ON a.name = b.name) SELECT side, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY side ORDER BY name) <= 8) GROUP BY side",
+        "community_top_members": f"WITH {_MEMBERS} SELECT community_id, name, rn FROM members WHERE rn <= 10",
+        "community_prompts": f"WITH {_MEMBERS} SELECT community_id, string_agg(name, ',' ORDER BY name) AS names, string_agg('- ' || name || ': ' || s_name || '. A Tool', chr(10) ORDER BY rn) FILTER (rn <= 10) AS details FROM members GROUP BY community_id",
+        "vector_index": f"WITH {NODES}, {_CARDS}, rows_ AS (SELECT replace(lower(name), ' ', '_') AS id, name || chr(10) || definition || chr(10) || 'Category: ' || category || chr(10) || 'Difficulty: intermediate' || chr(10) || 'Use cases: ' || category AS document, name FROM cards), one AS (SELECT id, document FROM rows_ QUALIFY row_number() OVER (PARTITION BY id ORDER BY name DESC) = 1), w AS (SELECT id, unnest(list_filter({_tokens('lower(document)')}, lambda x: x <> '')) AS w FROM one), c AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS slot, count(*) AS n FROM w GROUP BY 1, 2) SELECT id, any_value(document) AS document, string_agg(slot || ':' || n, ',' ORDER BY slot) AS slots FROM one JOIN c USING (id) GROUP BY id",
+        "candidate_names": f"WITH {QUESTIONS}, {NAMES}, s AS (SELECT qid, name, len(list_intersect({_tokens('lower(question)')}, {_tokens('lower(name)')})) AS n FROM questions, names), told AS (SELECT qid, string_agg(name, ', ' ORDER BY n DESC, name DESC) AS told FROM s WHERE n > 0 GROUP BY qid) SELECT qid, coalesce(told, (SELECT string_agg(name, ', ' ORDER BY ord) FROM names)) AS listed FROM questions LEFT JOIN told USING (qid)",
+        "name_suggestions": "WITH a(qid, w) AS (VALUES (0, 'red'), (1, 'steel'), (2, 'nothing')), s AS (SELECT qid, 'P:' || p_partkey AS name, CASE WHEN lower('P:' || p_partkey) = w THEN 10 WHEN contains(lower('P:' || p_partkey), w) THEN 5 ELSE 0 END + CASE WHEN contains(lower(p_name || '. Made by ' || p_brand), w) THEN 2 ELSE 0 END + CASE WHEN contains(lower(p_type), w) OR contains(lower(p_brand), w) THEN 1 ELSE 0 END AS score FROM part, a) SELECT qid, name, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, name DESC)::INTEGER AS rn FROM s WHERE score > 0 QUALIFY rn <= 5",
+        "resumed_chunks": f"WITH {CHUNKS}, done AS (SELECT 'doc_' || doc_id || '.txt' AS f FROM labels) SELECT count(*) FILTER (source_file NOT IN (FROM done)) AS chunks_processed, count(*) FILTER (source_file IN (FROM done)) AS chunks_skipped FROM chunks",
+        "line_counts": "SELECT character, n AS cnt, CASE WHEN n = 0 THEN 'MISSING' WHEN n < 30 THEN 'LOW' ELSE 'OK' END AS status FROM (SELECT v.character, count(c.role) AS n FROM (VALUES ('assistant'), ('narrator'), ('system'), ('user')) v(character) LEFT JOIN conversations c ON c.role = v.character GROUP BY 1)",
+        "duplicate_report": "WITH g AS (SELECT sha256(text) AS text_sha, count(*) AS cnt FROM documents GROUP BY text HAVING count(*) > 1) SELECT text_sha, cnt, (SELECT count(*) FROM g) AS groups, row_number() OVER (ORDER BY cnt DESC, text_sha)::INTEGER AS rn FROM g QUALIFY rn <= 5",
+        "fetch_titles": "SELECT p_partkey, CASE WHEN contains(name, '/') OR (length(name) <= 2) OR name = 'goldenrod' THEN NULL WHEN name = 'ab' THEN 'about' ELSE name END AS title FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_name || '/x' WHEN p_partkey % 11 = 0 THEN 'ab' ELSE p_name END AS name FROM part)",
+        "stream_dedupe": "SELECT date_trunc('day', ts)::TIMESTAMP AS period, event_type, count(*) AS cnt FROM (SELECT DISTINCT ON (event_id) * FROM events ORDER BY ALL) GROUP BY 1, 2",
     }

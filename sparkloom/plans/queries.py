@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import scoring, text
 from ..operators import content, dialogue, graph, retrieval, topics
+from ..session import shared_folder
 from ..sources import sinks, tables
 from ..sources.tables import table
+from ..streaming import ingest
 
 #: Questions to route, match and rank; the words are those of the test texts where that matters.
 QUESTIONS = [
@@ -432,6 +434,113 @@ def zero_shot(spark, d):
     return topics.classify(_docs(spark, d).select("doc_id", "text"), "text").select("doc_id", "sentiment.label", "sentiment.score")
 
 
+# Retrieval and ingest, further parts
+
+
+STARTS = [(0, "S:1", "standard"), (1, "P:1", "prerequisite"), (2, "N:NATION_1", "usage"), (3, "P:2", "standard")]
+
+
+def _all_concepts(spark, d):
+    """A concept card for every node of the graph."""
+    nodes = tables.concept_nodes(spark, d)
+    return nodes.select("name", F.concat("label", F.lit(". A "), "category"), "category", F.lit("intermediate"), F.array("category")).toDF("name", "definition", "category", "difficulty", "example_use_cases")
+
+
+def _starts(spark):
+    from ..functions.scoring import MODE_TYPES
+
+    return spark.createDataFrame([(k, n, MODE_TYPES[m]) for k, n, m in STARTS], "key int, name string, types array<string>")
+
+
+def subgraph_nodes(spark, d):
+    return graph.subgraphs(tables.concept_edges(spark, d), _starts(spark))[0]
+
+
+def assembled_context(spark, d):
+    starts = _starts(spark)
+    nodes, touching = graph.subgraphs(tables.concept_edges(spark, d), starts)
+    return retrieval.assembled(starts.select("key", "name"), nodes, touching, _all_concepts(spark, d))
+
+
+def direct_nodes(spark, d):
+    return graph.direct(tables.concept_edges(spark, d), _node(spark, SOURCE))[0]
+
+
+def use_case_nodes(spark, d):
+    brand = table(spark, d, "part").agg(F.concat(F.lit("B:"), F.min("p_brand")).alias("name"))
+    return graph.use_cases(tables.concept_edges(spark, d), brand)[0]
+
+
+def canonical_node(spark, d):
+    return graph.canonical(tables.concept_nodes(spark, d), "s:1").select("name", "category")
+
+
+def comparison_lists(spark, d):
+    return graph.shown(compare(spark, d)).select("side", F.array_join("names", ",").alias("names"))
+
+
+def community_top_members(spark, d):
+    """The ten best-ranked suppliers of each nation, as of a community."""
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("community_id"), F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_acctbal").alias("score"))
+    return graph.top_members(s.select("community_id", "name"), s).select("community_id", "name", "rn")
+
+
+def community_prompts(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("community_id"), F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_acctbal").alias("score"))
+    made = graph.summary_prompts(s.select("community_id", "name"), s, _all_concepts(spark, d))
+    return made.select("community_id", F.array_join("node_names", ",").alias("names"), "details")
+
+
+def vector_index(spark, d):
+    """The index of all concepts: for each id its document and the vector's slots that aren't zero."""
+    made = retrieval.indexed(None, _all_concepts(spark, d))
+    slots = F.filter(F.transform("embedding", lambda v, i: F.struct(i.alias("i"), v.cast("int").alias("v"))), lambda x: x["v"] > 0)
+    return made.select("id", "document", F.array_join(F.transform(slots, lambda x: F.concat_ws(":", x["i"].cast("string"), x["v"].cast("string"))), ",").alias("slots"))
+
+
+def candidate_names(spark, d):
+    return retrieval.candidates(_questions(spark), _names(spark))
+
+
+def name_suggestions(spark, d):
+    """What a search finds for words in which no concept was recognised."""
+    asked = spark.createDataFrame([(0, "red", None), (1, "steel", None), (2, "nothing", None)], "qid int, question string, name string")
+    return retrieval.suggestions(asked, _concepts(spark, d)).select("qid", "name", "score", "rn")
+
+
+def resumed_chunks(spark, d):
+    """How many chunks a run takes and skips that goes on behind one over the labelled documents."""
+    made = chunk_documents(spark, d)
+    done = made.join(table(spark, d, "labels").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_file")), "source_file", "left_semi")
+    return graph.chunk_counts(made, done)
+
+
+def line_counts(spark, d):
+    wanted = schemas.dimension(spark, ["assistant", "narrator", "system", "user"], "character")
+    return dialogue.line_counts(tables.dialogue(spark, d), wanted)
+
+
+def duplicate_report(spark, d):
+    return dialogue.duplicate_report(table(spark, d, "documents"), "text")
+
+
+def fetch_titles(spark, d):
+    own = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.concat("p_name", F.lit("/x"))).when(F.col("p_partkey") % 11 == 0, "ab").otherwise(F.col("p_name")).alias("name"))
+    return own.select("p_partkey", text.fetch_title(F.col("name"), {"ab": "about", "goldenrod": None}).alias("title"))
+
+
+def stream_dedupe(spark, d):
+    """Events that come in as a stream, each id written once, counted by day and type."""
+    import uuid
+
+    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    given = table(spark, d, "events")
+    came = spark.readStream.schema(given.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    ingest.append_unseen(came, "event_id", f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    rows = spark.read.schema(given.schema).parquet(f"{folder}/rows")
+    return rows.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("period"), "event_type").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 _NOT_QUERIES = {"table"}
 
 
