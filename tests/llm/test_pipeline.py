@@ -1,12 +1,14 @@
 """The pipeline against a plain version of it in Python."""
 
+import hashlib
+import math
 import re
 from collections import Counter
 
 import corpus_pipeline
-from sparkloom.llm import mixing, pieces, quality
+from sparkloom.llm import pieces, quality
 
-from .test_queries import brute_components, brute_fingerprint
+from .test_queries import WORD
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 PLAIN = [re.compile(p) for p in (r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*")]
@@ -22,17 +24,60 @@ def blanked(text):
     return "".join(out) + text[at:]
 
 
+def plain_kept(rows, library):
+    """doc_ids that the quality rules keep, from the tokenizers and the published bands."""
+    tokenizer, _, is_byte = quality._tokenizers(quality.BYTE_VOCABULARY, quality.PIECE_VOCABULARY)
+    kept = set()
+    for d, text, lang in rows:
+        words = WORD.findall(text or "")
+        windows = Counter(zip(words, words[1:], words[2:], strict=False))
+        covered = {i + k for i, w in enumerate(zip(words, words[1:], words[2:], strict=False)) if windows[w] > 1 for k in range(3)}
+        if len(words) < 50 or 100 * len(covered) > 50 * len(words):
+            continue
+        ids = [i for w in words for i in tokenizer.encode_ordinary(" " + w)]
+        split = [i for w in words for i in library.encode(w)]
+        bits = -sum(n / len(ids) * math.log2(n / len(ids)) for n in Counter(ids).values())
+        low, high, fallback, least, most = quality.BANDS.get(lang, quality.LATIN)
+        if low <= sum(map(len, words)) / len(ids) <= high and sum(bool(is_byte[i]) for i in split) / len(split) <= fallback and least <= bits <= most:
+            kept.add(d)
+    return kept
+
+
+def plain_times(rows):
+    """How often each (doc_id, text, source) is taken, by the definition of targets and order."""
+    from .test_operators import iterated
+
+    size = {d: len(WORD.findall(text)) for d, text, _ in rows}
+    by = {}
+    for d, _, source in rows:
+        by.setdefault(source, []).append(d)
+    totals = {s: sum(size[d] for d in own) for s, own in by.items()}
+    target = iterated(totals)
+    times = {}
+    for s, own in by.items():
+        before = 0
+        for d in sorted(own, key=lambda d: (hashlib.md5(str(d).encode()).hexdigest(), d)):
+            middle = before + size[d] / 2
+            before += size[d]
+            n = sum(middle + e * totals[s] <= target[s] + 1e-6 for e in range(3)) if size[d] else 0
+            if n:
+                times[d] = n
+    return times
+
+
 def test_pipeline(spark, sf, docs):
+    """All five stages by plain Python. The near-duplicate rule is that for stages on word shingles: five
+    words, similarity 0.8."""
     import sentencepiece
 
-    kept = {r["doc_id"] for r in quality.assess(docs).where("kept").collect()}
-    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in kept}
-    first = set(brute_components({d: brute_fingerprint(t) for d, t in texts.items()}).values())
-    clean = {d: blanked(t) for d, t in texts.items() if d in first}
-    rows = [(r["doc_id"], clean[r["doc_id"]], r["source"]) for r in docs.collect() if r["doc_id"] in clean]
-    placed = mixing.place(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    times = {r["doc_id"]: r["epochs"] for r in placed.collect() if r["epochs"]}
+    from .test_overlap import brute_kept
+
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    all_rows = docs.collect()
+    kept = plain_kept([(r["doc_id"], r["text"], r["lang"]) for r in all_rows], library)
+    first = set(brute_kept([(r["doc_id"], r["text"]) for r in all_rows if r["doc_id"] in kept]))
+    clean = {r["doc_id"]: blanked(r["text"]) for r in all_rows if r["doc_id"] in first}
+    times = plain_times([(r["doc_id"], clean[r["doc_id"]], r["source"]) for r in all_rows if r["doc_id"] in clean])
     got = corpus_pipeline.run(spark, sf).collect()
     assert Counter(r["doc_id"] for r in got) == times
     for r in got:
