@@ -3,6 +3,9 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from sparkloom.llm import mixing, overlap, quality, simhash
 
@@ -61,6 +64,61 @@ def test_a_large_group_is_checked_once_per_row():
     assert overlap.linked(list(range(400)), [overlap.shingles(t) for t in texts]) == [0] * 400
 
 
+def brute_component(rows):
+    sets = {d: set(overlap.shingles(t.encode()).tolist()) for d, t in rows}
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4:
+                p, q = sorted((root(a), root(b)))
+                parent[q] = p
+    return {d: root(d) for d in sets}
+
+
+def chains(rng):
+    """Texts that drift away from their start step by step, and copies of it, in groups that also share much of their text."""
+    rows = []
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    for _ in range(4):
+        words = base[:90] + [f"g{rng.randrange(10**6)}" for _ in range(30)]
+        for step in range(25):
+            if step < 12:
+                words = list(words)
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            own = list(words)
+            own[rng.randrange(len(own))] = f"y{rng.randrange(10**6)}"
+            rows.append(" ".join(own))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize(("unit_rows", "unit_bytes"), [(6, 10**9), (20, 10**9), (10**6, 4000), (10**6, 10**9)])
+def test_units_of_any_size_give_the_same(spark, unit_rows, unit_bytes):
+    rows = chains(random.Random(3))
+    want = brute_component(rows)
+    assert 4 <= len(set(want.values())) < len(rows)
+    got = overlap.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), unit_rows, unit_bytes).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(got) == len(rows)
+
+
+def test_blocks_leave_nothing_open_unchecked(spark):
+    """Rows of one key in known components: every two rows of different components meet in some block."""
+    rng = random.Random(6)
+    members = [(n, rng.choice((0, 0, 0, 1, 2, n)), 10, np.full(overlap.BANDS, 7, np.int64).tobytes()) for n in range(200)]
+    blocks = {}
+    for r in overlap._open_keys(spark.createDataFrame(members, "node long, known long, size long, bands binary"), 16, 10**9).collect():
+        blocks.setdefault((r["i"], r["j"]), []).append((r["node"], r["known"]))
+    assert max(map(len, blocks.values())) < 100
+    met = {(a, b) for own in blocks.values() for a, _ in own for b, _ in own}
+    assert all((a, b) in met for a, x, *_ in members for b, y, *_ in members if x != y)
+
+
 def test_pipeline_with_this_rule(spark, sf, docs):
     """All stages by brute force, with this rule for near-duplicates."""
     kept = {r["doc_id"] for r in quality.assess(docs).where("kept").collect()}
