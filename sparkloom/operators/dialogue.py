@@ -18,9 +18,10 @@ PROFILE_SIGNALS = ["character overview", "personality traits", "speech style", "
 def chunks(docs: DataFrame, file: str, text: str = "text", size: int = 300, overlap: int = 50) -> DataFrame:
     """Overlapping word chunks: (source_file, chunk_index, chunk_id, text). The last one reaches the end."""
     step = size - overlap
-    own = docs.select(F.col(file).alias("source_file"), words(F.col(text)).alias("ws")).where(F.size("ws") > 0)
+    own = docs.select(F.col(file).alias("source_file"), words(F.col(text)).alias("ws"))
     count = F.greatest(F.lit(0), F.ceil((F.size("ws") - size) / float(step))).cast("int")
-    cut = own.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), count)))
+    # A filter on the words would cut every text twice; exploding null drops the row.
+    cut = own.withColumn("chunk_index", F.explode(F.when(F.size("ws") > 0, F.sequence(F.lit(0), count))))
     return cut.select("source_file", "chunk_index", F.concat("source_file", F.lit("::"), F.col("chunk_index").cast("string")).alias("chunk_id"), F.array_join(F.slice("ws", F.col("chunk_index") * step + 1, size), " ").alias("text"))
 
 

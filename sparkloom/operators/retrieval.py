@@ -143,7 +143,8 @@ def relevances(texts: DataFrame, questions: DataFrame) -> DataFrame:
         every = F.array(*[F.lit(w) for w in sorted(by_word)]).cast("array<string>")
         index = F.create_map(*[c for w in sorted(by_word) for c in (F.lit(w), F.array(*[F.lit(q) for q in by_word[w]]).cast(f"array<{kind}>"))]) if by_word else F.lit(None).cast(f"map<string,array<{kind}>>")
         cut = texts.withColumn(low, F.lower("summary")).withColumn(words, F.array_intersect(long_words(F.col("summary")), every))
-        some = cut.where(F.size(words) > 0).withColumn(found, F.flatten(F.transform(words, lambda w: F.element_at(index, w))))  # noqa: B023
+        # No filter on the words: it would move below the projection and cut every text twice. Exploding drops rows without any.
+        some = cut.withColumn(found, F.flatten(F.transform(words, lambda w: F.element_at(index, w))))  # noqa: B023
         each = some.withColumn(hit, F.explode(F.array_distinct(found)))
         told = part.select(F.col("qid").alias(hit), F.col("own").alias(own))
         pairs = F.zip_with(F.slice(own, 1, F.size(own) - 1), F.slice(own, 2, F.size(own) - 1), lambda x, y: F.concat(x, F.lit(" "), y))
@@ -160,9 +161,13 @@ MAX_QUESTION_WORDS = 2_000
 def ranked_summaries(questions: DataFrame, communities: DataFrame, k: int = 5) -> DataFrame:
     """Each question's k most relevant communities; where none has a score, the first k by id at score 0."""
     told = communities.where(F.length("summary") > 0).select("community_id", "summary")
-    scored = relevances(told, questions)
-    top = scored.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "community_id"))).where(F.col("rn") <= k)
-    top = cut_lineage(top.select("qid", "community_id", "score", "rn", "summary"))
+    # Ranked by id and hash alone, so that no summary is sorted once per question; those of the best come back by a join.
+    marked = told.withColumn("mark", F.xxhash64("summary"))
+    scored = relevances(marked, questions).select("community_id", "mark", "qid", "score")
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "community_id", "mark")
+    best_ids = cut_lineage(scored.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k))
+    top = marked.join(counted(best_ids), ["community_id", "mark"]).select("qid", "community_id", "score", "rn", "summary")
+    top = cut_lineage(top.dropDuplicates(["qid", "rn"]))  # repeated communities meet each of their ranks
     first = told.orderBy("community_id").limit(k).withColumn("rn", F.row_number().over(Window.orderBy("community_id")))  # k rows
     empty = questions.select("qid").join(top.select("qid").distinct(), "qid", "left_anti")
     rest = empty.join(F.broadcast(first)).select("qid", "community_id", F.lit(0.0).alias("score"), "rn", "summary")

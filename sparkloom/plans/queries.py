@@ -301,7 +301,7 @@ def flagship(spark, d):
     """Chunks of all documents ranked against the questions: the five best for each."""
     made = chunk_documents(spark, d).select("chunk_id", F.col("text").alias("summary"))
     scored = retrieval.relevances(made, _questions(spark))
-    return content.first_per_group(scored.where("score > 0"), ["qid"], [F.desc("score"), F.col("chunk_id")], 5).select("qid", "chunk_id", "score", "rn")
+    return content.first_per_group(scored, ["qid"], [F.desc("score"), F.col("chunk_id")], 5).select("qid", "chunk_id", "score", "rn")
 
 
 def _query_vectors(spark, d):
