@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import chat, langid, media, mixing, pieces, quality, repeats, secrets, simhash, urls
+from . import chat, langid, lloyd, media, mixing, pieces, quality, repeats, runs, secrets, shards, simhash, urls
 from .common import WORD
 
 
@@ -64,6 +64,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.range_sorted(placed).select("doc_id", "size", "source_size", "target", "taken", "epochs", "position")
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.digest(lloyd.cluster(_read(spark, sf_dir, "embeddings")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    planted = docs.withColumn("text", runs.with_periodic_tail(F.col("text"), F.col("doc_id")))
+    return runs.digest(runs.find_runs(planted))
+
+
+def op13_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.digest(shards.sharded(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
