@@ -7,13 +7,15 @@ to the checkpoint folder so that plans stay short and lost executors cost one ro
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..columns import counted, first_rows
 from ..columns import numbered as placed
-from ..session import cut_lineage
+from ..session import Scratch, cut_lineage
 
 
 def build(nodes: DataFrame, edges: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -302,25 +304,91 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.agg(F.count(F.lit(1)).alias("nodes")).join(edges.agg(F.count(F.lit(1)).alias("edges")))
 
 
-def communities(edges: DataFrame, rounds: int = 6, levels: int = 3, least: int = 3, resolution: float = 1.0) -> DataFrame:
-    """(community_id, size, name): greedy modularity moves in parallel, level by level, ids by size.
+#: Links of a contracted graph that one task takes over.
+FINISH_LINKS = 50_000
+#: Parallel rounds before communities are contracted to nodes.
+LEVEL_ROUNDS = 2
+
+
+def communities(edges: DataFrame, least: int = 3, resolution: float = 1.0, tolerance: float = 0.01) -> DataFrame:
+    """(community_id, size, name): greedy modularity, level by level, ids by size.
 
-    A level moves nodes between communities until nothing moves or modularity stops growing;
-    then each community becomes one node of the next level's graph, until a level brings nothing.
+    A level moves nodes in parallel for a few rounds (``_moved``) and contracts each community
+    to one node of the next level's graph. Once that graph has at most ``FINISH_LINKS`` links,
+    one task moves its nodes in turn, level by level, until nothing moves (``in_turn``); before
+    that there are as many parallel levels as it takes. Then the communities are refined: the
+    nodes of the whole graph may change over again, one by one, in parallel rounds until a round
+    gains less than ``tolerance`` of what these have gained. Every step raises modularity, so the
+    labelling at hand is always the best one so far.
     """
-    links = cut_lineage(_weighted(edges))
-    total = links.agg(F.sum("w")).first()[0] or 0
-    members = cut_lineage(links.select(F.col("a").alias("name")).distinct().select("name", F.col("name").alias("c")))
-    best = modularity_of(links, None, total, resolution)
-    for _ in range(levels):
-        label = _moved(links, total, rounds, resolution)
-        grown = cut_lineage(members.join(label.select(F.col("name").alias("c"), F.col("c").alias("to")), "c").select("name", F.col("to").alias("c")))
-        links_up = cut_lineage(_lifted(links, label))
-        now = modularity_of(links_up, None, total, resolution)
-        if now <= best + 1e-9:
-            break
-        best, members, links = now, grown, links_up
-    return numbered(members.select("name", F.col("c").alias("community")), least)
+    with Scratch(edges.sparkSession) as scratch:
+        keep = scratch.kept
+        whole = keep(_weighted(edges))
+        total = whole.agg(F.sum("w")).first()[0] or 0
+        alone = lambda own: keep(own.select(F.col("a").alias("name")).distinct().select("name", F.col("name").alias("c")))
+        label, links, moves = alone(whole), whole, 1 if total else 0
+        while moves:
+            up, moves = _moved(links, total, alone(links), resolution, tolerance, keep, LEVEL_ROUNDS)
+            links = keep(_lifted(links, up))
+            if links.count() <= FINISH_LINKS:
+                up, moves = up.join(_finished(links, total, resolution), "c").select("name", F.col("to").alias("c")), 0
+            label = keep(label.join(up.select(F.col("name").alias("c"), F.col("c").alias("to")), "c").select("name", F.col("to").alias("c")))
+        found = cut_lineage(_moved(whole, total, label, resolution, tolerance, keep)[0] if total else label)
+    return numbered(found.withColumnRenamed("c", "community"), least)
+
+
+def _finished(links: DataFrame, total: float, resolution: float) -> DataFrame:
+    """(c, to): the communities that the nodes of a contracted graph of bounded size end in, by one task."""
+
+    def run(rows):  # type: ignore[no-untyped-def]
+        import pandas as pd
+
+        found = in_turn(zip(rows["a"], rows["b"], rows["w"].tolist(), strict=True), float(total), resolution)
+        return pd.DataFrame({"c": list(found), "to": list(found.values())})
+
+    return links.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "c string, to string")
+
+
+def in_turn(links, total: float, resolution: float = 1.0) -> dict[str, str]:  # type: ignore[no-untyped-def]
+    """Community of each node after greedy moves of one node after another, then of whole communities, until nothing moves."""
+    beside: dict[str, dict[str, float]] = {}
+    for a, b, w in links:
+        beside.setdefault(a, {})[b] = w
+    group = {a: a for a in beside}  # a node of the input -> its node at this level
+    label = dict(group)
+    while True:
+        degree = {a: sum(ws.values()) for a, ws in beside.items()}
+        mass: dict[str, float] = {}
+        for a, c in label.items():
+            mass[c] = mass.get(c, 0.0) + degree[a]
+        any_moved, moved = False, True
+        while moved:
+            moved = False
+            for a in sorted(beside):
+                kin: dict[str, float] = {}
+                for b, w in beside[a].items():
+                    if b != a:
+                        kin[label[b]] = kin.get(label[b], 0.0) + w
+                own = label[a]
+                mass[own] -= degree[a]
+                best, most = own, kin.get(own, 0.0) - resolution * degree[a] * mass[own] / total
+                for c in sorted(kin):
+                    worth = kin[c] - resolution * degree[a] * mass[c] / total
+                    if worth > most + 1e-9:
+                        best, most = c, worth
+                mass[best] += degree[a]
+                if best != own:
+                    label[a], moved, any_moved = best, True, True
+        group = {a: label[g] for a, g in group.items()}
+        if not any_moved:
+            return group
+        lifted: dict[str, dict[str, float]] = {}
+        for a, ws in beside.items():
+            row = lifted.setdefault(label[a], {})
+            for b, w in ws.items():
+                row[label[b]] = row.get(label[b], 0.0) + w
+        beside = lifted
+        label = {c: c for c in beside}
 
 
 def _weighted(edges: DataFrame) -> DataFrame:
@@ -328,6 +396,10 @@ def _weighted(edges: DataFrame) -> DataFrame:
     return _ways(edges.where("src <> dst")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
 
 
+def _degrees(links: DataFrame) -> DataFrame:
+    return links.groupBy(F.col("a").alias("name")).agg(F.sum("w").alias("k"))
+
+
 def _lifted(links: DataFrame, label: DataFrame) -> DataFrame:
     """The links between communities; those within one become its self-loop."""
     far = label.select(F.col("name").alias("b"), F.col("c").alias("to"))
@@ -343,33 +415,53 @@ def modularity_of(links: DataFrame, label: DataFrame | None, total: float, resol
     return sizes.agg(F.sum(F.col("inside") / total - resolution * (F.col("k") / total) ** 2)).first()[0] or 0.0
 
 
-def _moved(links: DataFrame, total: float, rounds: int, resolution: float) -> DataFrame:
-    """(name, c) after one level of moves.
+#: Levels of a node's turn; a node is on level l or above with probability 2^-l.
+_TURNS = 40
+
+
+def _moved(links: DataFrame, total: float, label: DataFrame, resolution: float, tolerance: float, keep: Callable[[DataFrame], DataFrame], rounds: int | None = None) -> tuple[DataFrame, int]:
+    """((name, c), moves made) after one level of moves; every round raises modularity.
 
-    Each round half the nodes, chosen by a hash of name and round, look at their neighbours'
-    communities and take the one with the highest gain in modularity (ties: the largest
-    label), so few moves that spoil each other are made at once. It ends when two rounds in
-    a row move nothing.
+    A round lets nodes out of half the communities, drawn anew each round, into the other half.
+    So no two moves cost each other a link: a neighbour that leaves with a node, or enters beside
+    it, only adds to its gain. What they do cost each other is room: a node counts the weight of
+    all that enter its target or leave its community in turn before it or with it, and goes only
+    if its gain outweighs that. Turns are drawn too, on levels that get twice as rare each, so
+    those that come first are few, and the sums are over some forty numbers per community,
+    however large it is. The gains of all that go add up to at most what modularity grows by.
+
+    It ends after ``rounds`` rounds, or two in a row that gain less than ``tolerance`` of what all
+    have gained. ``keep`` writes a table.
     """
-    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    other = cut_lineage(links.where("a <> b").repartition(parts, "b"))
-    label = cut_lineage(links.groupBy("a").agg(F.sum("w").alias("k")).select(F.col("a").alias("name"), F.col("a").alias("c"), "k"))
-    idle = 0
-    for step in range(rounds):
+    other = links.where("a <> b")
+    label = keep(label.join(_degrees(links), "name").select("name", "c", "k", F.lit(0.0).alias("gain")))
+    idle, step, moves, reached = 0, 0, 0, 0.0
+    while idle < 2 and step != rounds:
+        lets_out = F.pmod(F.xxhash64("own", F.lit(step)), F.lit(2)) == 0
+        lets_in = F.pmod(F.xxhash64("c", F.lit(step)), F.lit(2)) == 1
         size = label.groupBy("c").agg(F.sum("k").alias("tot"))
-        near = other.join(label.select(F.col("name").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("kin"))
-        own = label.select(F.col("name").alias("a"), F.col("c").alias("own"), "k")
-        options = near.unionByName(own.select("a", F.col("own").alias("c"), F.lit(0).cast("long").alias("kin"))).groupBy("a", "c").agg(F.sum("kin").alias("kin")).join(own, "a").join(size, "c")
-        gain = F.col("kin") - resolution * F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0)) / total
-        allowed = (F.col("c") == F.col("own")) | (F.pmod(F.xxhash64("a", F.lit(step)), F.lit(2)) == 0)
-        rank = F.struct(F.round(gain, 9), F.when(F.col("c") == F.col("own"), 1).otherwise(0), F.col("c"))
-        best = options.where(allowed).groupBy("a", "own", "k").agg(F.max_by("c", rank).alias("to"))
-        moved = cut_lineage(best.select(F.col("a").alias("name"), F.col("to").alias("c"), "k", (F.col("to") != F.col("own")).alias("went")))
-        idle = idle + 1 if moved.where("went").isEmpty() else 0
-        label = moved.drop("went")
-        if idle == 2:
-            break
-    return label.select("name", "c")
+        own = label.select(F.col("name").alias("a"), F.col("c").alias("own"), "k").where(lets_out)
+        stays = F.col("c") == F.col("own")
+        near = other.join(label.select(F.col("name").alias("b"), "c"), "b").join(own, "a").where(lets_in | stays).groupBy("a", "own", "k", "c").agg(F.sum("w").alias("kin"))
+        worth = F.col("kin") - resolution * F.col("k") * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0)) / total
+        best = near.join(size, "c").withColumn("worth", worth).groupBy("a", "own", "k").agg(F.max(F.when(stays, F.col("worth"))).alias("stay"), F.max(F.when(~stays, F.struct("worth", "c"))).alias("go"))
+        # A node without kin in its community gains by the null term of leaving it.
+        room = -resolution * F.col("k") * (F.col("tot") - F.col("k")) / total
+        left = best.where("go is not null").join(size.withColumnRenamed("c", "own"), "own").withColumn("stay", F.coalesce("stay", room))
+        draw = F.pmod(F.xxhash64("a", F.lit(step)), F.lit(1 << _TURNS)) + 1
+        turn = F.floor(F.lit(float(_TURNS)) - F.log2(draw.cast("double"))).cast("int")
+        wants = keep(left.select("a", "own", "k", F.col("go.c").alias("to"), (F.col("go.worth") - F.col("stay")).alias("gain"), turn.alias("turn")).where("gain > 1e-9"))
+        sums = wants.select(F.explode(F.array("to", "own")).alias("c"), "turn", "k").groupBy("c", "turn").agg(F.sum("k").alias("k"))
+        so_far = sums.select("c", "turn", F.sum("k").over(Window.partitionBy("c").orderBy(F.desc("turn"))).alias("mass"))
+        entered = so_far.select(F.col("c").alias("to"), "turn", F.col("mass").alias("entered"))
+        gone = so_far.select(F.col("c").alias("own"), "turn", F.col("mass").alias("gone"))
+        sure = wants.join(entered, ["to", "turn"]).join(gone, ["own", "turn"])
+        go = sure.withColumn("gain", F.col("gain") - resolution * F.col("k") * (F.col("entered") + F.col("gone") - 2 * F.col("k")) / total).where("gain > 1e-9").select(F.col("a").alias("name"), "to", F.col("gain").alias("won"))
+        label = keep(label.join(go, "name", "left").select("name", F.coalesce("to", "c").alias("c"), "k", F.coalesce("won", F.lit(0.0)).alias("gain")))
+        made, gained = label.agg(F.count_if(F.col("gain") > 0), F.coalesce(F.sum("gain"), F.lit(0.0))).first()  # type: ignore[misc]
+        moves, reached, step = moves + made, reached + gained, step + 1
+        idle = idle + 1 if gained <= tolerance * reached else 0
+    return label.select("name", "c"), moves
 
 
 def numbered(labels: DataFrame, least: int = 3) -> DataFrame:
