@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..columns import counted, fresh
+from ..columns import counted, fresh, median
 from ..functions.scoring import verdict, vote, without_vote
 from ..functions.text import clean_dialogue, pick_template, stem_key, strip, token_estimate, words
 
@@ -86,7 +86,9 @@ def length_stats(rows: DataFrame, by: str, text: str) -> DataFrame:
 
 
 def sequence_stats(rows: DataFrame, tokens: Column, limit: int = 2048) -> DataFrame:
-    return rows.select(tokens.alias("t")).agg(F.round(F.avg("t"), 6).alias("avg_tokens"), F.min("t").alias("min_tokens"), F.max("t").alias("max_tokens"), F.median("t").alias("median_tokens"), F.count_if(F.col("t") > limit).alias("too_long"))
+    """Average, least, most and median number of tokens, and how many rows have more than ``limit``."""
+    middle = median(rows, tokens)
+    return rows.select(tokens.alias("t")).agg(F.round(F.avg("t"), 6).alias("avg_tokens"), F.min("t").alias("min_tokens"), F.max("t").alias("max_tokens"), F.lit(middle).cast("double").alias("median_tokens"), F.count_if(F.col("t") > limit).alias("too_long"))
 
 
 def duplicate_groups(rows: DataFrame, text: str) -> DataFrame:

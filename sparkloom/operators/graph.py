@@ -165,12 +165,12 @@ def shown(compared: DataFrame, most: int = 8) -> DataFrame:
     return first.groupBy("side").agg(F.array_sort(F.collect_list("name")).alias("names"))
 
 
-def closure(edges: DataFrame, start: DataFrame, types: list[str] | None = None, rounds: int = 100) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame, types: list[str] | None = None) -> DataFrame:
     """Everything reachable along outgoing edges, the start not included unless a cycle returns to it."""
     steps = cut_lineage(_typed(edges, types if types is not None else schemas.PREREQUISITE_TYPES).select("src", "dst"))
     seen = None
     frontier = start.select("name")
-    for _ in range(rounds):
+    while True:
         found = steps.join(counted(frontier.select(F.col("name").alias("src"))), "src").select(F.col("dst").alias("name")).distinct()
         frontier = cut_lineage(found if seen is None else found.join(seen, "name", "left_anti"))
         if frontier.isEmpty():
@@ -179,7 +179,7 @@ def closure(edges: DataFrame, start: DataFrame, types: list[str] | None = None,
     return seen if seen is not None else start.select("name").limit(0)
 
 
-def paths(edges: DataFrame, source: str, target: str, types: list[str] | None = None, rounds: int = 50) -> DataFrame:
+def paths(edges: DataFrame, source: str, target: str, types: list[str] | None = None) -> DataFrame:
     """(place, name) from source to target over undirected edges, each node reached from its first parent by
     name; over all types where the prerequisite types don't connect them; else just the two names.
 
@@ -192,7 +192,7 @@ def paths(edges: DataFrame, source: str, target: str, types: list[str] | None =
         steps = _ways(_typed(every, chosen))
         frontier = spark.createDataFrame([(source, [source])], "name string, way array<string>")
         seen = frontier.select("name")
-        for _ in range(rounds):
+        while True:
             found = steps.join(counted(frontier.withColumnRenamed("name", "a")), "a").groupBy(F.col("b").alias("name")).agg(F.min_by("way", "a").alias("way"))
             frontier = _frontier(found.select("name", F.concat("way", F.array("name")).alias("way")), seen, ["name"])
             there = frontier.where(F.col("name") == target)
@@ -209,33 +209,95 @@ def paths(edges: DataFrame, source: str, target: str, types: list[str] | None =
     return way.select(F.posexplode("way").alias("place", "name"))
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, types: list[str] | None = None, rounds: int = 50) -> list[str]:
+def shortest_path(edges: DataFrame, source: str, target: str, types: list[str] | None = None) -> list[str]:
     """The names of ``paths`` in order."""
-    return [r["name"] for r in paths(edges, source, target, types, rounds).orderBy("place").collect()]  # one row per step
+    return [r["name"] for r in paths(edges, source, target, types).orderBy("place").collect()]  # one row per step
 
 
-def curriculum(edges: DataFrame, target: DataFrame, known: list[str] | None = None, types: list[str] | None = None, rounds: int = 100) -> DataFrame:
+def strongly_connected(edges: DataFrame) -> DataFrame:
+    """(name, part): for each node on a cycle the least name of its strongly connected part; other nodes have no row.
+
+    Nodes that nothing leads to, or that lead nowhere, are trimmed. Of the rest each takes the
+    least name that reaches it, until nothing changes; a node that kept its own is a root, and
+    what leads to it inside its colour is its part. Parts found are taken out and the rest goes
+    round again. Each loop ends when it changes nothing.
+    """
+    with Scratch(edges.sparkSession) as scratch:
+        keep = scratch.kept
+        left = keep(edges.select("src", "dst").where("src <> dst").distinct())
+        found = keep(left.select(F.col("src").alias("name"), F.col("src").alias("part")).limit(0))
+        while True:
+            left, size = _trimmed(left, keep)
+            if not size:
+                break
+            colour = keep(left.select(F.col("src").alias("name")).distinct().select("name", F.col("name").alias("part")))
+            while True:
+                sent = left.join(colour.select(F.col("name").alias("src"), "part"), "src").groupBy(F.col("dst").alias("name")).agg(F.min("part").alias("came"))
+                grown = keep(colour.join(sent, "name", "left").select("name", F.least("part", "came").alias("part"), (F.col("came") < F.col("part")).alias("new")))
+                colour = grown.select("name", "part")
+                if grown.where("new").isEmpty():
+                    break
+            inside = keep(left.join(colour.select(F.col("name").alias("src"), "part"), "src").join(colour.select(F.col("name").alias("dst"), F.col("part").alias("other")), "dst").where("part = other").select("src", "dst", "part"))
+            own = front = keep(colour.where("name = part"))
+            while not front.isEmpty():
+                back = inside.join(front.select(F.col("name").alias("dst")), "dst", "left_semi").select(F.col("src").alias("name"), "part").distinct()
+                front = keep(back.join(own, "name", "left_anti"))
+                own = own.unionByName(front)
+            own = keep(own)
+            found = found.unionByName(own)
+            left = keep(left.join(own.select(F.col("name").alias("src")), "src", "left_anti").join(own.select(F.col("name").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        # Roots that only trimming would have taken (alone in their part) lie on no cycle.
+        alone = found.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+        return cut_lineage(found.join(alone, "part", "left_anti").select("name", "part"))
+
+
+def _trimmed(left: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
+    """Edges without those at nodes that nothing leads to or that lead nowhere, and their number."""
+    size = left.count()
+    while size:
+        left = keep(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        now = left.count()
+        if now == size:
+            break
+        size = now
+    return left, size
+
+
+def curriculum(edges: DataFrame, target: DataFrame, known: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
     """(level, name): prerequisites first, each behind all that it needs; known ones left out, the target last.
 
-    Rounds peel off what needs nothing more. What a cycle holds back comes in one last level.
+    Rounds peel off what needs nothing more, until nothing is left. Nodes that need each other (a
+    cycle) stand together: where peeling stops at cycles, each strongly connected part counts as
+    one node from there on.
     """
     chosen = types if types is not None else schemas.PREREQUISITE_TYPES
     inside = cut_lineage(closure(edges, target, chosen).unionByName(target.select("name")).distinct())
     ends = inside.select(F.col("name").alias("dst"))
     needs = cut_lineage(_typed(edges, chosen).select("src", "dst").distinct().where("src <> dst").join(inside.select(F.col("name").alias("src")), "src", "left_semi").join(ends, "dst", "left_semi"))
-    left, out, level = inside, None, 0
-    for level in range(rounds):
-        ready = cut_lineage(left.join(needs.select(F.col("src").alias("name")), "name", "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            break
-        out = ready if out is None else out.unionByName(ready)
-        left = cut_lineage(left.join(ready, "name", "left_anti"))
-        needs = cut_lineage(needs.join(ready.select(F.col("name").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    rest = left.withColumn("level", F.lit(level))
-    out = rest if out is None else out.unionByName(rest)
-    last = out.agg((F.max("level") + 1).alias("last"))
+    with Scratch(edges.sparkSession) as scratch:
+        keep = scratch.kept
+        # ``node`` is a name, or the part that stands for it once cycles are joined.
+        member = keep(inside.select("name", F.col("name").alias("node")))
+        left, needs, out, level = keep(member.select("node")), keep(needs), None, 0
+        while True:
+            ready = keep(left.join(needs.select(F.col("src").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)))
+            if ready.isEmpty():
+                if left.isEmpty():
+                    break
+                # Every node left needs something: cycles, and what stands behind them.
+                parts = strongly_connected(needs)
+                to = lambda df, c: df.join(parts.select(F.col("name").alias(c), "part"), c, "left").withColumn(c, F.coalesce("part", c)).drop("part")  # noqa: B023, E731
+                member, left = keep(to(member, "node")), keep(to(left, "node").distinct())
+                needs = keep(to(to(needs, "src"), "dst").where("src <> dst").distinct().select("src", "dst"))
+                continue
+            out = ready if out is None else out.unionByName(ready)
+            left = keep(left.join(ready, "node", "left_anti").select("node"))
+            needs = keep(needs.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+            level += 1
+        levels = cut_lineage(member.join(out, "node").select("name", "level")) if out is not None else inside.select("name", F.lit(0).alias("level")).limit(0)
+    last = levels.agg((F.max("level") + 1).alias("last"))
     goal = target.select("name").withColumn("is_target", F.lit(True))
-    placed = out.join(goal, "name", "left").join(F.broadcast(last))
+    placed = levels.join(goal, "name", "left").join(F.broadcast(last))
     drop = [k.lower() for k in known or []]
     shown = placed.where(F.col("is_target").isNotNull() | ~F.lower("name").isin(drop)) if drop else placed
     return shown.select(F.when(F.col("is_target"), F.col("last")).otherwise(F.col("level")).alias("level"), "name")

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..columns import MAX_BROADCAST_ROWS, counted, fresh
 from ..functions import hooks
-from ..functions.scoring import GLOBAL_SIGNALS, LOCAL_SIGNALS, entity_score, hits, long_words, mode, route, search_score, tokens
+from ..functions.scoring import GLOBAL_SIGNALS, LOCAL_SIGNALS, hits, long_words, mode, route, search_score, tokens
 from ..functions.text import acronym, concept_document, first_sentence, json_object, slug, strip, truncate_words
 from ..session import cut_lineage
+from . import matching
 
 def against(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """All rows with each query of a stated query set; a set beyond the bound goes in blocks."""
@@ -55,8 +56,7 @@ def entities(questions: DataFrame, names: DataFrame) -> DataFrame:
     """
     asked = questions.select("qid", "question", F.posexplode(F.split(F.lower("question"), r"[^\p{L}\p{N}_]+")).alias("pos", "acronym"))
     short = asked.join(acronyms(names), "acronym").groupBy("qid").agg(F.min_by("name", "pos").alias("short"))
-    scored = against(names.select("ord", "name"), questions.select("qid", "question")).withColumn("score", entity_score(F.col("question"), F.col("name")))
-    best = scored.where("score > 0").groupBy("qid").agg(F.max_by("name", F.struct(F.col("score"), -F.col("ord"))).alias("name"), F.max("score").alias("score"))
+    best = matching.scored(questions, names).groupBy("qid").agg(F.max_by("name", F.struct(F.col("score"), -F.col("ord"))).alias("name"), F.max("score").alias("score"))
     return questions.select("qid", "question").join(short, "qid", "left").join(best, "qid", "left").select("qid", "question", F.coalesce("short", "name").alias("name"), F.when(F.col("short").isNotNull(), 0.92).otherwise(F.coalesce("score", F.lit(0.0))).alias("confidence"))
 
 
@@ -92,8 +92,7 @@ def candidates(questions: DataFrame, names: DataFrame, n: int = 30) -> DataFrame
 
 def entity_scores(questions: DataFrame, names: DataFrame) -> DataFrame:
     """Every question's score for every name it has anything to do with."""
-    scored = against(names.select("name"), questions.select("qid", "question"))
-    return scored.select("qid", "name", F.round(entity_score(F.col("question"), F.col("name")), 6).alias("score")).where("score > 0")
+    return matching.scored(questions, names).select("qid", "name", F.round("score", 6).alias("score")).where("score > 0")
 
 
 def search(concepts: DataFrame, question: str, n: int = 10) -> DataFrame:

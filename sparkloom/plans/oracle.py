@@ -29,6 +29,10 @@ content AS (SELECT d.doc_id::VARCHAR AS id, source AS subreddit, string_split(te
 EVENTS = "ev AS (SELECT event_id AS id, 'u' || user_id AS subreddit, event_type AS sentiment_label, ts AS created_dt, value AS score FROM events)"
 QUESTIONS = "questions(qid, question) AS (VALUES " + ", ".join(f"({i}, {_s(t)})" for i, t in q.QUESTIONS) + ")"
 NAMES = "names(ord, name) AS (VALUES " + ", ".join(f"({i}, {_s(t)})" for i, t in q.NAMES) + ")"
+ASKED = f"""questions(qid, question) AS (SELECT item_id::INTEGER, text || coalesce(' What is the ' || p_name || ' of ' || p_brand || '?', '') FROM benchmark LEFT JOIN part ON p_partkey = item_id
+  UNION ALL SELECT -1 - column0, column1 FROM (VALUES {", ".join(f"({i}, {_s(t)})" for i, t in q.QUESTIONS)}))"""
+LABELS = f"""labels_(name) AS (SELECT r_name FROM region UNION SELECT n_name FROM nation UNION SELECT s_name FROM supplier UNION SELECT p_brand FROM part UNION SELECT p_type FROM part UNION SELECT p_name FROM part),
+names(ord, name) AS (SELECT column0, column1 FROM (VALUES {", ".join(f"({i}, {_s(t)})" for i, t in q.NAMES)}) UNION ALL SELECT (row_number() OVER (ORDER BY name) + {len(q.NAMES) - 1})::INTEGER, name FROM labels_)"""
 NODES = """nodes AS (SELECT 'R:' || r_name AS name, 'Domain' AS category FROM region UNION ALL SELECT 'N:' || n_name, 'Domain' FROM nation UNION ALL SELECT 'S:' || s_suppkey, 'Tool' FROM supplier
   UNION ALL SELECT DISTINCT 'B:' || p_brand, 'Framework' FROM part UNION ALL SELECT DISTINCT 'T:' || p_type, 'Concept' FROM part UNION ALL SELECT 'P:' || p_partkey, 'Model' FROM part)"""
 _BASE_EDGES = """SELECT 'N:' || n_name AS src, 'PART_OF' AS rel, 'R:' || r_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -208,9 +212,9 @@ def oracle_sql() -> dict[str, str]:
         "classify_files": f"SELECT doc_id, CASE WHEN {_SIGNALS} >= 2 THEN 'profile' WHEN {_QUOTES} >= 5 THEN 'quotes' WHEN {_LINES} >= 5 OR ({_LINES} >= 2 AND {_WIKI} >= 3) THEN 'script' WHEN {_WIKI} >= 10 AND {_LINES} < 3 THEN 'profile' WHEN {_SIGNALS} >= 1 THEN 'profile' ELSE 'script' END AS kind FROM documents",
         "parse_vote": f"WITH {VOTES} SELECT * FROM votes",
         "vote_tally": f"WITH {VOTES}, t AS (SELECT conv_id, count(*) FILTER (vote = 'yes') AS yes, count(*) FILTER (vote = 'no') AS no, count(*) FILTER (vote = 'abstain') AS abstain FROM votes GROUP BY 1) SELECT *, " + ", ".join(f"round({v} * 100.0::DOUBLE / greatest(yes + no + abstain, 1), 4) AS {v}_percent" for v in ("yes", "no", "abstain")) + ", CASE WHEN yes > no THEN 'APPROVED' WHEN no > yes THEN 'REJECTED' ELSE 'SPLIT' END AS verdict FROM t",
-        "route_queries": f"WITH {QUESTIONS} SELECT qid, CASE WHEN {_signals(scoring.GLOBAL_SIGNALS, _QL)} > {_signals(scoring.LOCAL_SIGNALS, _QL)} THEN 'global' ELSE 'local' END AS route, CASE " + " ".join(f"WHEN {_any(s, 'lower(question)')} THEN '{m}'" for m, s in scoring.MODE_SIGNALS.items()) + " ELSE 'standard' END AS mode FROM questions",
-        "entity_scores": f"WITH {QUESTIONS}, {NAMES} SELECT qid, name, round({_ENTITY}, 6) AS score FROM questions, names WHERE round({_ENTITY}, 6) > 0",
-        "entity_best": f"WITH {QUESTIONS}, {NAMES}, ac AS (SELECT {_ACRONYM.format(x='name')} AS a, min(name) AS name FROM names GROUP BY 1), asked AS (SELECT qid, unnest(regexp_split_to_array(lower(question), '{NW}')) AS a, unnest(range(len(regexp_split_to_array(lower(question), '{NW}')))) AS pos FROM questions), short AS (SELECT qid, arg_min(name, pos) AS short FROM asked JOIN ac USING (a) GROUP BY 1), s AS (SELECT qid, name, ord, {_ENTITY} AS score FROM questions, names), best AS (SELECT qid, name, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) = 1) SELECT qid, coalesce(short, name) AS name, round(CASE WHEN short IS NOT NULL THEN 0.92::DOUBLE ELSE coalesce(score, 0) END, 6) AS confidence FROM questions LEFT JOIN short USING (qid) LEFT JOIN best USING (qid)",
+        "route_queries": f"WITH {ASKED} SELECT qid, CASE WHEN {_signals(scoring.GLOBAL_SIGNALS, _QL)} > {_signals(scoring.LOCAL_SIGNALS, _QL)} THEN 'global' ELSE 'local' END AS route, CASE " + " ".join(f"WHEN {_any(s, 'lower(question)')} THEN '{m}'" for m, s in scoring.MODE_SIGNALS.items()) + " ELSE 'standard' END AS mode FROM questions",
+        "entity_scores": f"WITH {ASKED}, {LABELS} SELECT qid, name, round({_ENTITY}, 6) AS score FROM questions, names WHERE round({_ENTITY}, 6) > 0",
+        "entity_best": f"WITH {ASKED}, {LABELS}, ac AS (SELECT {_ACRONYM.format(x='name')} AS a, min(name) AS name FROM names GROUP BY 1), asked AS (SELECT qid, unnest(regexp_split_to_array(lower(question), '{NW}')) AS a, unnest(range(len(regexp_split_to_array(lower(question), '{NW}')))) AS pos FROM questions), short AS (SELECT qid, arg_min(name, pos) AS short FROM asked JOIN ac USING (a) GROUP BY 1), s AS (SELECT qid, name, ord, {_ENTITY} AS score FROM questions, names), best AS (SELECT qid, name, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) = 1) SELECT qid, coalesce(short, name) AS name, round(CASE WHEN short IS NOT NULL THEN 0.92::DOUBLE ELSE coalesce(score, 0) END, 6) AS confidence FROM questions LEFT JOIN short USING (qid) LEFT JOIN best USING (qid)",
         "search_concepts": "WITH s AS (SELECT 'P:' || p_partkey AS name, CASE WHEN lower('P:' || p_partkey) = 'red' THEN 10 WHEN contains(lower('P:' || p_partkey), 'red') THEN 5 ELSE 0 END + CASE WHEN contains(lower(p_name || '. Made by ' || p_brand), 'red') THEN 2 ELSE 0 END + CASE WHEN contains(lower(p_type), 'red') OR contains(lower(p_brand), 'red') THEN 1 ELSE 0 END AS score FROM part) SELECT name, score FROM s WHERE score > 0 ORDER BY score DESC, name DESC LIMIT 10",
         "community_rank": f"WITH {QUESTIONS}, {RELEVANCE}, s AS (SELECT qid, doc_id::INTEGER AS community_id, round({_relevance('text')}, 6) AS score FROM documents, pairs WHERE length(text) > 0), t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, community_id)::INTEGER AS rn FROM s QUALIFY rn <= 5) SELECT * FROM t QUALIFY score > 0 OR max(score) OVER (PARTITION BY qid) = 0",
         "fallback_answers": rf"WITH {QUESTIONS}, {RELEVANCE}, s AS (SELECT qid, doc_id::INTEGER AS community_id, text, round({_relevance('text')}, 6) AS score FROM documents, pairs WHERE length(text) > 0), t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, community_id) AS rn FROM s QUALIFY rn <= 5), k AS (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w2 FROM t QUALIFY score > 0 OR max(score) OVER (PARTITION BY qid) = 0) SELECT qid, string_agg(CASE WHEN len(w2) <= 20 THEN text ELSE array_to_string(w2[1:20], ' ') || '...' END, chr(10) || chr(10) ORDER BY rn) AS answer FROM k GROUP BY qid",
@@ -251,7 +255,7 @@ SELECT name, CASE WHEN length(t) > 6000 THEN left(t, 6000) || chr(10) || '...[co
         "community_top_members": f"WITH {_MEMBERS} SELECT community_id, name, rn FROM members WHERE rn <= 10",
         "community_prompts": f"WITH {_MEMBERS} SELECT community_id, string_agg(name, ',' ORDER BY name) AS names, string_agg('- ' || name || ': ' || s_name || '. A Tool', chr(10) ORDER BY rn) FILTER (rn <= 10) AS details FROM members GROUP BY community_id",
         "vector_index": f"WITH {NODES}, {_CARDS}, rows_ AS (SELECT replace(lower(name), ' ', '_') AS id, name || chr(10) || definition || chr(10) || 'Category: ' || category || chr(10) || 'Difficulty: intermediate' || chr(10) || 'Use cases: ' || category AS document, name FROM cards), one AS (SELECT id, document FROM rows_ QUALIFY row_number() OVER (PARTITION BY id ORDER BY name DESC) = 1), w AS (SELECT id, unnest(list_filter({_tokens('lower(document)')}, lambda x: x <> '')) AS w FROM one), c AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS slot, count(*) AS n FROM w GROUP BY 1, 2) SELECT id, any_value(document) AS document, string_agg(slot || ':' || n, ',' ORDER BY slot) AS slots FROM one JOIN c USING (id) GROUP BY id",
-        "candidate_names": f"WITH {QUESTIONS}, {NAMES}, s AS (SELECT qid, name, len(list_intersect({_tokens('lower(question)')}, {_tokens('lower(name)')})) AS n FROM questions, names), told AS (SELECT qid, string_agg(name, ', ' ORDER BY n DESC, name DESC) AS told FROM s WHERE n > 0 GROUP BY qid) SELECT qid, coalesce(told, (SELECT string_agg(name, ', ' ORDER BY ord) FROM names)) AS listed FROM questions LEFT JOIN told USING (qid)",
+        "candidate_names": f"WITH {ASKED}, {LABELS}, s AS (SELECT qid, name, len(list_intersect({_tokens('lower(question)')}, {_tokens('lower(name)')})) AS n FROM questions, names), told AS (SELECT qid, string_agg(name, ', ' ORDER BY n DESC, name DESC) AS told FROM (SELECT * FROM s WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY n DESC, name DESC) <= 30) GROUP BY qid) SELECT qid, coalesce(told, (SELECT string_agg(name, ', ' ORDER BY ord) FROM names WHERE ord < 30)) AS listed FROM questions LEFT JOIN told USING (qid)",
         "name_suggestions": "WITH a(qid, w) AS (VALUES (0, 'red'), (1, 'steel'), (2, 'nothing')), s AS (SELECT qid, 'P:' || p_partkey AS name, CASE WHEN lower('P:' || p_partkey) = w THEN 10 WHEN contains(lower('P:' || p_partkey), w) THEN 5 ELSE 0 END + CASE WHEN contains(lower(p_name || '. Made by ' || p_brand), w) THEN 2 ELSE 0 END + CASE WHEN contains(lower(p_type), w) OR contains(lower(p_brand), w) THEN 1 ELSE 0 END AS score FROM part, a) SELECT qid, name, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, name DESC)::INTEGER AS rn FROM s WHERE score > 0 QUALIFY rn <= 5",
         "resumed_chunks": f"WITH {CHUNKS}, done AS (SELECT 'doc_' || doc_id || '.txt' AS f FROM labels) SELECT count(*) FILTER (source_file NOT IN (FROM done)) AS chunks_processed, count(*) FILTER (source_file IN (FROM done)) AS chunks_skipped FROM chunks",
         "line_counts": "SELECT character, n AS cnt, CASE WHEN n = 0 THEN 'MISSING' WHEN n < 30 THEN 'LOW' ELSE 'OK' END AS status FROM (SELECT v.character, count(c.role) AS n FROM (VALUES ('assistant'), ('narrator'), ('system'), ('user')) v(character) LEFT JOIN conversations c ON c.role = v.character GROUP BY 1)",

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..columns import numbered
 from ..functions import scoring, text
-from ..operators import content, dialogue, graph, retrieval, topics
+from ..operators import content, dialogue, graph, retrieval, topics, vectors
 from ..session import shared_folder
 from ..sources import sinks, tables
 from ..sources.tables import table
@@ -40,6 +41,19 @@ def _names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(NAMES, "ord int, name string")
 
 
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Questions: each benchmark passage, with a question about a part behind it, and the literal ones (ids below 0)."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.concat(F.lit(" What is the "), "p_name", F.lit(" of "), "p_brand", F.lit("?")).alias("about"))
+    told = table(spark, d, "benchmark").join(part, "item_id", "left").select(F.col("item_id").cast("int").alias("qid"), F.concat("text", F.coalesce("about", F.lit(""))).alias("question"))
+    return told.unionByName(_questions(spark).select((-1 - F.col("qid")).alias("qid"), "question"))
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    """Names: the labels of all concept nodes, in order, behind the literal ones."""
+    own = numbered(tables.concept_nodes(spark, d).select(F.col("label").alias("name")).distinct(), ["name"], "place")
+    return _names(spark).unionByName(own.select((F.col("place") + len(NAMES)).cast("int").alias("ord"), "name"))
+
+
 def _node(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([(name,)], "name string")
 
@@ -272,15 +286,15 @@ def vote_tally(spark, d):
 
 
 def route_queries(spark, d):
-    return retrieval.routed(_questions(spark)).select("qid", "route", "mode")
+    return retrieval.routed(_asked(spark, d)).select("qid", "route", "mode")
 
 
 def entity_scores(spark, d):
-    return retrieval.entity_scores(_questions(spark), _names(spark))
+    return retrieval.entity_scores(_asked(spark, d), _labels(spark, d))
 
 
 def entity_best(spark, d):
-    return retrieval.entities(_questions(spark), _names(spark)).select("qid", "name", F.round("confidence", 6).alias("confidence"))
+    return retrieval.entities(_asked(spark, d), _labels(spark, d)).select("qid", "name", F.round("confidence", 6).alias("confidence"))
 
 
 def search_concepts(spark, d):
@@ -312,6 +326,11 @@ def cosine_topk(spark, d):
     return retrieval.nearest(table(spark, d, "embeddings"), _query_vectors(spark, d), 3)
 
 
+def cosine_topk_indexed(spark, d):
+    """About what ``cosine_topk`` returns, from half the lists of an inverted-file index."""
+    return vectors.search(vectors.build(table(spark, d, "embeddings")), _query_vectors(spark, d))
+
+
 def cosine_topk_excluding(spark, d):
     return retrieval.nearest(table(spark, d, "embeddings"), _query_vectors(spark, d), 3, exclude=[0, 100, 200])
 
@@ -434,6 +453,12 @@ def zero_shot(spark, d):
     return topics.classify(_docs(spark, d).select("doc_id", "text"), "text").select("doc_id", "sentiment.label", "sentiment.score")
 
 
+def ranked_communities(spark, d):
+    """The ten members of each community that rank highest by PageRank."""
+    scored = graph.pagerank(tables.concept_nodes(spark, d), tables.concept_edges(spark, d))
+    return graph.top_members(louvain(spark, d).select("community_id", "name"), scored).select("community_id", "name", "rn")
+
+
 # Retrieval and ingest, further parts
 
 
@@ -499,7 +524,7 @@ def vector_index(spark, d):
 
 
 def candidate_names(spark, d):
-    return retrieval.candidates(_questions(spark), _names(spark))
+    return retrieval.candidates(_asked(spark, d), _labels(spark, d))
 
 
 def name_suggestions(spark, d):
