@@ -179,5 +179,24 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 """
 
 
+def _op11_sql(k: int = 8, rounds: int = 10) -> str:
+    """All rounds unrolled: ``a`` has each vector's owner, ``c`` the centroids."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT rid, vec_id, v, arg_min(c, d * {k} + c) AS c, min(d) AS d FROM
+  (SELECT rid, vec_id, kept.v, c.c, list_sum(list_transform(list_zip(kept.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept, c{r} c) GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY c, i),
+c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{r} GROUP BY c) m USING (c))""")
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM kept QUALIFY c < {k}),
+{", ".join(steps)}
+SELECT a.vec_id, a.c::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scans": _op2_sql(), "op6_suffix_repeats": _OP6_SQL, "op3_chat_formatting": _OP3_SQL, "op4_url_filters": _op4_sql(), "op10_mixing": _op10_sql()}
+    return {"op11_delta_lloyd": _op11_sql(), "op2_secret_scans": _op2_sql(), "op6_suffix_repeats": _OP6_SQL, "op3_chat_formatting": _OP3_SQL, "op4_url_filters": _op4_sql(), "op10_mixing": _op10_sql()}

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..columns import first_rows, fresh
+from ..columns import first_rows, fresh, numbered
 from ..session import cut_lineage
 from . import overlap
 from .common import slices
@@ -257,9 +257,17 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, node (smallest doc_id with that fingerprint), component_id for every row."""
     marked = cut_lineage(fingerprints(docs))
     distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    grown = components(links(distinct.where("node IS NOT NULL"), max_bits))
-    labels = distinct.join(grown, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(labels, "fp")
+    unclear = distinct.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("node IS NULL OR n > 1")
+    if unclear.isEmpty():
+        grown = components(links(distinct, max_bits))
+        labels = distinct.join(grown, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component_id"))
+        return marked.join(labels, "fp")
+    # Fingerprints without a doc_id, or with one that others have too, need numbers of their own.
+    placed = cut_lineage(numbered(distinct.withColumnRenamed("node", "least"), [F.col("least").asc_nulls_last(), F.col("fp")], "node"))
+    grown = components(links(placed, max_bits))
+    first = placed.select(F.col("node").alias("component"), F.col("least").alias("component_id"))
+    part = placed.join(grown, "node", "left").select("fp", F.col("least").alias("node"), F.coalesce("component", "node").alias("component"))
+    return marked.join(part.join(first, "component").drop("component"), "fp")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
