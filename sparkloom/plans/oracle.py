@@ -30,9 +30,9 @@ EVENTS = "ev AS (SELECT event_id AS id, 'u' || user_id AS subreddit, event_type
 QUESTIONS = "questions(qid, question) AS (VALUES " + ", ".join(f"({i}, {_s(t)})" for i, t in q.QUESTIONS) + ")"
 NAMES = "names(ord, name) AS (VALUES " + ", ".join(f"({i}, {_s(t)})" for i, t in q.NAMES) + ")"
 ASKED = f"""questions(qid, question) AS (SELECT item_id::INTEGER, text || coalesce(' What is the ' || p_name || ' of ' || p_brand || '?', '') FROM benchmark LEFT JOIN part ON p_partkey = item_id
-  UNION ALL SELECT -1 - column0, column1 FROM (VALUES {", ".join(f"({i}, {_s(t)})" for i, t in q.QUESTIONS)}))"""
+  UNION ALL SELECT -1 - i, t FROM (VALUES {", ".join(f"({i}, {_s(t)})" for i, t in q.QUESTIONS)}) v(i, t))"""
 LABELS = f"""labels_(name) AS (SELECT r_name FROM region UNION SELECT n_name FROM nation UNION SELECT s_name FROM supplier UNION SELECT p_brand FROM part UNION SELECT p_type FROM part UNION SELECT p_name FROM part),
-names(ord, name) AS (SELECT column0, column1 FROM (VALUES {", ".join(f"({i}, {_s(t)})" for i, t in q.NAMES)}) UNION ALL SELECT (row_number() OVER (ORDER BY name) + {len(q.NAMES) - 1})::INTEGER, name FROM labels_)"""
+names(ord, name) AS (SELECT i, t FROM (VALUES {", ".join(f"({i}, {_s(t)})" for i, t in q.NAMES)}) v(i, t) UNION ALL SELECT (row_number() OVER (ORDER BY name) + {len(q.NAMES) - 1})::INTEGER, name FROM labels_)"""
 NODES = """nodes AS (SELECT 'R:' || r_name AS name, 'Domain' AS category FROM region UNION ALL SELECT 'N:' || n_name, 'Domain' FROM nation UNION ALL SELECT 'S:' || s_suppkey, 'Tool' FROM supplier
   UNION ALL SELECT DISTINCT 'B:' || p_brand, 'Framework' FROM part UNION ALL SELECT DISTINCT 'T:' || p_type, 'Concept' FROM part UNION ALL SELECT 'P:' || p_partkey, 'Model' FROM part)"""
 _BASE_EDGES = """SELECT 'N:' || n_name AS src, 'PART_OF' AS rel, 'R:' || r_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey

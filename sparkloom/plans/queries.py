@@ -11,10 +11,11 @@ from .. import schemas
 from ..columns import numbered
 from ..functions import scoring, text
 from ..operators import content, dialogue, graph, retrieval, topics, vectors
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 from ..sources import sinks, tables
 from ..sources.tables import table
 from ..streaming import ingest
+from . import flows
 
 #: Questions to route, match and rank; the words are those of the test texts where that matters.
 QUESTIONS = [
@@ -459,6 +460,16 @@ def ranked_communities(spark, d):
     return graph.top_members(louvain(spark, d).select("community_id", "name"), scored).select("community_id", "name", "rn")
 
 
+def hybrid_context(spark, d):
+    """For each question the card and neighbourhood of the concept it names, and the nearest texts of the vector index."""
+    asked = _asked(spark, d)
+    found = retrieval.entities(asked, _labels(spark, d)).withColumnRenamed("name", "label")
+    nodes = tables.concept_nodes(spark, d).groupBy("label").agg(F.min("name").alias("name"))
+    named = cut_lineage(found.join(nodes, "label", "left").select("qid", "question", "name", retrieval.mode(F.col("question")).alias("mode")))
+    concepts = _all_concepts(spark, d)
+    return flows.hybrid_contexts(named, concepts, tables.concept_edges(spark, d), retrieval.indexed(None, concepts)).withColumnRenamed("key", "qid")
+
+
 # Retrieval and ingest, further parts
 
 
