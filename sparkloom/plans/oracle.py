@@ -261,5 +261,6 @@ SELECT name, CASE WHEN length(t) > 6000 THEN left(t, 6000) || chr(10) || '...[co
         "line_counts": "SELECT character, n AS cnt, CASE WHEN n = 0 THEN 'MISSING' WHEN n < 30 THEN 'LOW' ELSE 'OK' END AS status FROM (SELECT v.character, count(c.role) AS n FROM (VALUES ('assistant'), ('narrator'), ('system'), ('user')) v(character) LEFT JOIN conversations c ON c.role = v.character GROUP BY 1)",
         "duplicate_report": "WITH g AS (SELECT sha256(text) AS text_sha, count(*) AS cnt FROM documents GROUP BY text HAVING count(*) > 1) SELECT text_sha, cnt, (SELECT count(*) FROM g) AS groups, row_number() OVER (ORDER BY cnt DESC, text_sha)::INTEGER AS rn FROM g QUALIFY rn <= 5",
         "fetch_titles": "SELECT p_partkey, CASE WHEN contains(name, '/') OR (length(name) <= 2) OR name = 'goldenrod' THEN NULL WHEN name = 'ab' THEN 'about' ELSE name END AS title FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_name || '/x' WHEN p_partkey % 11 = 0 THEN 'ab' ELSE p_name END AS name FROM part)",
+        "stream_upsert": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
         "stream_dedupe": "SELECT date_trunc('day', ts)::TIMESTAMP AS period, event_type, count(*) AS cnt FROM (SELECT DISTINCT ON (event_id) * FROM events ORDER BY ALL) GROUP BY 1, 2",
     }

@@ -11,7 +11,7 @@ from .. import schemas
 from ..columns import numbered
 from ..functions import scoring, text
 from ..operators import content, dialogue, graph, retrieval, topics, vectors
-from ..session import cut_lineage, shared_folder
+from ..session import Scratch, cut_lineage
 from ..sources import sinks, tables
 from ..sources.tables import table
 from ..streaming import ingest
@@ -565,16 +565,30 @@ def fetch_titles(spark, d):
     return own.select("p_partkey", text.fetch_title(F.col("name"), {"ab": "about", "goldenrod": None}).alias("title"))
 
 
+def _landed(scratch: Scratch, given: DataFrame, files: int = 5) -> DataFrame:
+    """A stream over several files, two a batch, in which every third event comes in a second time, in a later file."""
+    again = given.where("event_id % 3 = 0").withColumn("late", F.lit(1))
+    dealt = given.withColumn("late", F.lit(0)).unionByName(again).repartitionByRange(files, "late", "ts").drop("late")
+    dealt.write.parquet(f"{scratch.folder}/landed")
+    return ingest.stream(given.sparkSession, f"{scratch.folder}/landed", given.schema, 2)
+
+
 def stream_dedupe(spark, d):
-    """Events that come in as a stream, each id written once, counted by day and type."""
-    import uuid
-
-    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
-    given = table(spark, d, "events")
-    came = spark.readStream.schema(given.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    ingest.append_unseen(came, "event_id", f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
-    rows = spark.read.schema(given.schema).parquet(f"{folder}/rows")
-    return rows.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("period"), "event_type").agg(F.count(F.lit(1)).alias("cnt"))
+    """Events that come in as a stream, some of them twice, each id written once, counted by day and type."""
+    with Scratch(spark) as scratch:
+        given = table(spark, d, "events")
+        ingest.append_unseen(_landed(scratch, given), "event_id", f"{scratch.folder}/rows", f"{scratch.folder}/checkpoint").awaitTermination()
+        rows = spark.read.schema(given.schema).parquet(f"{scratch.folder}/rows")
+        return cut_lineage(rows.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("period"), "event_type").agg(F.count(F.lit(1)).alias("cnt")))
+
+
+def stream_upsert(spark, d):
+    """Each user's last event, from a stream upserted into a bucketed table."""
+    with Scratch(spark) as scratch:
+        given = table(spark, d, "events")
+        last = ingest.BucketedTable(spark, f"{scratch.folder}/table", given.schema, ["user_id"], "ts", 16)
+        ingest.upsert_stream(_landed(scratch, given), last, f"{scratch.folder}/checkpoint").awaitTermination()
+        return cut_lineage(last.rows().select("user_id", "event_id", "event_type"))
 
 
 _NOT_QUERIES = {"table"}
