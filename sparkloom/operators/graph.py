@@ -366,7 +366,7 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.agg(F.count(F.lit(1)).alias("nodes")).join(edges.agg(F.count(F.lit(1)).alias("edges")))
 
 
-#: Links of a contracted graph that one task takes over.
+#: Links (both ways) of a graph that one task takes over.
 FINISH_LINKS = 50_000
 #: Parallel rounds before communities are contracted to nodes.
 LEVEL_ROUNDS = 2
@@ -375,10 +375,10 @@ LEVEL_ROUNDS = 2
 def communities(edges: DataFrame, least: int = 3, resolution: float = 1.0, tolerance: float = 0.01) -> DataFrame:
     """(community_id, size, name): greedy modularity, level by level, ids by size.
 
-    A level moves nodes in parallel for a few rounds (``_moved``) and contracts each community
-    to one node of the next level's graph. Once that graph has at most ``FINISH_LINKS`` links,
-    one task moves its nodes in turn, level by level, until nothing moves (``in_turn``); before
-    that there are as many parallel levels as it takes. Then the communities are refined: the
+    While the graph has more than ``FINISH_LINKS`` links, a level moves nodes in parallel for a few
+    rounds (``_moved``) and contracts each community to one node of the next level's graph. A
+    graph of that size or less is left to one task, which moves its nodes in turn, level by level,
+    until nothing moves (``in_turn``). Then the communities are refined: the
     nodes of the whole graph may change over again, one by one, in parallel rounds until a round
     gains less than ``tolerance`` of what these have gained. Every step raises modularity, so the
     labelling at hand is always the best one so far.
@@ -390,10 +390,11 @@ def communities(edges: DataFrame, least: int = 3, resolution: float = 1.0, toler
         alone = lambda own: keep(own.select(F.col("a").alias("name")).distinct().select("name", F.col("name").alias("c")))
         label, links, moves = alone(whole), whole, 1 if total else 0
         while moves:
-            up, moves = _moved(links, total, alone(links), resolution, tolerance, keep, LEVEL_ROUNDS)
-            links = keep(_lifted(links, up))
             if links.count() <= FINISH_LINKS:
-                up, moves = up.join(_finished(links, total, resolution), "c").select("name", F.col("to").alias("c")), 0
+                up, moves = _finished(links, total, resolution).toDF("name", "c"), 0
+            else:
+                up, moves = _moved(links, total, alone(links), resolution, tolerance, keep, LEVEL_ROUNDS)
+                links = keep(_lifted(links, up))
             label = keep(label.join(up.select(F.col("name").alias("c"), F.col("c").alias("to")), "c").select("name", F.col("to").alias("c")))
         found = cut_lineage(_moved(whole, total, label, resolution, tolerance, keep)[0] if total else label)
     return numbered(found.withColumnRenamed("c", "community"), least)

