@@ -12,7 +12,7 @@ import xxhash
 
 from sparkloom.llm import queries
 
-TABLES = ["documents", "conversations", "pages"]
+TABLES = ["documents", "conversations", "pages", "embeddings"]
 SQL = queries.oracle_sql()
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
