@@ -74,7 +74,7 @@ RULES = BASE_RULES + MORE_RULES
 _PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
 #: What ``redact`` blanks: of a private key all up to its END line; where that is missing, the header lines and base64 lines that follow.
 REDACT_RULES = tuple(
-    Rule("pem", 2, rf"{_PEM}(?:[^-]*+(?:-(?!----)[^-]*+){{0,40}}-----END [A-Z ]*PRIVATE KEY-----|(?:\s*+[A-Z][A-Za-z-]*+:\x20[^\r\n]*+){{0,8}}(?:\s*+[A-Za-z0-9+/]++={{0,2}}(?=\s*(?:[\r\n]|\z))){{0,400}})", needs="PRIVATE KEY-----") if r.kind == "pem" else r
+    Rule("pem", 2, rf"{_PEM}(?:[^-]*+(?:-(?!----)[^-]*+){{0,40}}-----END [A-Z ]*PRIVATE KEY-----|(?:\s*+[A-Z][A-Za-z-]*+:\x20[^\r\n]*+){{0,8}}(?:\s*+[A-Za-z0-9+/]++={{0,2}}(?=\s*(?:[\r\n]|\z)))*+)", needs="PRIVATE KEY-----") if r.kind == "pem" else r
     for r in RULES
 )
 #: A span: start, place of its kind among the rules, end.
