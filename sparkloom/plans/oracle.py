@@ -183,6 +183,7 @@ def oracle_sql() -> dict[str, str]:
         "row_counts": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS cnt FROM {t}" for t in ("documents", "conversations", "labels", "events")),
         "token_freq_topk": f"WITH {CONTENT}, w AS (SELECT sentiment_label, unnest(regexp_split_to_array({_CLEAN.format(x='text')}, '\\s+')) AS word FROM content WHERE sentiment_label IS NOT NULL), c AS (SELECT sentiment_label, word, count(*) AS cnt FROM w WHERE length(word) >= 4 GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY sentiment_label ORDER BY cnt DESC, word)::INTEGER AS rn FROM c QUALIFY rn <= 80",
         "topk_per_group": "SELECT conv_id || ':' || turn AS id, conv_id::VARCHAR AS post_id, text AS body FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn <= 5 AND text NOT IN ('[deleted]', '[removed]', '')",
+        "listing_top": "SELECT doc_id::VARCHAR AS id, nullif(source, '') AS subreddit, string_split(text, chr(10))[1] AS title, n_chars AS score FROM documents QUALIFY row_number() OVER (PARTITION BY nullif(source, '') ORDER BY n_chars DESC NULLS LAST, doc_id::VARCHAR) <= 25",
         "new_rows_anti": "SELECT doc_id::VARCHAR AS id, source AS subreddit FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "upsert_latest": f"WITH {CONTENT} SELECT content_id, sentiment_label, CASE WHEN sentiment_label = {_s(L[2])} THEN 0.125 ELSE sentiment_score END::DOUBLE AS sentiment_score FROM results",
         "dup_groups": "SELECT sha256(text) AS text_sha, count(*) AS cnt FROM documents GROUP BY text HAVING count(*) > 1",

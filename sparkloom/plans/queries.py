@@ -12,7 +12,7 @@ from ..columns import numbered
 from ..functions import scoring, text
 from ..operators import content, dialogue, graph, retrieval, topics, vectors
 from ..session import Scratch, cut_lineage
-from ..sources import sinks, tables
+from ..sources import listing, sinks, tables
 from ..sources.tables import table
 from ..streaming import ingest
 from . import flows
@@ -144,6 +144,13 @@ def topk_per_group(spark, d):
     return content.top_comments(tables.comments(spark, d), 5).select("id", "post_id", "body")
 
 
+def listing_top(spark, d):
+    """The best 25 posts of every source, from landed pages."""
+    with Scratch(spark) as scratch:
+        listing.land(tables.posts(spark, d).select("id", "subreddit", "title", F.col("score").cast("long").alias("score")), f"{scratch.folder}/pages")
+        return cut_lineage(listing.top(spark, f"{scratch.folder}/pages", 25))
+
+
 def new_rows_anti(spark, d):
     posts = tables.posts(spark, d).select("id", "subreddit")
     return sinks.new_rows(posts, tables.results(spark, d).withColumnRenamed("content_id", "id"), "id")
