@@ -26,11 +26,22 @@ def whole_order(df: DataFrame) -> list[Column]:
 
 
 def first_rows(df: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """One row per key: the first by ``order``, then by all columns; the same one however the rows are dealt."""
+    """One row per key: the first by ``order``, then by all columns; the same one however the rows are dealt.
+
+    Columns that have an order of their own are sent once, as rank and as value.
+    """
     rank = ([F.col(order)] if order else []) + whole_order(df)
-    best = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(rank)]))
-    kept = fresh("row", df)
-    return df.groupBy(*keys).agg(best.alias(kept)).select(*[F.col(f"{kept}.`{c}`").alias(c) for c in df.columns])
+    first, kept = len(rank) - len(df.columns), fresh("row", df)
+    plain = [isinstance(f.dataType, AtomicType) for f in df.schema]
+    ranked = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(rank)])
+    if all(plain):
+        best = F.min(ranked)
+        values = [F.col(f"{kept}.o{first + i}").alias(c) for i, c in enumerate(df.columns)]
+    else:
+        other = [F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(df.columns) if not plain[i]]
+        best = F.min_by(F.struct(ranked.alias("r"), *other), ranked)
+        values = [F.col(f"{kept}.r.o{first + i}" if plain[i] else f"{kept}.v{i}").alias(c) for i, c in enumerate(df.columns)]
+    return df.groupBy(*keys).agg(best.alias(kept)).select(*values)
 
 
 def counted(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..columns import MAX_BROADCAST_ROWS, counted, fresh
+from ..columns import MAX_BROADCAST_ROWS, counted, first_rows, fresh
 from ..functions import hooks
 from ..functions.scoring import GLOBAL_SIGNALS, LOCAL_SIGNALS, hits, long_words, mode, route, search_score, tokens
 from ..functions.text import acronym, concept_document, first_sentence, json_object, slug, strip, truncate_words
@@ -242,13 +242,34 @@ def comparison_context(a: Column, name_a: Column, b: Column, name_b: Column) ->
 
 
 def covered(names: DataFrame, files: DataFrame) -> DataFrame:
-    """(name, covered): whether the corpus has a file for a concept."""
+    """(name, covered): whether the corpus has a file for a concept: its safe name, an underscore, anything, ".txt".
+
+    So a file answers for every part of its name that ends before an underscore; these parts are
+    joined by equality. A null name isn't covered; repeated names give repeated rows.
+    """
     from ..functions.text import safe_name
 
-    have = files.select(F.regexp_extract("source_file", r"^(.*)_[^_]*\.txt$", 1).alias("safe")).distinct()
+    parts = F.split(F.regexp_extract("source_file", r"(?s)^(.*)\.txt$", 1), "_")
+    starts = F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i > 0), lambda i: F.array_join(F.slice(parts, 1, i), "_"))
+    have = files.select(F.explode(starts).alias("safe")).distinct()
     return names.withColumn("safe", safe_name(F.col("name"))).join(have.withColumn("covered", F.lit(True)), "safe", "left").select("name", F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
+def seeded(names: DataFrame, files: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(source_file, text): for each name that no corpus file covers a document made of its concept.
+
+    Names without a concept, and concepts without a definition, give none. Names that share a safe
+    name share a file, which the first of them by name gets, and of concepts with one name the first by all columns.
+    """
+    from ..functions.text import safe_name, seed_document
+
+    lost = covered(names, files).where(~F.col("covered")).select("name").distinct()
+    col = lambda c, kind: F.col(c) if c in concepts.columns else F.lit(None).cast(kind)
+    text = seed_document(F.col("name"), col("category", "string"), col("difficulty", "string"), col("definition", "string"), col("example_use_cases", "array<string>"), col("related_tools", "array<string>"), col("source_references", "array<string>"))
+    made = concepts.join(lost, "name", "left_semi").select("name", F.concat(safe_name(F.col("name")), F.lit("_seed.txt")).alias("source_file"), text.alias("text")).where("text IS NOT NULL")
+    return first_rows(made, ["source_file"], "name").select("source_file", "text")
+
+
 def vector_id(name: Column) -> Column:
     """The id under which a concept's vector is kept; names with one id overwrite each other."""
     return slug(name)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..columns import counted
 from ..functions import hooks
 from ..functions.scoring import MODE_TYPES
+from ..functions.text import token_estimate
 from ..operators import content, dialogue, graph, retrieval
 from ..session import cut_lineage
 from ..sources import sinks
@@ -134,3 +136,74 @@ def collected(posts: DataFrame, comments: DataFrame, known_posts: DataFrame, kno
     p = sinks.new_rows(posts, known_posts, "id")
     c = sinks.new_rows(content.top_comments(comments).drop("turn"), known_comments, "id")
     return p, c, content.table_counts({"posts": p, "comments": c})
+
+
+def _known(concepts: DataFrame, name: str) -> str | None:
+    """A concept's own name for one given in any case, null where there is none."""
+    row = graph.canonical(concepts, name).agg(F.min("name").alias("name")).first()
+    return row["name"]
+
+
+def _card(concepts: DataFrame) -> DataFrame:
+    return concepts.groupBy("name").agg(F.min(F.struct("definition", "category", "difficulty")).alias("card")).select("name", "card.*")
+
+
+def learning_path(concepts: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(place, name, definition, category, difficulty): the shortest way between two concepts, in any case.
+
+    Without rows if one of them isn't known; the two names alone if nothing connects them. Names on
+    the way that have no concept keep nulls.
+    """
+    a, b = _known(concepts, source), _known(concepts, target)
+    spark = concepts.sparkSession
+    way = graph.paths(edges, a, b) if a is not None and b is not None else spark.createDataFrame([], "place int, name string")
+    return way.join(_card(concepts), "name", "left").select("place", "name", "definition", "category", "difficulty")
+
+
+def study_plan(concepts: DataFrame, edges: DataFrame, target: str, known: str = "") -> DataFrame:
+    """(level, name, definition, category, difficulty): what to learn, in order of levels, up to a concept, in any case.
+
+    ``known`` lists, comma-separated, what is left out. Without rows if the target isn't known;
+    names without a concept are left out.
+    """
+    goal = _known(concepts, target)
+    spark = concepts.sparkSession
+    if goal is None:
+        levels = spark.createDataFrame([], "level int, name string")
+    else:
+        levels = graph.curriculum(edges, spark.createDataFrame([(goal,)], "name string"), [k.strip() for k in known.split(",") if k.strip()])
+    return graph.enriched(levels, _card(concepts)).select("level", "name", "definition", "category", "difficulty")
+
+
+def validated(examples: DataFrame, by: str = "character", answer: str = "assistant", whole: str = "whole", low: int = 30, limit: int = 2048, most: int = 5) -> DataFrame:
+    """(section, name, measure, value) of a training set: sizes of each class, answers that repeat, lengths of
+    whole examples, balance of the classes.
+
+    ``low`` is 1 for classes of fewer examples than that; ``duplicates`` has the number of texts that
+    repeat and, by digest, how often the ``most`` commonest do; ``too_long`` counts examples of more
+    than ``limit`` estimated tokens. A null class is a class, a null text counts as an example
+    without a length. An empty set has a row each for groups (0) and too_long (0) and nulls for the rest.
+    """
+    classes = dialogue.length_stats(examples, by, answer).withColumn("low", (F.col("cnt") < low).cast("int"))
+    repeats = dialogue.duplicate_groups(examples.where(F.col(answer).isNotNull()), answer)
+    top = repeats.orderBy(F.desc("cnt"), "text_sha").limit(most)
+    lengths = dialogue.sequence_stats(examples, token_estimate(F.col(whole)), limit)
+    balance = dialogue.class_balance(examples, by).select("most", "least", "ratio")
+    parts = [
+        _measures(classes, "class", F.col(by).cast("string")),
+        _measures(repeats.agg(F.count(F.lit(1)).alias("groups")), "duplicates", F.lit(None).cast("string")),
+        _measures(top, "duplicates", F.col("text_sha"), ["cnt"]),
+        _measures(lengths, "sequence", F.lit(None).cast("string")),
+        _measures(balance, "balance", F.lit(None).cast("string")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _measures(df: DataFrame, section: str, name: Column, columns: list[str] | None = None) -> DataFrame:
+    """The numeric columns of a report as rows."""
+    own = columns or [f.name for f in df.schema if isinstance(f.dataType, NumericType)]
+    entries = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in own])
+    return df.select(F.lit(section).alias("section"), name.alias("name"), F.inline(entries))

@@ -161,6 +161,37 @@ whole AS (SELECT st.key, concat_ws(chr(10), '[CONCEPT: ' || st.name || ']' || ch
 
 _MEMBERS = "members AS (SELECT s_nationkey AS community_id, 'S:' || s_suppkey AS name, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, 'S:' || s_suppkey)::INTEGER AS rn FROM supplier)"
 
+_SAFE = r"regexp_replace(regexp_replace(p_name, '[^\p{L}\p{N}_\-]', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+def _way(steps: str, most: int = 8) -> str:
+    """The shortest way on which each node is reached from its first parent by name."""
+    return f"""walk_{steps}(name, depth) AS (SELECT {_s(q.SOURCE)}, 0 UNION SELECT b, depth + 1 FROM walk_{steps} JOIN {steps} ON a = name WHERE depth < {most}),
+depth_{steps} AS (SELECT name, min(depth) AS depth FROM walk_{steps} GROUP BY name),
+tree_{steps}(name, way) AS (SELECT {_s(q.SOURCE)}, [{_s(q.SOURCE)}] UNION ALL SELECT b, list_append(arg_min(way, t.name), b) FROM tree_{steps} t JOIN {steps} ON a = t.name JOIN depth_{steps} p ON p.name = t.name JOIN depth_{steps} x ON x.name = b AND x.depth = p.depth + 1 WHERE x.depth <= (SELECT depth FROM depth_{steps} WHERE name = {_s(q.TARGET)}) GROUP BY b),
+best_{steps} AS (SELECT any_value(way) AS way FROM tree_{steps} WHERE name = {_s(q.TARGET)})"""
+
+
+def _report(examples: str) -> str:
+    """The validation report of ``e`` (character, assistant, whole)."""
+    sizes = "SELECT character, count(*) AS cnt, round(avg(length(assistant) // 4), 6) AS avg_tokens, min(length(assistant) // 4) AS min_tokens, max(length(assistant) // 4) AS max_tokens, round(avg(length(assistant)), 6) AS avg_chars, min(length(assistant)) AS min_chars, max(length(assistant)) AS max_chars, (count(*) < 30)::INTEGER AS low FROM e GROUP BY character"
+    lengths = "SELECT round(avg(t), 6) AS avg_tokens, min(t) AS min_tokens, max(t) AS max_tokens, median(t)::DOUBLE AS median_tokens, count(*) FILTER (t > 2048) AS too_long FROM (SELECT length(whole) // 4 AS t FROM e)"
+    balance = "SELECT max(n) AS most, min(n) AS least, round(max(n) / min(n)::DOUBLE, 6) AS ratio FROM (SELECT count(*) AS n FROM e GROUP BY character)"
+
+    def rows(table: str, section: str, name: str, columns: str) -> str:
+        return " UNION ALL ".join(f"SELECT '{section}' AS section, {name} AS name, '{c}' AS measure, {c}::DOUBLE AS value FROM {table}" for c in columns.split())
+
+    parts = [
+        rows("sizes", "class", "character", "cnt avg_tokens min_tokens max_tokens avg_chars min_chars max_chars low"),
+        rows("(SELECT count(*) AS groups FROM repeats)", "duplicates", "NULL", "groups"),
+        rows("(SELECT * FROM repeats ORDER BY cnt DESC, text_sha LIMIT 5)", "duplicates", "text_sha", "cnt"),
+        rows("lengths", "sequence", "NULL", "avg_tokens min_tokens max_tokens median_tokens too_long"),
+        rows("balance", "balance", "NULL", "most least ratio"),
+    ]
+    return f"{examples}, sizes AS ({sizes}), lengths AS ({lengths}), balance AS ({balance}), repeats AS (SELECT sha256(assistant) AS text_sha, count(*) AS cnt FROM e GROUP BY 1 HAVING count(*) > 1) " + " UNION ALL ".join(parts)
+
+_CHATS = f"WITH c AS (SELECT *, coalesce(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations) SELECT conv_id AS source, turn AS pos, 'You are ' || role || '. Answer briefly.' AS system, CASE WHEN context <> '' THEN 'The conversation so far:' || chr(10) || context || chr(10) || chr(10) || 'How do you respond?' ELSE {_template(KEY, 'a new proposal being discussed')} END AS \"user\", text AS assistant FROM c WHERE role IN ('assistant', 'user')"
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name; what only iterations or models can do has none."""
@@ -202,7 +233,7 @@ def oracle_sql() -> dict[str, str]:
         "chunk_stats": f"WITH {CHUNKS} SELECT source_file, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM chunks GROUP BY 1",
         "context_window": "SELECT conv_id AS source, turn AS pos, coalesce(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations",
         "conversation_history": "SELECT conv_id AS source, turn AS pos, sha256(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn)) AS history_sha FROM conversations",
-        "chat_examples": f"WITH c AS (SELECT *, coalesce(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations) SELECT conv_id AS source, turn AS pos, 'You are ' || role || '. Answer briefly.' AS system, CASE WHEN context <> '' THEN 'The conversation so far:' || chr(10) || context || chr(10) || chr(10) || 'How do you respond?' ELSE {_template(KEY, 'a new proposal being discussed')} END AS \"user\", text AS assistant FROM c WHERE role IN ('assistant', 'user')",
+        "chat_examples": _CHATS,
         "rendered_chats": f"SELECT '<|begin_of_text|><|start_header_id|>system<|end_header_id|>' || chr(10) || chr(10) || 'You are ' || role || '. Answer briefly.<|eot_id|><|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10) || {_template(KEY, 'a new business idea')} || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) || text || '<|eot_id|>' AS rendered, role AS who FROM conversations WHERE role IN ('assistant', 'user')",
         "split_train_val": "SELECT conv_id AS source, turn AS pos, CASE WHEN ('0x' || substr(md5('42|' || conv_id || ':' || turn), 1, 8))::BIGINT % 100 < 10 THEN 'val' ELSE 'train' END AS part FROM conversations",
         "sample_classes": "SELECT role AS character, conv_id AS source, turn AS pos, row_number() OVER (PARTITION BY role ORDER BY md5('42|' || conv_id || ':' || turn))::INTEGER AS rn FROM conversations QUALIFY rn <= 5",
@@ -264,4 +295,9 @@ SELECT name, CASE WHEN length(t) > 6000 THEN left(t, 6000) || chr(10) || '...[co
         "fetch_titles": "SELECT p_partkey, CASE WHEN contains(name, '/') OR (length(name) <= 2) OR name = 'goldenrod' THEN NULL WHEN name = 'ab' THEN 'about' ELSE name END AS title FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_name || '/x' WHEN p_partkey % 11 = 0 THEN 'ab' ELSE p_name END AS name FROM part)",
         "stream_upsert": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
         "stream_dedupe": "SELECT date_trunc('day', ts)::TIMESTAMP AS period, event_type, count(*) AS cnt FROM (SELECT DISTINCT ON (event_id) * FROM events ORDER BY ALL) GROUP BY 1, 2",
+        "stream_trend": "SELECT date_trunc('day', ts)::TIMESTAMP AS period, event_type, count(DISTINCT event_id) AS cnt FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2",
+        "learning_path": f"WITH RECURSIVE {EDGES}, {NODES}, {_CARDS}, pre AS (SELECT src AS a, dst AS b FROM edges WHERE {PREREQ} UNION SELECT dst, src FROM edges WHERE {PREREQ}), {_way('pre')}, every_ AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), {_way('every_')}, best AS (SELECT coalesce((SELECT way FROM best_pre), (SELECT way FROM best_every_), [{_s(q.SOURCE)}, {_s(q.TARGET)}]) AS way), steps AS (SELECT unnest(way) AS name, unnest(range(0, len(way)))::INTEGER AS place FROM best) SELECT place, name, definition, category FROM steps LEFT JOIN cards USING (name)",
+        "study_plan": f"WITH RECURSIVE {EDGES}, {NODES}, {_CARDS}, c(name) AS (SELECT 'P:1' UNION SELECT dst FROM c JOIN edges ON src = name WHERE {PREREQ}), n AS (SELECT DISTINCT src, dst FROM edges WHERE {PREREQ} AND src IN (SELECT name FROM c)), d(name, level) AS (SELECT name, 0 FROM c UNION SELECT n.src, d.level + 1 FROM d JOIN n ON n.dst = d.name), m AS (SELECT name, max(level) AS level FROM d GROUP BY 1) SELECT CASE WHEN name = 'P:1' THEN (SELECT max(level) + 1 FROM m) ELSE level END::INTEGER AS level, name, definition FROM m JOIN cards USING (name) WHERE lower(name) NOT IN ('r:region_0', lower({_s(q.SOURCE)}))",
+        "dataset_report": _report("WITH examples AS (" + _CHATS + r'''), e AS (SELECT regexp_extract(system, '^You are (.*?)\. ', 1) AS character, assistant, system || ' ' || "user" || ' ' || assistant AS whole FROM examples)'''),
+        "seeded_corpus": rf"WITH f AS (SELECT p_partkey, p_name AS name, {_SAFE} AS safe, p_brand, p_type FROM part), have AS (SELECT DISTINCT safe || '_wiki.txt' AS file FROM f WHERE p_partkey % 2 = 0), lost AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM have WHERE starts_with(file, safe || '_'))), made AS (SELECT name, safe || '_seed.txt' AS source_file, '# ' || name || chr(10) || chr(10) || 'Category: Model | Difficulty: intermediate' || chr(10) || chr(10) || 'Source: Seed knowledge base' || chr(10) || chr(10) || chr(10) || '## Definition' || chr(10) || chr(10) || name || ' by ' || p_brand || chr(10) || chr(10) || '## Example Use Cases' || chr(10) || chr(10) || '- ' || p_type AS text FROM lost) SELECT DISTINCT ON (source_file) source_file, text FROM made ORDER BY source_file, name, text",
     }

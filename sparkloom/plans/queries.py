@@ -606,6 +606,60 @@ def stream_upsert(spark, d):
         return cut_lineage(last.rows().select("user_id", "event_id", "event_type"))
 
 
+def _in_parts(given: DataFrame, parts: int = 3) -> list[DataFrame]:
+    """Events as they come in: by time, but every fifth of a part's last 12 hours a part too late, and every third event
+    a second time, a part later."""
+    ends = given.agg(F.min(ingest.as_instant("ts")).alias("a"), F.max(ingest.as_instant("ts")).alias("b")).select(F.unix_micros("a"), F.unix_micros("b")).first()
+    first, last = (x or 0 for x in ends)
+    at, width = F.unix_micros(ingest.as_instant("ts")) - F.lit(first), (last - first) // parts + 1
+    own = F.floor(at / width).cast("int")
+    tardy = (F.pmod("event_id", F.lit(5)) == 0) & (at % width >= width - 12 * 3_600_000_000)
+    placed = given.withColumn("part", F.when(tardy, F.least(own + 1, F.lit(parts - 1))).otherwise(own))
+    again = placed.where("event_id % 3 = 0").withColumn("part", F.col("part") + 1)
+    both = placed.unionByName(again)
+    return [both.where(F.col("part") == i).drop("part") for i in range(parts)]
+
+
+def stream_trend(spark, d):
+    """Events by day and type from a stream, some of them late and some twice: the days that are closed at its end.
+
+    Each part is landed and taken by a run of its own, which goes on where the one before it ended.
+    """
+    with Scratch(spark) as scratch:
+        given, target = table(spark, d, "events"), f"{scratch.folder}/trend"
+        made = "period timestamp, event_type string, cnt long"
+        for part in _in_parts(given):
+            part.write.mode("append").parquet(f"{scratch.folder}/landed")
+            ingest.closed_trend(ingest.stream(spark, f"{scratch.folder}/landed", given.schema, 1_000_000), "event_id", target, f"{scratch.folder}/checkpoint").awaitTermination()
+        rows = spark.read.schema(made).parquet(target)
+        return cut_lineage(rows.select(ingest.as_local("period").alias("period"), "event_type", "cnt"))
+
+
+def learning_path(spark, d):
+    """The way between two suppliers, with what is known of each step."""
+    return flows.learning_path(_all_concepts(spark, d), tables.concept_edges(spark, d), SOURCE.lower(), TARGET).select("place", "name", "definition", "category")
+
+
+def study_plan(spark, d):
+    """What to learn before a part, without the regions and a supplier, which are known."""
+    known = ", ".join(["r:region_0", SOURCE])
+    return flows.study_plan(_all_concepts(spark, d), tables.concept_edges(spark, d), "p:1", known).select("level", "name", "definition")
+
+
+def dataset_report(spark, d):
+    """The validation report of the chat examples."""
+    made = chat_examples(spark, d)
+    return flows.validated(made.select(text.character_of(F.col("system")).alias("character"), "assistant", F.concat_ws(" ", "system", "user", "assistant").alias("whole")))
+
+
+def seeded_corpus(spark, d):
+    """Documents for the parts that have no file in a corpus that covers every second part's name."""
+    part = table(spark, d, "part")
+    concepts = part.select(F.col("p_name").alias("name"), F.concat("p_name", F.lit(" by "), "p_brand").alias("definition"), F.lit("Model").alias("category"), F.lit("intermediate").alias("difficulty"), F.array("p_type").alias("example_use_cases"))
+    have = part.where("p_partkey % 2 = 0").select(F.concat(text.safe_name(F.col("p_name")), F.lit("_wiki.txt")).alias("source_file"))
+    return retrieval.seeded(part.select(F.col("p_name").alias("name")), have, concepts)
+
+
 _NOT_QUERIES = {"table"}
 
 

@@ -13,15 +13,22 @@ from ..functions.text import strip
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """Text and Markdown files as (source_file, text), text stripped, broken bytes replaced, sorted by name."""
+    """Text and Markdown files as (source_file, text), text stripped, broken bytes replaced; in no order,
+    which ``corpus_files`` gives without the contents."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,md}").load(folder)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), strip(F.expr("decode(content, 'UTF-8')")).alias("text")).orderBy("source_file")  # file names, so range partitions carry them
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), strip(F.expr("decode(content, 'UTF-8')")).alias("text"))
+
+
+def corpus_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(source_file, length) sorted by name; the files' contents aren't read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,md}").load(folder)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), "length").orderBy("source_file")
 
 
 def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
-    """Number of files, bytes and names; the files' contents aren't read."""
+    """Number of files and bytes; the files' contents aren't read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,md}").load(folder)
-    return found.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.array_sort(F.collect_list(F.element_at(F.split("path", "/"), -1))).alias("names"))
+    return found.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -9,9 +9,10 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import TimestampNTZType
 
 from ..columns import first_rows, fresh
 from ..sources.sinks import new_rows, upsert
@@ -35,6 +36,40 @@ def daily_trend(rows: DataFrame, time: str = "ts", label: str = "event_type") ->
     return rows.groupBy(F.window(time, "1 day"), label).agg(F.count(F.lit(1)).alias("cnt")).select(F.col("window.start").alias("period"), label, "cnt")
 
 
+#: What ``as_instant`` and ``as_local`` count from.
+_INSTANT, _LOCAL = "timestamp'1970-01-01T00:00:00Z'", "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+def as_instant(column: str) -> Column:
+    """A time without zone as the instant at which UTC clocks show it, whatever the session's zone."""
+    return F.expr(f"{_INSTANT} + (`{column}` - {_LOCAL})")
+
+
+def as_local(column: str) -> Column:
+    """What UTC clocks show at an instant; undoes ``as_instant``."""
+    return F.expr(f"{_LOCAL} + (`{column}` - {_INSTANT})")
+
+
+def closed_trend(rows: DataFrame, key: str, target: str, checkpoint: str, time: str = "ts", label: str = "event_type", late: str = "1 day") -> StreamingQuery:
+    """Append (period, label, cnt) to ``target`` for every day that is closed: the watermark, ``late`` behind the
+    newest time seen, has passed it. Rows with one key count once.
+
+    State is bounded by the watermark: keys are held for ``late`` beyond their row's time, counts for the days that
+    are still open. A row that comes in behind the watermark, a repeat or not, is dropped. What is out
+    of order within one batch is never late: the watermark moves between batches. A run goes on from
+    its checkpoint, and the file sink's log writes each batch once.
+
+    Rows without a time belong to no day; rows without a key are told apart by all their columns;
+    a label that is null is a label; without rows nothing is appended.
+    """
+    if isinstance(rows.schema[time].dataType, TimestampNTZType):
+        rows = rows.withColumn(time, as_instant(time))
+    other = fresh("other", rows)
+    marked = rows.where(F.col(time).isNotNull()).withColumn(other, F.when(F.col(key).isNull(), F.sha2(F.to_json(F.struct(*rows.columns)), 256)))
+    once = marked.withWatermark(time, late).dropDuplicatesWithinWatermark([key, other])
+    return daily_trend(once, time, label).writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def append_unseen(rows: DataFrame, key: str, target: str, checkpoint: str) -> StreamingQuery:
     """Append the rows whose key the target doesn't have yet, batch by batch."""
 
