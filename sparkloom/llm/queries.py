@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import chat, langid, lloyd, media, mixing, pieces, quality, repeats, runs, secrets, shards, simhash, urls
+from . import chat, groups, langid, lloyd, media, mixing, pieces, quality, repeats, runs, secrets, shards, simhash, urls
 from .common import WORD
 
 
@@ -78,8 +78,13 @@ def op13_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digest(shards.sharded(_read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def repeat_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal repeats of 50 bytes or more over all documents, each by its first occurrence."""
+    return groups.first_occurrences(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"repeat_groups": repeat_groups}
 
 
 _OP3_SQL = r"""

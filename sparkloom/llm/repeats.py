@@ -620,24 +620,3 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, keep_text: bool = True)
     spans = plan.fragments(True).mapInArrow(lambda it: _find(it, nd, least), ROW)
     last = "kept binary" if keep_text else "kept_sha256 string"
     return _dealt(plan.texts().unionByName(spans)).mapInArrow(lambda it: _strip(it, keep_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
-
-
-def repeat_groups(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """Maximal repeats with all their occurrences: part, group, length, doc_id, start (bytes).
-
-    A repeat is maximal within the fragments of its anchor; a longer passage comes out
-    as overlapping groups, one per anchor on it.
-    """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, blobs in _by_part(batches):
-            sent = [unpack(blob) for kind, blob in blobs if not kind]
-            if not sent:
-                continue
-            bucket = _Bucket(sent)
-            bucket.sort(np.ones(len(bucket.anchor), bool), least)
-            for at, inside, which, _ in _in_blocks(bucket.first, bucket.last):
-                doc, none = bucket.doc[bucket.source[inside]], (bucket.tag[bucket.source[inside]] & 1).astype(bool)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(inside), part, np.int32)), pa.array(at + which), pa.array(bucket.length[at + which]), pa.array(doc, pa.int64(), mask=none), pa.array(bucket.begin[inside])], ["part", "group", "length", "doc_id", "start"])
-
-    return _Plan(docs, least).fragments(False).mapInArrow(run, "part int, group long, length long, doc_id long, start long")

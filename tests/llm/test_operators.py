@@ -259,14 +259,6 @@ def test_interval_tree_finds_all_maximal_repeats():
         assert got == want
 
 
-def test_repeat_groups_hold_all_occurrences(spark):
-    passage = "the quick brown fox jumps over the lazy dog and runs far away from here"
-    rows = [(i, f"{i}{'xyz'[i % 3] * 3}{passage}{'uvw'[i % 3]}{i}") for i in range(6)]
-    groups = repeats.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string"))
-    best = groups.groupBy("part", "group").agg(F.max("length").alias("n"), F.count(F.lit(1)).alias("all")).where("all = 6").agg(F.max("n")).first()[0]
-    assert best >= 50
-
-
 # Quality
 
 
