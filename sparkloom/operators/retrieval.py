@@ -17,7 +17,7 @@ from ..functions import hooks
 from ..functions.scoring import GLOBAL_SIGNALS, LOCAL_SIGNALS, hits, long_words, mode, route, search_score, tokens
 from ..functions.text import acronym, concept_document, first_sentence, json_object, slug, strip, truncate_words
 from ..session import cut_lineage
-from . import matching
+from . import cosines, matching
 
 def against(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """All rows with each query of a stated query set; a set beyond the bound goes in blocks."""
@@ -205,10 +205,20 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3, exclude: list[int] | None = None) -> DataFrame:
     """The k nearest rows of each query vector by cosine; excluded rows go after the choice of k.
 
-    ``vectors`` has vec_id and embedding, ``queries`` q_id and q. Each task keeps the k
-    best of its rows before any row is sent (a row limit inside the window).
+    ``vectors`` has vec_id and embedding, ``queries`` q_id and q. Vectors of the dimension of
+    most queries go through matrix products (``cosines``); pairs with any other vector, or a row
+    without an id, are scored one by one.
     """
-    scored = against(vectors.select("vec_id", "embedding"), queries.select("q_id", "q")).select("q_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 5).alias("similarity"))
+    rows, asked = vectors.select("vec_id", "embedding"), queries.select("q_id", "q")
+    sizes = asked.groupBy(F.size("q").alias("n")).agg(F.count(F.lit(1)).alias("cnt")).where("n > 0").orderBy(F.desc("cnt"), "n").first()
+    dim = sizes["n"] if sizes else 0
+    plain = cosines.regular("embedding", dim) & F.col("vec_id").isNotNull()
+    even = cosines.regular("q", dim) & F.col("q_id").isNotNull()
+    found = cosines.nearest(rows.where(plain), "embedding", "vec_id", asked.where(even), "q", k).select("q_id", "vec_id", F.col("cosine").alias("similarity"))
+    odd = against(rows.where(~plain), asked.where(even))
+    if not asked.where(~even).isEmpty():
+        odd = odd.unionByName(against(rows, asked.where(~even)))
+    scored = found.unionByName(odd.select("q_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("similarity"))).withColumn("similarity", F.round("similarity", 5))
     top = scored.withColumn("rn", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("similarity"), "vec_id"))).where(F.col("rn") <= k)
     return top.where(~F.col("vec_id").isin(exclude)) if exclude else top
 
