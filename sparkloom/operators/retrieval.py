@@ -6,8 +6,11 @@ questions as the small side: their number is checked before they are broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,8 +230,34 @@ def embed(rows: DataFrame, text: str, size: int = 64, model: Callable[[list[str]
     """``embedding`` of a text: by a model hook in Arrow batches, else feature hashing of its words."""
     if model is not None:
         return rows.withColumn("embedding", hooks.on_texts(model)(F.col(text)))
-    slots = F.transform(F.filter(tokens(F.lower(F.col(text))), lambda w: w != ""), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % size).cast("int"))
-    return rows.withColumn("embedding", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float")))
+    return rows.withColumn("embedding", _hashed(size)(tokens(F.lower(F.col(text)))))
+
+
+#: Words whose slot a task remembers.
+SLOTS = 100_000
+
+
+def _hashed(size: int):  # type: ignore[no-untyped-def]
+    """A column function: how many of the words (distinct ones, empty ones apart) fall into each slot, by the MD5 of a word."""
+
+    @F.pandas_udf("array<float>")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {"": size}
+        for batch in batches:
+            made = []
+            for words in batch:
+                if words is None:
+                    made.append([None] * size)
+                    continue
+                if len(known) > SLOTS:
+                    known = {"": size}
+                for w in words:
+                    if w not in known:
+                        known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % size
+                made.append(np.bincount([known[w] for w in words], minlength=size + 1)[:size].astype(np.float32))
+            yield pd.Series(made, index=batch.index, dtype=object)
+
+    return count
 
 
 def context_texts(concepts: DataFrame, edges: DataFrame, most: int = 6000) -> DataFrame:
@@ -287,17 +316,25 @@ def vector_id(name: Column) -> Column:
 
 def index_rows(concepts: DataFrame, model: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
     """(id, name, category, difficulty, document, embedding) of concepts, as the vector index keeps them."""
+    return embed(_index_texts(concepts), "document", model=model)
+
+
+def _index_texts(concepts: DataFrame) -> DataFrame:
     document = concept_document(F.col("name"), F.col("definition"), F.col("category"), F.col("difficulty"), F.col("example_use_cases"))
-    rows = concepts.select(vector_id(F.col("name")).alias("id"), "name", "category", "difficulty", document.alias("document"))
-    return embed(rows, "document", model=model)
+    return concepts.select(vector_id(F.col("name")).alias("id"), "name", "category", "difficulty", document.alias("document"))
 
 
 def indexed(index: DataFrame | None, concepts: DataFrame, model: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
-    """The index after an upsert of ``concepts`` by id; of incoming names with one id the last by all columns counts."""
+    """The index after an upsert of ``concepts`` by id; of incoming names with one id the last by all columns counts.
+
+    A document decides its vector, so a new index is embedded when it has one row per id; no vector is sent.
+    """
     from ..sources.sinks import upsert
 
-    new = index_rows(concepts, model)
-    return upsert(new.limit(0) if index is None else index, new, ["id"])
+    if index is None:
+        new = _index_texts(concepts)
+        return embed(upsert(new.limit(0), new, ["id"]), "document", model=model)
+    return upsert(index, index_rows(concepts, model), ["id"])
 
 
 def vector_hits(questions: DataFrame, index: DataFrame, k: int = 3, model: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
