@@ -24,6 +24,8 @@ from ..columns import MAX_BROADCAST_ROWS
 
 #: Rows and queries of one product: its cosines take 16 MB.
 ROWS, QUERIES = 2048, 1024
+#: Rows that wait for the next choice of the best.
+PENDING = 100_000
 #: Products and sums in another order differ by far less, rounding to five places by up to half of the rest.
 _MARGIN = 2e-5
 
@@ -52,55 +54,70 @@ def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _matrix(column: Iterable) -> np.ndarray:
+def matrix(column: Iterable) -> np.ndarray:
     return np.array([np.asarray(x, np.float64) for x in column], np.float64)
 
 
-class _Best:
-    """The k best rows of each query so far: their cosines, keys and other columns."""
+class Best:
+    """The k best rows of each query so far: their cosines, keys and other columns.
+
+    What may be among them is gathered until there is ``PENDING`` of it, then the best are kept.
+    """
 
     def __init__(self, q: np.ndarray, k: int):
         self.q, self.k = q, k
         self.length = np.sqrt(in_order(q, q))
+        self.direction = q / self.length[:, None]
         self.least = np.full(len(q), -np.inf)
-        self.held: pd.DataFrame | None = None
+        self.held: list[pd.DataFrame] = []
+        self.waiting, self.key = 0, ""
 
-    def take(self, v: np.ndarray, key: str, rows: pd.DataFrame) -> None:
-        """Another slice of rows, in the order of their key."""
+    def take(self, v: np.ndarray, key: str, rows: pd.DataFrame, who: np.ndarray | None = None) -> None:
+        """Another slice of rows, in the order of their key, for all queries or those of some numbers."""
         _, first, same = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
         if len(first) < len(v):
             place = pd.Series(same.ravel()).groupby(same.ravel()).cumcount().to_numpy()
             v, rows = v[place < self.k], rows[place < self.k]
         length = np.sqrt(in_order(v, v))
-        near = (v / length[:, None]) @ (self.q / self.length[:, None]).T
-        edge = self.least
-        if len(v) >= self.k:
-            edge = np.maximum(edge, np.partition(near, len(v) - self.k, axis=0)[len(v) - self.k]) if np.isinf(edge).any() else edge
-        at, who = np.nonzero(near >= edge[None, :] - _MARGIN)
+        near = (v / length[:, None]) @ (self.direction if who is None else self.direction[who]).T
+        edge = self.least if who is None else self.least[who]
+        if len(v) > self.k and np.isinf(edge).any():
+            edge = np.maximum(edge, np.partition(near, len(v) - self.k, axis=0)[len(v) - self.k])
+        at, hit = np.nonzero(near >= edge[None, :] - _MARGIN)
         if not len(at):
             return
-        cosine = in_order(v[at], self.q[who]) / (length[at] * self.length[who])
-        new = rows.iloc[at].reset_index(drop=True).assign(query=who, cosine=cosine, unit=rounded(cosine))
-        both = new if self.held is None else pd.concat([self.held, new], ignore_index=True)
-        both = both.sort_values(["query", "unit", key], ascending=[True, False, True], kind="stable", ignore_index=True)
-        self.held = both[both.groupby("query").cumcount() < self.k]
-        full = self.held[self.held.groupby("query").cumcount() == self.k - 1]
-        self.least[full["query"].to_numpy()] = full["unit"].to_numpy() / 1e5
+        hit = hit if who is None else who[hit]
+        cosine = in_order(v[at], self.q[hit]) / (length[at] * self.length[hit])
+        self.held.append(rows.iloc[at].reset_index(drop=True).assign(query=hit, cosine=cosine, unit=rounded(cosine)))
+        self.waiting, self.key = self.waiting + len(at), key
+        if self.waiting > PENDING or np.isinf(self.least).all():
+            self.best()
+
+    def best(self) -> pd.DataFrame | None:
+        """The k best of each query, by rounded cosine, then by key."""
+        if not self.held:
+            return None
+        both = pd.concat(self.held, ignore_index=True).sort_values(["query", "unit", self.key], ascending=[True, False, True], kind="stable", ignore_index=True)
+        place = both.groupby("query").cumcount()
+        last = both[place == self.k - 1]
+        self.least[last["query"].to_numpy()] = last["unit"].to_numpy() / 1e5
+        self.held, self.waiting = [both[place < self.k]], 0
+        return self.held[0]
 
 
 def _best(q: np.ndarray, asked: pd.DataFrame, vector: str, key: str, k: int):  # type: ignore[no-untyped-def]
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [(at, _Best(q[at : at + QUERIES], k)) for at in range(0, len(q), QUERIES)]
+        parts = [(at, Best(q[at : at + QUERIES], k)) for at in range(0, len(q), QUERIES)]
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 rows = batch.iloc[at : at + ROWS].sort_values(key)
-                v = _matrix(rows[vector])
+                v = matrix(rows[vector])
                 for _, part in parts:
                     part.take(v, key, rows.drop(columns=vector))
         for at, part in parts:
-            if part.held is not None:
-                told = asked.iloc[at + part.held["query"].to_numpy()].reset_index(drop=True)
-                yield pd.concat([told, part.held.drop(columns=["query", "unit"]).reset_index(drop=True)], axis=1)
+            if (held := part.best()) is not None:
+                told = asked.iloc[at + held["query"].to_numpy()].reset_index(drop=True)
+                yield pd.concat([told, held.drop(columns=["query", "unit"]).reset_index(drop=True)], axis=1)
 
     return run
 
@@ -117,7 +134,7 @@ def nearest(rows: DataFrame, vector: str, key: str, queries: DataFrame, asked: s
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)) == b)
         own = part.toPandas()  # a block of queries
         if len(own):
-            found = rows.mapInPandas(_best(_matrix(own[asked]), own.drop(columns=asked), vector, key, k), schema)
+            found = rows.mapInPandas(_best(matrix(own[asked]), own.drop(columns=asked), vector, key, k), schema)
             out = found if out is None else out.unionByName(found)
     if out is None:
         return rows.drop(vector).join(queries.drop(asked)).select(*[f.name for f in fields], F.lit(0.0).alias("cosine")).limit(0)

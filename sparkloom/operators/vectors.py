@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import MAX_BROADCAST_ROWS
+from . import cosines
 
 #: Vectors that the centres are fitted on.
 SAMPLE = 10_000
@@ -43,6 +44,11 @@ def _directions(column: Iterable) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1))[:, None]
 
 
+def _nearest(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The number of each direction's nearest centre, a slice at a time."""
+    return np.concatenate([(v[at : at + cosines.QUERIES] @ centres.T).argmax(1).astype(np.int32) for at in range(0, len(v), cosines.QUERIES)])
+
+
 def _usable(vectors: DataFrame) -> DataFrame:
     x = F.col("embedding")
     size = F.aggregate(x, F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
@@ -60,7 +66,7 @@ def fit(vectors: DataFrame, lists: int = 0, rounds: int = 10) -> np.ndarray:
     k = min(len(v), lists or max(1, min(4096, int(own.count() ** 0.5))))
     centres = v[:k].copy()
     for _ in range(rounds):
-        near = (v @ centres.T).argmax(1)
+        near = _nearest(v, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, v)
         norm = np.sqrt((sums * sums).sum(1))
@@ -76,7 +82,7 @@ def build(vectors: DataFrame, lists: int = 0) -> Index:
         return Index(vectors.select("vec_id", "embedding", F.lit(0).alias("list")).limit(0), centres)
 
     def nearest_list(column: pd.Series) -> pd.Series:
-        return pd.Series((_directions(column) @ centres.T).argmax(1).astype(np.int32), index=column.index) if len(column) else pd.Series([], dtype="int32")
+        return pd.Series(_nearest(_directions(column), centres), index=column.index) if len(column) else pd.Series([], dtype="int32")
 
     own = _usable(vectors).where(F.size("embedding") == centres.shape[1])
     return Index(own.withColumn("list", F.pandas_udf(nearest_list, "int")("embedding")), centres)  # type: ignore[call-overload]
@@ -100,11 +106,8 @@ def search(index: Index, queries: DataFrame, k: int = 3, probes: int = 0) -> Dat
         own = part.toPandas()  # a block of queries
         if not len(own):
             continue
-        q = _directions(own["q"])
         most = min(len(index.centres), probes or max(8, len(index.centres) // 2))
-        looks = np.argsort(-(q @ index.centres.T), axis=1, kind="stable")[:, :most]
-        by_list: dict[int, np.ndarray] = {int(c): np.flatnonzero((looks == c).any(1)) for c in np.unique(looks)}
-        best = index.rows.where(F.col("list").isin(list(by_list))).mapInPandas(_scan(own["q_id"].to_numpy(), q, by_list, k), schema)
+        best = index.rows.select("vec_id", "embedding", "list").mapInPandas(_scan(own["q_id"].to_numpy(), cosines.matrix(own["q"]), index.centres, most, k), schema)
         found = best if found is None else found.unionByName(best)
     if found is None:
         return asked.select(F.col("q_id").cast("long"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rn")).limit(0)
@@ -112,23 +115,32 @@ def search(index: Index, queries: DataFrame, k: int = 3, probes: int = 0) -> Dat
     return found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
 
 
-def _scan(ids: np.ndarray, q: np.ndarray, by_list: dict[int, np.ndarray], k: int):  # type: ignore[no-untyped-def]
-    """What keeps, of each batch of vectors, the k best for each query that looks into their list."""
+def _scan(ids: np.ndarray, q: np.ndarray, centres: np.ndarray, most: int, k: int):  # type: ignore[no-untyped-def]
+    """What keeps, of a task's vectors, the k best for each query that looks into their list.
+
+    A task holds which lists each query looks into (a byte each), the k best per query, and
+    one product of bounded size.
+    """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        looks = np.zeros((len(centres), len(q)), bool)
+        for at in range(0, len(q), cosines.QUERIES):
+            own = q[at : at + cosines.QUERIES]
+            near = np.argsort(-(own / np.sqrt((own * own).sum(1))[:, None] @ centres.T), axis=1, kind="stable")[:, :most]
+            looks[near, np.arange(at, at + len(own))[:, None]] = True
+        parts = [(at, cosines.Best(q[at : at + cosines.QUERIES], k)) for at in range(0, len(q), cosines.QUERIES)]
         for batch in batches:
-            rows = []
-            for number, part in batch.groupby("list"):
-                who = by_list.get(int(number), [])
-                if not len(who):
-                    continue
-                near = np.round(q[who] @ _directions(part["embedding"]).T, 5)
-                vec = part["vec_id"].to_numpy()
-                for i, line in zip(who, near, strict=True):
-                    # Ties at the edge go by vec_id, so sort by both.
-                    top = np.lexsort((vec, -line))[:k]
-                    rows.append(pd.DataFrame({"q_id": ids[i], "vec_id": vec[top], "similarity": line[top]}))
-            yield pd.concat(rows) if rows else pd.DataFrame({"q_id": [], "vec_id": [], "similarity": []}).astype({"q_id": "int64", "vec_id": "int64"})
+            for number, rows in batch.groupby("list"):
+                for start in range(0, len(rows), cosines.ROWS):
+                    some = rows.iloc[start : start + cosines.ROWS].sort_values("vec_id")
+                    v = cosines.matrix(some["embedding"])
+                    for at, part in parts:
+                        who = np.flatnonzero(looks[int(number), at : at + cosines.QUERIES])
+                        if len(who):
+                            part.take(v, "vec_id", some[["vec_id"]], who)
+        for at, part in parts:
+            if (held := part.best()) is not None:
+                yield pd.DataFrame({"q_id": ids[at + held["query"].to_numpy()], "vec_id": held["vec_id"].to_numpy(), "similarity": held["unit"].to_numpy() / 1e5})
 
     return run
 
