@@ -260,17 +260,26 @@ def _hashed(size: int):  # type: ignore[no-untyped-def]
     return count
 
 
+#: Lines that one task sorts for ``context_texts``.
+TASK_LINES = 250_000
+
+
 def context_texts(concepts: DataFrame, edges: DataFrame, most: int = 6000) -> DataFrame:
     """Each concept's card with its direct relationships, by priority, as one text."""
     priority = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in schemas.RELATIONSHIP_PRIORITY]), F.col("rel")).cast("int"), F.lit(0))
     rank = F.when(priority == 0, 99).otherwise(priority - 1)
+    edges = cut_lineage(edges.select("src", "rel", "dst"))
+    # As many partitions as the lines ask for, so that a task sorts no more of them in a larger graph.
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * edges.count() // TASK_LINES))
     out = edges.select(F.col("src").alias("name"), "rel", F.lit("→").alias("arrow"), F.col("dst").alias("other"))
     back = edges.where("src <> dst").select(F.col("dst").alias("name"), "rel", F.lit("←").alias("arrow"), F.col("src").alias("other"))
     known = concepts.select(F.col("name").alias("other"), first_sentence(F.col("definition")).alias("preview"))
-    lines = out.unionByName(back).join(known, "other", "left").select("name", F.struct(rank.alias("rank"), "other", "arrow", "rel", F.concat(F.lit("  - "), "rel", F.lit(" "), "arrow", F.lit(" "), "other", F.coalesce(F.concat(F.lit(": "), "preview"), F.lit(""))).alias("line")).alias("l"))
-    # A card shows no more than ``most`` characters, so no more lines than that are gathered.
-    first = lines.withColumn("rn", F.row_number().over(Window.partitionBy("name").orderBy("l"))).where(F.col("rn") <= most // 8)
-    listed = first.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda l: l["line"]), "\n").alias("relations"))  # noqa: E741
+    # Ends without a card show no lines. A card shows no more than ``most`` characters, so no more lines
+    # than that are given their preview and gathered.
+    own = out.unionByName(back).repartition(parts, "name").join(concepts.select("name"), "name", "left_semi").withColumn("rank", rank)
+    first = own.withColumn("rn", F.row_number().over(Window.partitionBy("name").orderBy("rank", "other", "arrow", "rel"))).where(F.col("rn") <= most // 8)
+    lines = first.repartition(parts, "other").join(known, "other", "left").select("name", F.struct("rn", F.concat(F.lit("  - "), "rel", F.lit(" "), "arrow", F.lit(" "), "other", F.coalesce(F.concat(F.lit(": "), "preview"), F.lit(""))).alias("line")).alias("l"))
+    listed = lines.repartition(parts, "name").groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda l: l["line"]), "\n").alias("relations"))  # noqa: E741
     head = F.concat(F.lit("[CONCEPT: "), "name", F.lit("]\nDefinition: "), "definition", F.lit("\nCategory: "), "category", F.lit(" | Difficulty: "), "difficulty", F.lit("\n"))
     text = F.concat(head, F.coalesce(F.concat(F.lit("\n[DIRECT RELATIONSHIPS]\n"), "relations", F.lit("\n")), F.lit("")))
     return concepts.join(listed, "name", "left").select("name", F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("\n...[context truncated]"))).otherwise(text).alias("context"))
