@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, HashingTF, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer
+from pyspark.ml.feature import CountVectorizerModel, HashingTF, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,31 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..columns import fresh
 from ..functions.text import clean_text
+from ..session import cut_lineage
+
+class Vocabulary(Estimator):
+    """Fits Spark's ``CountVectorizerModel``: the commonest terms (ties: by term) that at least ``min_df`` rows have, and at
+    most a share ``max_df`` of the rows.
+
+    Counted as a grouping of the rows' terms, summed before they are sent and dealt over the
+    session's shuffle partitions; ``CountVectorizer`` deals them over as many parts as the input has.
+    """
+
+    def __init__(self, terms: str, counts: str, size: int, min_df: float, max_df: float):
+        super().__init__()
+        self.terms, self.counts, self.most, self.min_df, self.max_df = terms, counts, size, min_df, max_df
+
+    def _fit(self, dataset: DataFrame) -> CountVectorizerModel:
+        n = dataset.count()
+        share = lambda x: x if x >= 1 else x * n
+        # Each term of a row adds to its count, each distinct one to its number of rows.
+        every = F.transform(self.terms, lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df")))
+        once = F.transform(F.array_distinct(self.terms), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("df")))
+        counted = dataset.select(F.inline(F.concat(every, once))).groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+        kept = counted.where((F.col("df") >= share(self.min_df)) & (F.col("df") <= share(self.max_df)))
+        words = [r["term"] for r in kept.orderBy(F.desc("n"), "term").limit(self.most).collect()]  # the vocabulary
+        return CountVectorizerModel.from_vocabulary(words, inputCol=self.terms, outputCol=self.counts)
+
 
 def topic_pipeline(topics: int = 8, max_iter: int = 20, vocabulary: int = 3000, min_df: float = 5.0, seed: int = 42) -> Pipeline:
     """Tokens of two letters or more without stop words, with their pairs, to counts to topics.
@@ -29,14 +54,18 @@ def topic_pipeline(topics: int = 8, max_iter: int = 20, vocabulary: int = 3000,
             StopWordsRemover(inputCol="tokens", outputCol="kept", stopWords=stop),
             NGram(n=2, inputCol="kept", outputCol="pairs"),
             SQLTransformer(statement="SELECT *, concat(kept, pairs) AS terms FROM __THIS__"),
-            CountVectorizer(inputCol="terms", outputCol="features", vocabSize=vocabulary, minDF=min_df, maxDF=0.9),
+            Vocabulary("terms", "features", vocabulary, min_df, 0.9),
             LDA(k=topics, optimizer="online", maxIter=max_iter, subsamplingRate=1.0, seed=seed),
         ]
     )
 
 
 def fit_topics(rows: DataFrame, text: str, **settings) -> PipelineModel:
-    return topic_pipeline(**settings).fit(rows.withColumn("clean", clean_text(F.coalesce(F.col(text), F.lit("")))))
+    """The fitted pipeline; the rows' counts are written, so that iterations don't cut the texts again."""
+    *before, last = topic_pipeline(**settings).getStages()
+    clean = rows.select(clean_text(F.coalesce(F.col(text), F.lit(""))).alias("clean"))
+    counts = Pipeline(stages=before).fit(clean)
+    return PipelineModel([*counts.stages, last.fit(cut_lineage(counts.transform(clean).select("features")))])
 
 
 def keywords(model: PipelineModel, n: int = 10) -> DataFrame:
