@@ -350,8 +350,18 @@ def vector_hits(questions: DataFrame, index: DataFrame, k: int = 3, model: Calla
     """(qid, name, document, similarity, rn): the k documents nearest to each question; the question's own
     concept (``name``, may be null) goes after the choice of k."""
     asked = embed(questions.select("qid", F.col("name").alias("own"), "question"), "question", model=model)
-    scored = against(index.select("id", F.col("name"), "document", F.col("embedding").alias("v")), asked.select("qid", "own", F.col("embedding").alias("q")))
-    near = scored.select("qid", "own", "id", "name", "document", F.round(F.coalesce(F.try_divide(_dot("v", "q"), F.sqrt(_dot("v", "v")) * F.sqrt(_dot("q", "q"))), F.lit(0.0)), 5).alias("similarity"))
+    rows, told = index.select("id", "name", "document", F.col("embedding").alias("v")), asked.select("qid", "own", F.col("embedding").alias("q"))
+    told = cut_lineage(told)
+    sizes = told.groupBy(F.size("q").alias("n")).agg(F.count(F.lit(1)).alias("cnt")).where("n > 0").orderBy(F.desc("cnt"), "n").first()
+    dim = sizes["n"] if sizes else 0
+    plain = cosines.regular("v", dim) & F.col("id").isNotNull()
+    even = cosines.regular("q", dim)
+    found = cosines.nearest(rows.where(plain), "v", "id", told.where(even), "q", k).select("qid", "own", "id", "name", "document", F.col("cosine").alias("similarity"))
+    odd = against(rows.where(~plain), told.where(even))
+    if not told.where(~even).isEmpty():
+        odd = odd.unionByName(against(rows, told.where(~even)))
+    each = odd.select("qid", "own", "id", "name", "document", F.coalesce(F.try_divide(_dot("v", "q"), F.sqrt(_dot("v", "v")) * F.sqrt(_dot("q", "q"))), F.lit(0.0)).alias("similarity"))
+    near = found.unionByName(each).withColumn("similarity", F.round("similarity", 5))
     top = near.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), "id"))).where(F.col("rn") <= k)
     return top.where(F.col("own").isNull() | (F.col("name") != F.col("own"))).select("qid", "name", "document", "similarity", "rn")
 
