@@ -1,8 +1,10 @@
 """Near-duplicates by overlap: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts with equal sets count once. MinHash bands find candidates: ``BANDS`` keys of
-``ROWS`` least hashes each, so a pair of similarity 0.8 shares no key once in 190 000.
-A task answers its own equal keys first and sends one row per key, so a large group
+Texts with equal sets count once. Candidates come from SimHash by anchor-point covering
+(``simhash.links``): what is connected by fingerprints that differ in at most ``MAX_BITS``
+bits shares a key. Texts of that similarity may lie further apart, so MinHash bands give
+``BANDS`` more keys, of ``ROWS`` least hashes each: a pair of similarity 0.8 shares none of
+them once in 190 000. An exact check follows. A task answers its own equal keys first and sends one row per key, so a large group
 stays small on the way. Candidates' components are the units of the exact check: the
 sets of one meet in a task, are compared where they share a key and aren't yet linked,
 and fall into the components of the similarity itself.
@@ -80,15 +82,23 @@ def _bands(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from . import simhash
+
     for part in slices(batches, "text"):
         sets = [shingles(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
         full = [i for i, s in enumerate(sets) if len(s)]
         bands: list[bytes] = [b""] * len(sets)
         for i, keys in zip(full, _bands([sets[i] for i in full]) if full else (), strict=True):
             bands[i] = keys.tobytes()
+        fps = simhash._fingerprints([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], simhash.SHINGLE, simhash.SEED).view(np.int64)
         alike = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         size = pa.array(byte_lengths(part.column("text")))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(alike, pa.binary()), pa.array(bands, pa.binary()), size], ["doc_id", "alike", "bands", "size"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(alike, pa.binary()), pa.array(bands, pa.binary()), size, pa.array(fps)], ["doc_id", "alike", "bands", "size", "fp"])
+
+
+def _keys_of(batch: pa.RecordBatch) -> np.ndarray:
+    """How many keys each row's ``bands`` hold."""
+    return byte_lengths(batch.column("bands")) // 8
 
 
 def _spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +106,7 @@ def _spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), BANDS)
+        node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), _keys_of(batch))
         band = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
         order = np.lexsort((node, band))
         band, own = band[order], node[order]
@@ -138,10 +148,10 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return both * bottom >= (small + large - both) * top
 
 
-def linked(nodes: list[int], sets: list[np.ndarray], known: list[int] | None = None) -> list[int]:
+def linked(nodes: list[int], sets: list[np.ndarray], known: list[int] | None = None, near: list[int] | None = None) -> list[int]:
     """For each set the node that stands for its component: the smallest, where no ``known`` components are given.
 
-    With ``known`` components all sets are compared, else those that share a band key.
+    With ``known`` components all sets are compared, else those that share a band key or a number in ``near``.
     """
     seen: dict[int, int] = {}
     parent = [seen.setdefault(c, i) for i, c in enumerate(known or nodes)]  # the rows of one doc_id are one document
@@ -153,7 +163,10 @@ def linked(nodes: list[int], sets: list[np.ndarray], known: list[int] | None = N
         return i
 
     met: dict[int, dict[int, list[int]]] = {}  # per band key the sets seen, by root
-    for i, keys in enumerate(_bands(sets).tolist() if known is None else [[0]] * len(sets)):
+    every = _bands(sets).tolist() if known is None else [[0]] * len(sets)
+    if known is None and near is not None:
+        every = [[*keys, key] for keys, key in zip(every, near, strict=True)]
+    for i, keys in enumerate(every):
         failed: set[int] = set()
         for key in keys:
             groups = met.setdefault(key, {})
@@ -177,29 +190,30 @@ def linked(nodes: list[int], sets: list[np.ndarray], known: list[int] | None = N
 
 def _check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(unit, node, component) of each block in turn; rows come sorted by unit, i and j."""
-    block, nodes, sets, known = None, [], [], []
+    block, nodes, sets, known, near = None, [], [], [], []
 
     def done() -> pa.RecordBatch:
-        found = linked(nodes, sets, None if known[0] is None else known)
+        found = linked(nodes, sets, None if known[0] is None else known, near)
         return pa.RecordBatch.from_arrays([pa.array([block[0]] * len(nodes), pa.int64()), pa.array(nodes, pa.int64()), pa.array(found, pa.int64())], ["unit", "node", "component"])
 
     for part in slices(batches, "text"):
-        columns = (part.column(c).to_pylist() for c in ("unit", "i", "j", "node", "known"))
-        for u, i, j, node, component, text in zip(*columns, part.column("text").cast(pa.binary()).to_pylist(), strict=True):
+        columns = (part.column(c).to_pylist() for c in ("unit", "i", "j", "node", "known", "near"))
+        for u, i, j, node, component, key, text in zip(*columns, part.column("text").cast(pa.binary()).to_pylist(), strict=True):
             if (u, i, j) != block and nodes:
                 yield done()
-                nodes, sets, known = [], [], []
+                nodes, sets, known, near = [], [], [], []
             block = (u, i, j)
             nodes.append(node)
             sets.append(shingles(text))
             known.append(component)
+            near.append(key)
     if nodes:
         yield done()
 
 
 def _checked(rows: DataFrame, dealt: DataFrame) -> DataFrame:
-    """(unit, node, component) from the texts of ``dealt``: rows (unit, i, j, node, known), (unit, i, j) naming a block."""
-    texts = rows.join(dealt, rows["doc_id"] == dealt["node"]).select("unit", "i", "j", "node", "known", "text").distinct()
+    """(unit, node, component) from the texts of ``dealt``: rows (unit, i, j, node, known, near), (unit, i, j) naming a block."""
+    texts = rows.join(dealt, rows["doc_id"] == dealt["node"]).select("unit", "i", "j", "node", "known", "near", "text").distinct()
     blocks = texts.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
     return cut_lineage(blocks.mapInArrow(_check, "unit long, node long, component long").distinct())
 
@@ -208,7 +222,7 @@ def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row (band, node, known, size) for each band key of a node."""
     for batch in batches:
         if batch.num_rows:
-            node, known, size = (pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), BANDS)) for c in ("node", "known", "size"))
+            node, known, size = (pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), _keys_of(batch))) for c in ("node", "known", "size"))
             band = pa.array(np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64))
             yield pa.RecordBatch.from_arrays([band, node, known, size], ["band", "node", "known", "size"])
 
@@ -238,13 +252,27 @@ def _open_keys(members: DataFrame, unit_rows: int, unit_bytes: int) -> DataFrame
     return met.select(F.col("band").alias("unit"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "known").distinct()
 
 
+def _with_near_keys(distinct: DataFrame) -> DataFrame:
+    """``distinct`` with ``near``, a key of what fingerprints within ``MAX_BITS`` connect, also behind the ``bands`` of a full set."""
+    from . import simhash
+
+    full = distinct.where("node IS NOT NULL AND length(bands) > 0")
+    placed = cut_lineage(full.groupBy("fp").agg(F.min("node").alias("first")))
+    one = cut_lineage(placed.select(F.col("first").alias("node"), "fp"))
+    grown = simhash.components(simhash.links(one)).withColumnRenamed("node", "first")
+    keys = placed.join(grown, "first", "left").select("fp", F.xxhash64(F.coalesce("component", "first"), F.lit("near")).alias("near"))
+    marked = distinct.join(keys, "fp", "left")
+    return marked.withColumn("bands", F.when(F.length("bands") > 0, F.concat("bands", F.unhex(F.lpad(F.hex("near"), 16, "0")))).otherwise(F.col("bands")))
+
+
 def near_duplicates(docs: DataFrame, unit_rows: int = UNIT_ROWS, unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """doc_id and component_id, the smallest doc_id of its component, for every row."""
     from .simhash import components
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = cut_lineage(rows.mapInArrow(_marks, "doc_id long, alike binary, bands binary, size long"))
-    distinct = cut_lineage(marked.groupBy("alike").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.max("size").alias("size")))
+    marked = cut_lineage(rows.mapInArrow(_marks, "doc_id long, alike binary, bands binary, size long, fp long"))
+    alike = cut_lineage(marked.groupBy("alike").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.max("size").alias("size"), F.min("fp").alias("fp")))
+    distinct = cut_lineage(_with_near_keys(alike))
     spread = distinct.where("node IS NOT NULL AND length(bands) > 0").select("node", "bands").mapInArrow(_spread, "band long, a long, b long")
     links = spread.repartition("band").sortWithinPartitions("band", "a").mapInArrow(_meet, "a long, b long")
     found = components(links)
@@ -255,7 +283,7 @@ def near_duplicates(docs: DataFrame, unit_rows: int = UNIT_ROWS, unit_bytes: int
     pivot = (F.col("node") == F.col("unit")) | (F.pmod(F.xxhash64("node", F.lit(SEED + 1)), "n") < PIVOTS)
     one = F.array(F.coalesce(F.pmod(F.xxhash64("node", F.lit(SEED)), "parts"), F.lit(0).cast("long")))
     blocks = F.when(F.col("parts").isNotNull() & pivot, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(one)
-    dealt = members.select("unit", "node").distinct().join(large, "unit", "left").select("unit", F.explode(blocks).alias("i"), F.lit(0).cast("long").alias("j"), "node", F.lit(None).cast("long").alias("known"))
+    dealt = members.select("unit", "node", "near").distinct().join(large, "unit", "left").select("unit", F.explode(blocks).alias("i"), F.lit(0).cast("long").alias("j"), "node", F.lit(None).cast("long").alias("known"), "near")
     grown = _checked(rows, dealt)
     if not large.isEmpty():
         small = grown.join(large, "unit", "left_anti").select("node", "component")
@@ -264,7 +292,7 @@ def near_duplicates(docs: DataFrame, unit_rows: int = UNIT_ROWS, unit_bytes: int
         left = members.join(large, "unit", "left_semi").join(known, "node", "left").select("node", F.coalesce("known", "node").alias("known"), "size", "bands")
         opened = cut_lineage(_open_keys(left, unit_rows, unit_bytes))
         if not opened.isEmpty():
-            across = _checked(rows, opened).select(F.col("node").alias("a"), F.col("component").alias("b"))
+            across = _checked(rows, opened.withColumn("near", F.lit(None).cast("long"))).select(F.col("node").alias("a"), F.col("component").alias("b"))
             known = components(known.select(F.col("node").alias("a"), F.col("known").alias("b")).unionByName(across)).withColumnRenamed("component", "known")
         grown = small.unionByName(known.withColumnRenamed("known", "component"))
     # A node's own text: the one row of that doc_id that has the node's set.

@@ -276,7 +276,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Repeated rows of one doc_id count once, the first by all columns; rows without a doc_id
     stay, one per text. A null or empty text is as good as another; extra columns, whatever
     their names, come back unchanged; a very long text is handled whole; no rows give none.
-    Such texts are often further than ``MAX_BITS`` apart, so the stage searches by ``overlap``.
+    Anchors find what lies within ``MAX_BITS``; such texts are often further apart, so ``overlap``
+    adds candidates by MinHash bands, and checks all candidates exactly.
     """
     gone, text = fresh("gone", docs), fresh("text_sha", docs)
     out = overlap.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
