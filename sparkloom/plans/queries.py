@@ -463,10 +463,9 @@ def _labelled(spark, d):
 
 
 def zero_shot(spark, d):
-    """Labels of all documents by a model fitted on the labelled ones."""
-    rows = _labelled(spark, d)
-    fitted = topics.fit_labels(rows, "text", "sentiment_label")
-    return topics.classify(rows.select("doc_id", "text"), "text", fitted).select("doc_id", "sentiment.label", "sentiment.score")
+    """Labels of all documents, a row each, by a model fitted on the labelled ones; only these are joined with their labels."""
+    fitted = topics.fit_labels(_labelled(spark, d), "text", "sentiment_label")
+    return topics.classify(_docs(spark, d).select("doc_id", "text"), "text", fitted).select("doc_id", "sentiment.label", "sentiment.score")
 
 
 def ranked_communities(spark, d):
