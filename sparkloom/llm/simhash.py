@@ -45,6 +45,8 @@ BLOCK, CHECK, RADIUS = 23, 11, 3
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Residents times visitors compared in one step at an anchor.
 STEP = 1 << 21
+#: Edges that a task gets in a round of ``components``.
+ROUND_ROWS = 20_000
 
 
 # Fingerprints
@@ -236,21 +238,26 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node that has an edge: component is the smallest node it reaches.
 
     Large-star then small-star until nothing moves; each round is written to the
-    checkpoint folder.
+    checkpoint folder. No round has more edges than the one before, so it is dealt over
+    as many partitions as those need: the last rounds, of few edges, are a few tasks
+    that shuffle nothing, instead of all shuffle partitions several times over.
     """
     now = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = cut_lineage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         state = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
-        if tuple(state) == before:
+        if tuple(state) == before or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = tuple(state)
+        parts = -(-state[0] // ROUND_ROWS)
+        beside = F.broadcast if parts == 1 else lambda df: df
+        both = now.coalesce(parts).select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(beside(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(parts)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        star = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = large.join(beside(low), "u").select(F.inline(star)).where("u <> v").distinct()
+        now = cut_lineage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).coalesce(parts))
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
